@@ -7,12 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import leakage, mixing, rank_fusion
+from graphloom.llm import leakage, mixing, neighbours, rank_fusion
 from graphloom.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.close_pairs(table(spark, folder, "vectors"))
+
+
+def p3_nearest(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten nearest of every twentieth node, against all nodes."""
+    return neighbours.nearest(table(spark, folder, "vectors"), k=10, asked=F.col("node_id") % 20 == 0)
+
+
 def p4_ranking(spark: SparkSession, folder: str) -> DataFrame:
     hits = table(spark, folder, "hits")
     scores = {"distance": -F.col("distance").cast("double")} | {
@@ -51,6 +60,8 @@ def p7_order(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "p3_found": p3_found,
+    "p3_nearest": p3_nearest,
     "p4_found": p4_found,
     "p4_ranking": p4_ranking,
     "p6_found": p6_found,
@@ -95,6 +106,19 @@ SELECT n.request_id, n.node, n.fused, n.position FROM n JOIN retrievals t USING
 """
 
 SQL: dict[str, str] = {
+    "p3_found": """
+WITH v AS (
+  SELECT node_id, CAST(embedding AS DOUBLE[]) AS e FROM vectors
+  WHERE node_id IS NOT NULL AND len(embedding) = 64 AND NOT list_bool_or(list_transform(embedding, lambda x: x IS NULL OR NOT isfinite(x)))
+  QUALIFY row_number() OVER (PARTITION BY node_id ORDER BY updated_at DESC) = 1
+), u AS (SELECT * FROM v WHERE list_inner_product(e, e) > 0),
+d AS (
+  SELECT a.node_id AS a, b.node_id AS b, round(list_cosine_distance(a.e, b.e), 12) AS d FROM u a JOIN u b ON a.node_id <> b.node_id
+), r AS (
+  SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY a ORDER BY d, b) <= 10
+)
+SELECT DISTINCT least(a, b) AS node_a, greatest(a, b) AS node_b FROM r WHERE d <= 0.1
+""",
     "p4_found": f"SELECT request_id, node FROM ({_P4})",
     "p6_found": r"""
 WITH w AS (
