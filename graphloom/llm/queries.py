@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import leakage, mixing, neighbours, rank_fusion
+from graphloom.llm import leakage, mixing, neighbours, rank_fusion, text_quality
 from graphloom.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,6 +59,15 @@ def p7_order(spark: SparkSession, folder: str) -> DataFrame:
     return _mixture(spark, folder).order
 
 
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    kinds = text_quality.document_kinds(table(spark, folder, "documents"))
+    return kinds.where(F.col("kind").isNotNull() & (F.col("kind") != "prose")).select("doc_id", "kind")
+
+
+def p8_statistics(spark: SparkSession, folder: str) -> DataFrame:
+    return text_quality.document_statistics(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "p3_found": p3_found,
     "p3_nearest": p3_nearest,
@@ -69,6 +78,8 @@ QUERIES: dict[str, Query] = {
     "p7_found": p7_found,
     "p7_report": p7_report,
     "p7_order": p7_order,
+    "p8_found": p8_found,
+    "p8_statistics": p8_statistics,
 }
 
 
