@@ -4,16 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.plans import preparation
+from graphloom.plans import catalog, preparation
 
 
 def queries() -> dict:
-    return dict(preparation.QUERIES)
+    return preparation.QUERIES | catalog.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(preparation.SQL)
+    return preparation.SQL | catalog.SQL
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    return queries()["p5_found"](spark, folder)
+    return catalog.QUERIES["flagship"](spark, folder)

@@ -63,6 +63,10 @@ def commerce_graph(spark: SparkSession, folder: str) -> PropertyGraph:
             "Supplier",
         )
     )
+    documents = t("documents").select((c("doc_id") + 60_000_000).alias("id"), "text", "lang", "source")
+    graph = graph.with_nodes(documents, "Document").with_vectors(
+        t("embeddings").select((c("vec_id") + 60_000_000).alias("node_id"), c("embedding").cast("array<float>").alias("embedding"))
+    )
     # Customers of consecutive orders know each other. Order keys are dense, so the next one is found by a join, not a global window.
     following = orders.select((c("o_orderkey") - 1).alias("o_orderkey"), c("o_custkey").alias("next_cust"))
     knows = orders.join(following, "o_orderkey").select(
