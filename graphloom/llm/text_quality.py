@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import random
 import re
+import textwrap
 import unicodedata
 import zlib
 from collections import Counter
@@ -157,7 +158,7 @@ def _is_prose_block(lines: list[str]) -> bool:
     stops = len(_STOP.findall(text))
     ends = sum(bool(_END.search(x)) for x in lines)
     # Sentences that run over line ends: fewer lines than stops would make stop, and the last one does.
-    return stops > 0 and stops * 40 >= len(words) and len(words) >= 5 * len(lines) and bool(_END.search(lines[-1])) and (ends < len(lines) or len(words) >= 9 * len(lines))
+    return stops > 0 and stops * 40 >= len(words) and len(words) >= 4 * len(lines) and bool(_END.search(lines[-1])) and (ends < len(lines) or len(words) >= 9 * len(lines))
 
 
 def _line_kinds(lines: list[str]) -> list[str]:
@@ -279,10 +280,12 @@ def weak_label(s: list[float]) -> str | None:
         return "junk"
     if v("row_chars") > 0.75 and v("common_words") < 0.15:
         return "table"
-    if v("prose_chars") > 0.6 and v("common_words") > 0.22 and v("row_chars") < 0.25 and v("phrase_ratio") > 0.3:
+    if v("prose_chars") > 0.6 and v("common_words") > 0.22 and v("row_chars") < 0.25 and v("phrase_ratio") > 0.3 and v("item_lines") < 0.7:
         return "prose"
     if v("item_lines") > 0.75 and v("item_chars") > 0.7 and v("lines") >= 4 and v("common_words") < (0.4 if v("marked_lines") > 0.7 else 0.2):
         return "list"
+    if v("item_lines") > 0.85 and v("lines") >= 8 and v("item_chars") > 0.4 and v("common_words") < 0.24:
+        return "list"
     if v("lines") <= 2 and v("inline_parts") >= 6 and v("inline_chars") > 0.85 and v("common_words") < 0.15:
         return "list"
     return None
@@ -298,11 +301,13 @@ def _made(texts: list[str], rng: random.Random) -> Iterator[tuple[str, str]]:
         items = [rng.choice(["", "", "", "the "]) + some(1, 5) for _ in range(rng.randint(4, 40))]
         style = rng.choice(["-", "*", "•", "–", "1.", "a)", "[ ]", "", "", "sep"])
         if style == "sep":
-            yield "list", rng.choice([" / ", ", ", "; ", " | ", ",", " · "]).join(items + [some(1, 3) for _ in range(6)])
+            yield "list", rng.choice([" / ", ", ", "; ", " | ", ",", " · "]).join([*items, some(1, 3), some(1, 3)])
         else:
             mark = lambda i: f"{i + 1}. " if style == "1." else f"{chr(97 + i % 26)}) " if style == "a)" else style + " " * bool(style)
             if style and rng.random() < 0.3:  # items as short phrases with a full stop
                 items = [f"{x[:1].upper()}{x[1:]} {rng.choice(PURPOSES)}." for x in items]
+            if texts and rng.random() < 0.25:  # a passage of prose among the items
+                items.insert(rng.randint(0, len(items)), " ".join(rng.choice(texts).split())[: rng.randint(80, 600)])
             text = "\n".join("    " * (rng.random() < 0.2) + mark(i) + x for i, x in enumerate(items))
             yield "list", rng.choice(["", "", some(1, 4) + "\n", intro() + "\n"]) + text
         width = rng.randint(2, 7)
@@ -333,7 +338,7 @@ def _made(texts: list[str], rng: random.Random) -> Iterator[tuple[str, str]]:
         elif style == 3:
             yield "junk", " ".join("".join(rng.choice(letters) for _ in range(rng.randint(1, 15))) for _ in range(rng.randint(15, 150)))
         elif style == 4:
-            phrase = some(1, 4)
+            phrase = " ".join(rng.choice(words) for _ in range(rng.randint(1, 4)))
             yield "junk", rng.choice([" ", "! ", ", ", " ... ", "\n"]).join(rng.choice([phrase] * 9 + [phrase.upper()]) for _ in range(rng.randint(12, 200)))
         elif style == 5:
             odd = "ÃÂâ€œÐÑ¤¶¼½¿±¬‚ïŸ"
@@ -342,6 +347,22 @@ def _made(texts: list[str], rng: random.Random) -> Iterator[tuple[str, str]]:
             yield "junk", "".join(rng.choice("0123456789abcdef") for _ in range(rng.randint(60, 900)))
 
 
+def _redressed(text: str, rng: random.Random) -> Iterator[str]:
+    """Prose that stays prose: in capitals, bare, wrapped, cut to a sentence, or around a few items or rows."""
+    words = text.split()
+    some = lambda: " ".join(rng.sample(words, min(len(words), rng.randint(1, 3))))
+    yield text.upper()
+    yield " ".join(_WORD.findall(text.lower()))
+    yield "\n".join(textwrap.wrap(text, rng.randint(22, 72)))
+    yield _STOP.split(text, maxsplit=1)[0].replace("\n", " ") + "."
+    few = rng.randint(2, 4)
+    rows = "\n".join(rng.choice(["- {}", "* {}", "{}"]).format(some()) for _ in range(few))
+    mark = rng.choice([" | ", ",", "\t", " ; "])
+    cells = "\n".join(mark.join((rng.choice(words), str(rng.randint(0, 999)))) for _ in range(few))
+    yield f"{text}\n\n{rng.choice((rows, cells))}\n\n{text[: len(text) // 2]}"
+    yield f"{text}\n\n{rows}"
+
+
 # ---- gradient-boosted trees --------------------------------------------------------------
 
 
@@ -456,8 +477,8 @@ def train(texts: list[str], seed: int = 11) -> BoostedTrees:
     for kind, text in _made(prose[:500], rng):
         rows.append(statistics(text))
         labels.append(KINDS.index(kind))
-    for text in prose[: MADE // 2]:  # prose keeps being prose in other dress
-        for other in (text.upper(), " ".join(_WORD.findall(text.lower())), f"{text}\n\n" + "\n".join(f"- {w}" for w in text.split()[:3])):
+    for text in prose[: MADE // 2]:
+        for other in _redressed(text, rng):
             rows.append(statistics(other))
             labels.append(0)
     if 0 not in labels:  # a corpus without prose: the calibration texts are all there is to learn it from
