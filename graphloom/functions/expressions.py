@@ -14,7 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from graphloom.functions import values as v
-from graphloom.functions.values import BOOL, FLOAT, INT, NULL, STRING, Type, Value, convert, list_of, null_of, parts_of, unify
+from graphloom.functions.values import BOOL, FLOAT, INT, NULL, STRING, Type, Value, convert, let, list_of, null_of, parts_of, unify
 from graphloom.plans import syntax as s
 from graphloom.plans.syntax import QueryError
 
@@ -94,13 +94,18 @@ def equals(a: Value, b: Value) -> Column:
 def _list_equals(a: Value, b: Value) -> Column:
     if a.type.elem == NULL and b.type.elem == NULL:
         return F.when(F.size(a.col) != F.size(b.col), F.lit(False)).when(F.size(a.col) == 0, F.lit(True))
+    return let(a.col, lambda x: let(b.col, lambda y: _same_lists(Value(x, a.type), Value(y, b.type))))
+
+
+def _same_lists(a: Value, b: Value) -> Column:
     pairs = F.zip_with(a.col, b.col, lambda x, y: F.coalesce(equals(Value(x, a.type.elem), Value(y, b.type.elem)).cast("int"), F.lit(2)))
-    return (
-        F.when(a.col.isNull() | b.col.isNull(), F.lit(None).cast("boolean"))
+    return let(
+        pairs,
+        lambda flags: F.when(a.col.isNull() | b.col.isNull(), F.lit(None).cast("boolean"))
         .when(F.size(a.col) != F.size(b.col), F.lit(False))
-        .when(F.array_contains(pairs, 0), F.lit(False))
-        .when(F.array_contains(pairs, 2), F.lit(None).cast("boolean"))
-        .otherwise(F.lit(True))
+        .when(F.array_contains(flags, 0), F.lit(False))
+        .when(F.array_contains(flags, 2), F.lit(None).cast("boolean"))
+        .otherwise(F.lit(True)),
     )
 
 
@@ -110,10 +115,9 @@ def sort_key(a: Value) -> Column:
     if k == "datetime":
         return a.col["at"]
     if k == "time":
-        return a.col["nanos"] - a.col["offset"].cast("bigint") * 1_000_000_000
-    if k == "duration":
-        c = a.col  # an average month and day, as for comparing lengths
-        return c["months"].cast("double") * 2_629_746.0 + c["days"].cast("double") * 86_400.0 + c["seconds"].cast("double") + c["nanos"] / 1e9
+        return let(a.col, lambda c: c["nanos"] - c["offset"].cast("bigint") * 1_000_000_000)
+    if k == "duration":  # an average month and day, as for comparing lengths
+        return let(a.col, _seconds)
     if k in ("node", "rel"):
         return parts_of(a).id
     if k == "bool":
@@ -121,6 +125,10 @@ def sort_key(a: Value) -> Column:
     return a.col
 
 
+def _seconds(c: Column) -> Column:
+    return c["months"].cast("double") * 2_629_746.0 + c["days"].cast("double") * 86_400.0 + c["seconds"].cast("double") + c["nanos"] / 1e9
+
+
 _FLIP = {"<": lambda x, y: x < y, ">": lambda x, y: x > y, "<=": lambda x, y: x <= y, ">=": lambda x, y: x >= y}
 
 
@@ -161,12 +169,14 @@ def contains(x: Value, items: Value) -> Column:
     if items.type.elem == NULL:
         return F.when(F.size(items.col) == 0, F.lit(False))
     hits = F.transform(items.col, lambda i: F.coalesce(equals(x, Value(i, items.type.elem)).cast("int"), F.lit(2)))
-    return (
-        F.when(items.col.isNull(), F.lit(None).cast("boolean"))
-        .when(F.size(items.col) == 0, F.lit(False))
-        .when(F.array_contains(hits, 1), F.lit(True))
-        .when(F.array_contains(hits, 2), F.lit(None).cast("boolean"))
-        .otherwise(F.lit(False))
+    # The flags are null or empty exactly where the list is.
+    return let(
+        hits,
+        lambda flags: F.when(flags.isNull(), F.lit(None).cast("boolean"))
+        .when(F.size(flags) == 0, F.lit(False))
+        .when(F.array_contains(flags, 1), F.lit(True))
+        .when(F.array_contains(flags, 2), F.lit(None).cast("boolean"))
+        .otherwise(F.lit(False)),
     )
 
 
@@ -176,14 +186,7 @@ def contains(x: Value, items: Value) -> Column:
 def text_of(a: Value) -> Column:
     """The text a value has in string concatenation and toString."""
     if a.type == FLOAT:
-        plain = F.format_string("%.1f", a.col)
-        whole = (a.col == F.floor(a.col)) & (F.abs(a.col) < 1e15)
-        return (
-            F.when(F.isnan(a.col), F.lit("NaN"))
-            .when(F.abs(a.col) == INF, F.when(a.col > 0, F.lit("Infinity")).otherwise(F.lit("-Infinity")))
-            .when(whole, plain)
-            .otherwise(F.regexp_replace(F.lower(a.col.cast("string")), r"\.0e", "e"))
-        )
+        return let(a.col, lambda c: _float_text(Value(c, FLOAT)))
     if a.type.kind in (*v.TEMPORAL, "duration"):
         from graphloom.functions.temporal import iso_text
 
@@ -193,6 +196,17 @@ def text_of(a: Value) -> Column:
     raise QueryError(f"a {a.type} has no text form")
 
 
+def _float_text(a: Value) -> Column:
+    plain = F.format_string("%.1f", a.col)
+    whole = (a.col == F.floor(a.col)) & (F.abs(a.col) < 1e15)
+    return (
+        F.when(F.isnan(a.col), F.lit("NaN"))
+        .when(F.abs(a.col) == INF, F.when(a.col > 0, F.lit("Infinity")).otherwise(F.lit("-Infinity")))
+        .when(whole, plain)
+        .otherwise(F.regexp_replace(F.lower(a.col.cast("string")), r"\.0e", "e"))
+    )
+
+
 # ---- the compiler ------------------------------------------------------------------
 
 
@@ -486,15 +500,19 @@ def arithmetic(op: str, a: Value, b: Value) -> Value:
             return Value(F.call_function("div", x, y), INT)  # truncates, raises on a zero divisor
         return Value({"+": x + y, "-": x - y, "*": x * y, "%": x % y}[op], INT)
     if op in "/%":
-        # IEEE 754 instead of an error for a zero divisor.
-        sign = F.when(F.lit(1.0) / F.when(y == 0, F.lit(1.0)).otherwise(y) < 0, -1.0).otherwise(1.0)
-        negative_zero = F.when((y == 0) & y.cast("string").startswith("-"), -1.0).otherwise(sign)
-        whole = F.when(F.isnan(x) | (x == 0) | F.lit(op == "%"), F.lit(NAN)).otherwise(F.signum(x) * negative_zero * F.lit(INF))
-        safe = F.when(y == 0, F.lit(1.0)).otherwise(y)
-        return Value(F.when(y == 0, whole).otherwise(x / safe if op == "/" else x % safe), FLOAT)
+        return Value(let(x, lambda p: let(y, lambda q: _ieee(op, p, q))), FLOAT)
     return Value({"+": x + y, "-": x - y, "*": x * y}[op], FLOAT)
 
 
+def _ieee(op: str, x: Column, y: Column) -> Column:
+    """IEEE 754 instead of an error for a zero divisor."""
+    sign = F.when(F.lit(1.0) / F.when(y == 0, F.lit(1.0)).otherwise(y) < 0, -1.0).otherwise(1.0)
+    negative_zero = F.when((y == 0) & y.cast("string").startswith("-"), -1.0).otherwise(sign)
+    whole = F.when(F.isnan(x) | (x == 0) | F.lit(op == "%"), F.lit(NAN)).otherwise(F.signum(x) * negative_zero * F.lit(INF))
+    safe = F.when(y == 0, F.lit(1.0)).otherwise(y)
+    return F.when(y == 0, whole).otherwise(x / safe if op == "/" else x % safe)
+
+
 def _append(a: Value, b: Value) -> Value:
     if a.type.kind == b.type.kind == "list":
         t = unify([a.type, b.type])

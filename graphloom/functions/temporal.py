@@ -16,7 +16,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from graphloom.functions import values as v
-from graphloom.functions.values import INT, NULL, STRING, Value
+from graphloom.functions.values import INT, NULL, STRING, Value, let
 from graphloom.plans import syntax as s
 from graphloom.plans.syntax import QueryError
 
@@ -51,7 +51,7 @@ def wall(x: Value) -> Column:
     if x.type == v.LOCALDATETIME:
         return x.col
     if x.type == v.DATETIME:
-        return F.from_utc_timestamp(x.col["at"], x.col["zone"]).cast("timestamp_ntz")
+        return let(x.col, lambda c: F.from_utc_timestamp(c["at"], c["zone"]).cast("timestamp_ntz"))
     raise QueryError(f"a {x.type} has no date")
 
 
@@ -60,7 +60,10 @@ def nanos_of_day(x: Value) -> Column:
         return x.col
     if x.type == v.TIME:
         return x.col["nanos"]
-    w = wall(x)
+    return let(wall(x), _nanos_of_wall)
+
+
+def _nanos_of_wall(w: Column) -> Column:
     return (F.hour(w).cast("bigint") * 3600 + F.minute(w) * 60) * SECOND + (F.extract(F.lit("SECOND"), w) * 1_000_000).cast("bigint") * 1_000
 
 
@@ -68,7 +71,7 @@ def offset_seconds(x: Value) -> Column:
     if x.type == v.TIME:
         return x.col["offset"]
     if x.type == v.DATETIME:
-        return (_micros(wall(x)) - F.unix_micros(x.col["at"])).cast("bigint") / 1_000_000
+        return let(x.col, lambda c: (_micros(wall(Value(c, v.DATETIME))) - F.unix_micros(c["at"])).cast("bigint") / 1_000_000)
     raise QueryError(f"a {x.type} has no offset")
 
 
@@ -82,7 +85,7 @@ def _from_micros(c: Column) -> Column:
 
 
 def _at_zone(ntz: Column, zone: Column) -> Column:
-    return F.struct(F.to_utc_timestamp(ntz.cast("timestamp"), zone).alias("at"), zone.alias("zone"))
+    return let(zone, lambda z: F.struct(F.to_utc_timestamp(ntz.cast("timestamp"), z).alias("at"), z.alias("zone")))
 
 
 def _text2(c: Column, width: int = 2) -> Column:
@@ -96,6 +99,10 @@ def _fraction(nanos: Column) -> Column:
 
 
 def _time_text(nanos: Column) -> Column:
+    return let(nanos, _clock_text)
+
+
+def _clock_text(nanos: Column) -> Column:
     at = lambda unit, size: F.call_function("div", nanos, _lit(unit)) % size
     seconds = at(SECOND, 60)
     rest = nanos % SECOND
@@ -104,6 +111,10 @@ def _time_text(nanos: Column) -> Column:
 
 
 def _offset_text(seconds: Column) -> Column:
+    return let(seconds, _shift_text)
+
+
+def _shift_text(seconds: Column) -> Column:
     size = F.abs(seconds).cast("bigint")
     sign = F.when(seconds < 0, F.lit("-")).otherwise(F.lit("+"))
     text = F.concat(sign, _text2(F.call_function("div", size, _lit(3600))), F.lit(":"), _text2(F.call_function("div", size, _lit(60)) % 60))
@@ -111,6 +122,10 @@ def _offset_text(seconds: Column) -> Column:
 
 
 def iso_text(x: Value) -> Column:
+    return let(x.col, lambda c: _text(Value(c, x.type)))
+
+
+def _text(x: Value) -> Column:
     if x.type == v.DATE:
         return F.date_format(x.col, "yyyy-MM-dd")
     if x.type == v.LOCALTIME:
@@ -119,7 +134,7 @@ def iso_text(x: Value) -> Column:
         return F.concat(_time_text(x.col["nanos"]), _offset_text(x.col["offset"]))
     if x.type == v.DURATION:
         return _duration_text(x.col)
-    text = F.concat(F.date_format(wall(x), "yyyy-MM-dd"), F.lit("T"), _time_text(nanos_of_day(x)))
+    text = let(wall(x), lambda w: F.concat(F.date_format(w, "yyyy-MM-dd"), F.lit("T"), _time_text(_nanos_of_wall(w))))
     if x.type == v.DATETIME:
         zone = x.col["zone"]
         named = F.when(zone.rlike("^[A-Za-z]+/"), F.concat(F.lit("["), zone, F.lit("]"))).otherwise(F.lit(""))
@@ -129,23 +144,35 @@ def iso_text(x: Value) -> Column:
 
 def _duration_text(d: Column) -> Column:
     years, months = F.call_function("div", d["months"], _lit(12)), d["months"] % 12
-    part = lambda n, unit: F.when(n != 0, F.concat(n.cast("string"), F.lit(unit))).otherwise(F.lit(""))
-    total = d["seconds"]
-    hours, minutes = F.call_function("div", total, _lit(3600)), F.call_function("div", total, _lit(60)) % 60
-    seconds = total % 60
-    # A negative remainder with a fraction is written as one signed decimal.
-    all_nanos = seconds * SECOND + d["nanos"]
-    sign = F.when(all_nanos < 0, F.lit("-")).otherwise(F.lit(""))
-    size = F.abs(all_nanos)
-    second_text = F.when(
-        all_nanos != 0, F.concat(sign, F.call_function("div", size, _lit(SECOND)).cast("string"), _fraction(size % SECOND), F.lit("S"))
-    ).otherwise(F.lit(""))
-    date = F.concat(part(years, "Y"), part(months, "M"), part(d["days"], "D"))
-    time = F.concat(part(hours, "H"), part(minutes, "M"), second_text)
+    return let(
+        F.concat(_amount(years, "Y"), _amount(months, "M"), _amount(d["days"], "D")),
+        lambda date: let(_clock_part(d), lambda time: _joined(d, date, time)),
+    )
+
+
+def _amount(n: Column, unit: str) -> Column:
+    return F.when(n != 0, F.concat(n.cast("string"), F.lit(unit))).otherwise(F.lit(""))
+
+
+def _joined(d: Column, date: Column, time: Column) -> Column:
     full = F.concat(F.lit("P"), date, F.when(time != "", F.concat(F.lit("T"), time)).otherwise(F.lit("")))
     return F.when(d.isNull(), F.lit(None).cast("string")).when((date == "") & (time == ""), F.lit("PT0S")).otherwise(full)
 
 
+def _clock_part(d: Column) -> Column:
+    total = d["seconds"]
+    hours, minutes = F.call_function("div", total, _lit(3600)), F.call_function("div", total, _lit(60)) % 60
+    # Seconds with a fraction are written as one signed decimal.
+    nanos = let(total % 60 * SECOND + d["nanos"], _signed_seconds)
+    return F.concat(_amount(hours, "H"), _amount(minutes, "M"), nanos)
+
+
+def _signed_seconds(nanos: Column) -> Column:
+    sign, size = F.when(nanos < 0, F.lit("-")).otherwise(F.lit("")), F.abs(nanos)
+    text = F.concat(sign, F.call_function("div", size, _lit(SECOND)).cast("string"), _fraction(size % SECOND), F.lit("S"))
+    return F.when(nanos != 0, text).otherwise(F.lit(""))
+
+
 # ---- construction ---------------------------------------------------------------
 
 
@@ -220,7 +247,10 @@ def _offset_of_text(offset: Column) -> Column:
 
 def _date_of_text(c: Column) -> Column:
     """ISO dates: extended or basic, week (2015-W30-2), ordinal (2015-202), month and year only."""
-    digits = F.regexp_replace(c, "-", "")
+    return let(F.regexp_replace(c, "-", ""), lambda digits: _date_of_digits(c, digits))
+
+
+def _date_of_digits(c: Column, digits: Column) -> Column:
     year = F.substring(digits, 1, 4).cast("int")
     january = F.make_date(year, F.lit(1), F.lit(4))
     monday = F.date_sub(january, F.weekday(january))
@@ -266,6 +296,10 @@ def build(kind: str, x: Value) -> Value:
     t = v.Type(kind)
     if x.type == NULL:
         return Value(v.null_of(t), t)
+    return Value(let(x.col, lambda c: _built(kind, t, Value(c, x.type))), t)
+
+
+def _built(kind: str, t: v.Type, x: Value) -> Column:
     if x.type.kind == "map":
         fields = _fields(x)
         zone_from = next((q.col["zone"] for q in fields.values() if q.type == v.DATETIME), None)
@@ -284,7 +318,7 @@ def build(kind: str, x: Value) -> Value:
             out = F.struct(F.timestamp_millis(ms).alias("at"), _zone(fields).alias("zone"))
         else:
             out = _at_zone(_join(date(), nanos()), _zone(fields, zone_from))
-        return Value(F.when(x.col.isNotNull(), out), t)
+        return F.when(x.col.isNotNull(), out)
     if x.type == STRING:
         c = x.col
         stem = F.regexp_extract(c, _ZONE_SPLIT, 1)
@@ -300,7 +334,7 @@ def build(kind: str, x: Value) -> Value:
         else:
             clock_stem = F.regexp_extract(clock, _ZONE_SPLIT, 1)
             out = _at_zone(_join(_date_of_text(day), _time_of_text(clock_stem)), F.when(clock == "", F.lit("Z")).otherwise(_zone_of_text(clock)))
-        return Value(F.when(c.isNotNull(), out), t)
+        return F.when(c.isNotNull(), out)
     if x.type.kind in v.TEMPORAL:
         if kind == "date":
             out = wall(x).cast("date")
@@ -313,7 +347,7 @@ def build(kind: str, x: Value) -> Value:
             out = wall(x)
         else:
             out = x.col if x.type == v.DATETIME else _at_zone(wall(x), F.lit("Z"))
-        return Value(F.when(x.col.isNotNull(), out), t)
+        return F.when(x.col.isNotNull(), out)
     raise QueryError(f"{kind}() cannot take a {x.type}")
 
 
@@ -342,25 +376,28 @@ def _clock(kind: str) -> Callable:
 
 def make_duration(months: Column, days: Column, seconds: Column, nanos: Column) -> Column:
     """Normalised so that 0 <= nanos < 1e9 with the sign in the seconds."""
-    total = seconds.cast("bigint") * SECOND + nanos.cast("bigint")
-    whole = F.call_function("div", total, _lit(SECOND))
-    return F.struct(
-        months.cast("bigint").alias("months"),
-        days.cast("bigint").alias("days"),
-        whole.alias("seconds"),
-        (total % SECOND).cast("int").alias("nanos"),
+    return let(
+        seconds.cast("bigint") * SECOND + nanos.cast("bigint"),
+        lambda total: F.struct(
+            months.cast("bigint").alias("months"),
+            days.cast("bigint").alias("days"),
+            F.call_function("div", total, _lit(SECOND)).alias("seconds"),
+            (total % SECOND).cast("int").alias("nanos"),
+        ),
     )
 
 
 def _from_amounts(years, months, weeks, days, hours, minutes, seconds, nanos) -> Column:
     """A duration from possibly fractional amounts; fractions carry downwards only."""
-    all_months = years * 12 + months
-    m = F.floor(F.abs(all_months)) * F.signum(all_months)
-    all_days = weeks * 7 + days + (all_months - m) * (MONTH_SECONDS / 86_400.0)
-    d = F.floor(F.abs(all_days)) * F.signum(all_days)
+    whole = lambda c: F.floor(F.abs(c)) * F.signum(c)
     # Below a day everything is counted in nanoseconds.
-    rest = (hours * 3600 + minutes * 60) * 1e9 + F.round(seconds * 1e9) + nanos + F.round((all_days - d) * 86_400.0 * 1e9)
-    return make_duration(m, d, F.lit(0), F.round(rest))
+    clock = (hours * 3600 + minutes * 60) * 1e9 + F.round(seconds * 1e9) + nanos
+
+    def split(all_months: Column) -> Column:
+        all_days = weeks * 7 + days + (all_months - whole(all_months)) * (MONTH_SECONDS / 86_400.0)
+        return let(all_days, lambda d: make_duration(whole(all_months), whole(d), F.lit(0), F.round(clock + F.round((d - whole(d)) * 86_400.0 * 1e9))))
+
+    return let(years * 12 + months, split)
 
 
 def _duration(compiler, args) -> Value:
@@ -385,17 +422,23 @@ def _duration(compiler, args) -> Value:
 
 
 def scale(x: Value, by: Column) -> Value:
-    d = x.col
-    out = _from_amounts(F.lit(0.0), d["months"] * by, F.lit(0.0), d["days"] * by, F.lit(0.0), F.lit(0.0), d["seconds"] * by, d["nanos"] * by)
-    return Value(F.when(d.isNotNull(), out), v.DURATION)
+    zero = F.lit(0.0)
+
+    def scaled(d: Column, k: Column) -> Column:
+        return F.when(d.isNotNull(), _from_amounts(zero, d["months"] * k, zero, d["days"] * k, zero, zero, d["seconds"] * k, d["nanos"] * k))
+
+    return Value(let(x.col, lambda d: let(by, lambda k: scaled(d, k))), v.DURATION)
 
 
 def _shift(x: Value, d: Column, sign: int) -> Value:
     """A temporal value moved by a duration; month ends are clamped."""
     months, days, seconds, nanos = (d[n] * sign for n in ("months", "days", "seconds", "nanos"))
-    if x.type in (v.LOCALTIME, v.TIME):
+    if x.type == v.TIME:
         moved = F.pmod(nanos_of_day(x) + seconds * SECOND + nanos, _lit(DAY))
-        return Value(moved, v.LOCALTIME) if x.type == v.LOCALTIME else Value(F.struct(moved.alias("nanos"), x.col["offset"].alias("offset")), v.TIME)
+        return Value(F.struct(moved.alias("nanos"), x.col["offset"].alias("offset")), v.TIME)
+    if x.type == v.LOCALTIME:
+        moved = F.pmod(nanos_of_day(x) + seconds * SECOND + nanos, _lit(DAY))
+        return Value(moved, v.LOCALTIME)
     date = F.date_add(F.add_months(wall(x).cast("date"), months.cast("int")), days.cast("int"))
     if x.type == v.DATE:
         return Value(F.date_add(date, F.call_function("div", seconds, _lit(86_400)).cast("int")), v.DATE)
@@ -411,12 +454,18 @@ def combine(op: str, a: Value, b: Value) -> Value:
         return Value(v.null_of(t), t)
     if a.type == b.type == v.DURATION and op in "+-":
         sign = 1 if op == "+" else -1
-        x, y = a.col, b.col
-        out = make_duration(*[x[n] + y[n] * sign for n in ("months", "days", "seconds", "nanos")])
-        return Value(F.when(x.isNotNull() & y.isNotNull(), out), v.DURATION)
+
+        def total(x: Column, y: Column) -> Column:
+            return F.when(x.isNotNull() & y.isNotNull(), make_duration(*[x[n] + y[n] * sign for n in ("months", "days", "seconds", "nanos")]))
+
+        return Value(let(a.col, lambda x: let(b.col, lambda y: total(x, y))), v.DURATION)
     if a.type.kind in v.TEMPORAL and b.type == v.DURATION and op in "+-":
-        moved = _shift(a, b.col, 1 if op == "+" else -1)
-        return Value(F.when(a.col.isNotNull() & b.col.isNotNull(), moved.col), moved.type)
+        sign = 1 if op == "+" else -1
+
+        def moved(x: Column, d: Column) -> Column:
+            return F.when(x.isNotNull() & d.isNotNull(), _shift(Value(x, a.type), d, sign).col)
+
+        return Value(let(a.col, lambda x: let(b.col, lambda d: moved(x, d))), a.type)
     if a.type == v.DURATION and b.type.kind in v.TEMPORAL and op == "+":
         return combine(op, b, a)
     if a.type == v.DURATION and b.type.numeric and op in "*/":
@@ -439,14 +488,31 @@ def _total_nanos(a: Value, b: Value) -> Column:
     return (_micros(wall(b)) - _micros(wall(a))) * 1000
 
 
-def _whole_months(a: Value, b: Value) -> tuple[Column, Column]:
-    """Full months from a to b, and the nanoseconds that remain after them."""
-    x, y = wall(a), wall(b)
+def _since(x: Column, y: Column, body: Callable[[Column, Column], Column]) -> Column:
+    """`body(months, nanoseconds)`: the full months from x to y, and what remains after them."""
+    step = lambda n: _join(F.add_months(x.cast("date"), n.cast("int")), _nanos_of_wall(x))
     rough = (F.year(y) - F.year(x)) * 12 + F.month(y) - F.month(x)
-    step = lambda n: _join(F.add_months(x.cast("date"), n.cast("int")), nanos_of_day(Value(x, v.LOCALDATETIME)))
-    over = F.when((rough > 0) & (step(rough) > y), -1).when((rough < 0) & (step(rough) < y), 1).otherwise(0)
-    months = rough + over
-    return months.cast("bigint"), (_micros(y) - _micros(step(months))) * 1000
+    over = lambda n: n + F.when((n > 0) & (step(n) > y), -1).when((n < 0) & (step(n) < y), 1).otherwise(0)
+    rest = lambda m: (_micros(y) - _micros(step(m))) * 1000
+    return let(let(rough, over).cast("bigint"), lambda m: let(rest(m), lambda r: body(m, r)))
+
+
+def _gap(kind: str, a: Value, b: Value) -> Column:
+    timed = a.type.kind in ("localtime", "time") or b.type.kind in ("localtime", "time")
+    zero = _lit(0)
+    if kind == "seconds" or timed and kind == "between":
+        return make_duration(zero, zero, zero, _total_nanos(a, b))
+    if timed:
+        return make_duration(zero, zero, zero, zero)
+    if kind == "days":
+        return make_duration(zero, F.call_function("div", _total_nanos(a, b), _lit(DAY)), zero, zero)
+
+    def parts(months: Column, rest: Column) -> Column:
+        if kind == "months":
+            return make_duration(months, zero, zero, zero)
+        return make_duration(months, F.call_function("div", rest, _lit(DAY)), zero, rest % DAY)
+
+    return let(wall(a), lambda x: let(wall(b), lambda y: _since(x, y, parts)))
 
 
 def _between(kind: str) -> Callable:
@@ -454,23 +520,8 @@ def _between(kind: str) -> Callable:
         a, b = (compiler(x) for x in args)
         if NULL in (a.type, b.type):
             return Value(v.null_of(v.DURATION), v.DURATION)
-        timed = a.type.kind in ("localtime", "time") or b.type.kind in ("localtime", "time")
-        zero = _lit(0)
-        if kind == "seconds" or timed and kind == "between":
-            total = _total_nanos(a, b)
-            out = make_duration(zero, zero, zero, total)
-        elif timed:
-            out = make_duration(zero, zero, zero, zero)
-        elif kind == "days":
-            out = make_duration(zero, F.call_function("div", _total_nanos(a, b), _lit(DAY)), zero, zero)
-        else:
-            months, rest = _whole_months(a, b)
-            if kind == "months":
-                out = make_duration(months, zero, zero, zero)
-            else:
-                days = F.call_function("div", rest, _lit(DAY))
-                out = make_duration(months, days, zero, rest - days * DAY)
-        return Value(F.when(a.col.isNotNull() & b.col.isNotNull(), out), v.DURATION)
+        both = lambda x, y: F.when(x.isNotNull() & y.isNotNull(), _gap(kind, Value(x, a.type), Value(y, b.type)))
+        return Value(let(a.col, lambda x: let(b.col, lambda y: both(x, y))), v.DURATION)
 
     return f
 
@@ -494,6 +545,40 @@ def _truncated_date(unit: str, date: Column) -> Column:
     return date
 
 
+def _cut(kind: str, unit: str, x: Value, fields: dict[str, Value]) -> Column:
+    has_date = x.type.kind in ("date", "localdatetime", "datetime")
+    date = _truncated_date(unit, wall(x).cast("date")) if has_date else None
+    nanos = _lit(0)
+    if unit in UNITS and x.type != v.DATE:
+        clock = nanos_of_day(x)
+        nanos = clock - clock % UNITS[unit]
+    if date is not None and any(n in fields for n in ("year", "month", "day", "week", "dayofweek", "ordinalday", "quarter", "dayofquarter")):
+        if "dayofweek" in fields and "week" not in fields:
+            date = F.date_add(F.trunc(date, "week"), (_int(fields, "dayofweek", 1) - 1).cast("int"))
+        else:
+            date = _date_from(fields, date)
+    if any(n in fields for n in UNITS):
+        kept = nanos
+        nanos = _time_from(fields, kept)
+        sub = [n for n in ("millisecond", "microsecond", "nanosecond") if n in fields]
+        if sub and unit in ("millisecond", "microsecond"):
+            nanos = nanos + kept % SECOND
+    if kind == "date":
+        out = date
+    elif kind == "localtime":
+        out = nanos
+    elif kind == "time":
+        offset = offset_seconds(x) if x.type in (v.TIME, v.DATETIME) else F.lit(0)
+        if "timezone" in fields:
+            offset = _offset_of_text(fields["timezone"].col)
+        out = F.struct(nanos.alias("nanos"), offset.cast("int").alias("offset"))
+    elif kind == "localdatetime":
+        out = _join(date, nanos)
+    else:
+        out = _at_zone(_join(date, nanos), _zone(fields, x.col["zone"] if x.type == v.DATETIME else None))
+    return F.when(x.col.isNotNull(), out)
+
+
 def _truncate(kind: str) -> Callable:
     def f(compiler, args):
         unit_value, x = compiler(args[0]), compiler(args[1]) if len(args) > 1 else _now(kind, compiler)
@@ -505,38 +590,7 @@ def _truncate(kind: str) -> Callable:
             return Value(v.null_of(v.Type(kind)), v.Type(kind))
         if unit not in UNITS and unit not in ("day", "week", "month", "quarter", "year", "weekyear", *LONG_UNITS):
             raise QueryError(f"unknown unit {unit}")
-        has_date = x.type.kind in ("date", "localdatetime", "datetime")
-        date = _truncated_date(unit, wall(x).cast("date")) if has_date else None
-        nanos = _lit(0)
-        if unit in UNITS and x.type != v.DATE:
-            clock = nanos_of_day(x)
-            nanos = clock - clock % UNITS[unit]
-        if date is not None and any(n in fields for n in ("year", "month", "day", "week", "dayofweek", "ordinalday", "quarter", "dayofquarter")):
-            if "dayofweek" in fields and "week" not in fields:
-                date = F.date_add(F.trunc(date, "week"), (_int(fields, "dayofweek", 1) - 1).cast("int"))
-            else:
-                date = _date_from(fields, date)
-        if any(n in fields for n in UNITS):
-            kept = nanos
-            nanos = _time_from(fields, kept)
-            sub = [n for n in ("millisecond", "microsecond", "nanosecond") if n in fields]
-            if sub and unit in ("millisecond", "microsecond"):
-                nanos = nanos + kept % SECOND
-        t = v.Type(kind)
-        if kind == "date":
-            out = date
-        elif kind == "localtime":
-            out = nanos
-        elif kind == "time":
-            offset = offset_seconds(x) if x.type in (v.TIME, v.DATETIME) else F.lit(0)
-            if "timezone" in fields:
-                offset = _offset_of_text(fields["timezone"].col)
-            out = F.struct(nanos.alias("nanos"), offset.cast("int").alias("offset"))
-        elif kind == "localdatetime":
-            out = _join(date, nanos)
-        else:
-            out = _at_zone(_join(date, nanos), _zone(fields, x.col["zone"] if x.type == v.DATETIME else None))
-        return Value(F.when(x.col.isNotNull(), out), t)
+        return Value(let(x.col, lambda c: _cut(kind, unit, Value(c, x.type), fields)), v.Type(kind))
 
     return f
 
@@ -547,7 +601,7 @@ def _truncate(kind: str) -> Callable:
 def accessor(x: Value, name: str) -> Value:
     key = name.lower()
     if x.type == v.DURATION:
-        return Value(_duration_field(x.col, key), INT)
+        return Value(let(x.col, lambda d: _duration_field(d, key)), INT)
     if x.type.kind in ("date", "localdatetime", "datetime"):
         date = wall(x).cast("date")
         quarter_start = F.trunc(date, "quarter")

@@ -106,6 +106,14 @@ def stored(c: Column, dt: st.DataType) -> Column:
     return c
 
 
+def let(c: Column, body) -> Column:
+    """`body(c)` with `c` evaluated once: expressions that use an operand often would otherwise grow exponentially when nested."""
+    text = c._jc.toString() if hasattr(c, "_jc") else ""
+    if text and len(text) <= 60 and "(" not in text:  # a column, a variable or a short literal
+        return body(c)
+    return F.element_at(F.transform(F.array(c), lambda x: body(x)), 1)
+
+
 @dataclass
 class Value:
     """A typed column; `parts` holds the flattened form of a bound node or relationship."""
