@@ -23,6 +23,8 @@ from graphloom.operators.traversal import local_edges
 
 #: Up to so many distinct links (16 bytes each) travel to every executor for per-source searches.
 BROADCAST_LINKS = 5_000_000
+#: Rounds without a test for convergence between two written tables.
+CUT_ROUNDS = 5
 
 
 # ---- counts -----------------------------------------------------------------
@@ -231,9 +233,11 @@ def page_rank(graph: PropertyGraph, iterations: int = 20, damping: float = 0.85)
     out = links.groupBy("src").agg(F.count(F.lit(1)).alias("total"))
     flow = materialize(share.join(out, "src").select("src", "dst", (F.col("k") / F.col("total")).alias("part")))
     rank = ids.select("id", F.lit(1.0 / max(n, 1)).alias("score"))
-    for _ in range(iterations):
+    for round_ in range(iterations):
         sent = flow.join(rank.select(F.col("id").alias("src"), "score"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("part") * F.col("score")).alias("got"))
-        rank = materialize(ids.join(sent, "id", "left").select("id", (F.lit((1 - damping) / max(n, 1)) + damping * F.coalesce("got", F.lit(0.0))).alias("score")))
+        rank = ids.join(sent, "id", "left").select("id", (F.lit((1 - damping) / max(n, 1)) + damping * F.coalesce("got", F.lit(0.0))).alias("score"))
+        if (round_ + 1) % CUT_ROUNDS == 0:  # no round is read twice, so lineage is cut for its length only
+            rank = materialize(rank)
     return rank
 
 

@@ -23,6 +23,7 @@ from pyspark.sql.window import Window
 from graphloom.functions.scalars import METRICS
 from graphloom.functions.stemmer import stem
 from graphloom.functions.stop_words import STOP_WORDS
+from graphloom.operators.durable import materialize
 from graphloom.operators.graph import PropertyGraph
 from graphloom.operators.traversal import reach
 
@@ -75,10 +76,10 @@ def _indexer(language: str):
 
 
 def build_text_index(texts: DataFrame, label: str, prop: str, language: str = "en") -> TextIndex:
-    """Index ``texts(node, text)``."""
+    """Index ``texts(node, text)``; both tables are written, so a search reads postings and tokenises nothing but its query."""
     rows = texts.where(F.col("node").isNotNull() & F.col("text").isNotNull()).select(F.col("node").cast("bigint"), F.col("text").cast("string"))
-    postings = rows.mapInArrow(_indexer(language), "node bigint, term string, tf int")
-    return TextIndex(label, prop, language, postings, postings.groupBy("node").agg(F.sum("tf").alias("length")))
+    postings = materialize(rows.mapInArrow(_indexer(language), "node bigint, term string, tf int"))
+    return TextIndex(label, prop, language, postings, materialize(postings.groupBy("node").agg(F.sum("tf").alias("length"))))
 
 
 def create_text_index(graph: PropertyGraph, label: str, prop: str, language: str = "en") -> PropertyGraph:
@@ -227,6 +228,7 @@ class Subgraph:
 
 
 def _around(graph: PropertyGraph, seeds: DataFrame, hops: int, most: int | None) -> Subgraph:
+    seeds = materialize(seeds)
     found, truncated = reach(graph, seeds.select(F.col("node").alias("id")), hops, most)
     nodes = found.select(F.col("id").alias("node")).join(seeds, "node", "left")
     edges = graph.edge_frame()[0].select("id", "src", "dst", "type")

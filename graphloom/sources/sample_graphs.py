@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ def _renamed(df: DataFrame, key: str, base: int, prefix: str, names: list[str])
     return df.select((F.col(key).cast("bigint") + base).alias("id"), *[F.col(prefix + n).alias(n) for n in names])
 
 
+@lru_cache(maxsize=8)
 def commerce_graph(spark: SparkSession, folder: str) -> PropertyGraph:
     """The star schema as a graph. Relationships without a key of their own are identified by a hash of the row."""
     t = lambda n: table(spark, folder, n)
@@ -75,6 +78,7 @@ def commerce_graph(spark: SparkSession, folder: str) -> PropertyGraph:
     return graph.with_edges(knows, "KNOWS", "Customer", "Customer")
 
 
+@lru_cache(maxsize=8)
 def social_graph(spark: SparkSession, folder: str) -> PropertyGraph:
     """The graph tables: the newest row of each node and edge; edges without both ends are no relationships."""
     nodes = (
