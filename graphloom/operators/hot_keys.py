@@ -58,9 +58,10 @@ def entry_counts(edges: DataFrame) -> DataFrame:
 def hot_nodes(edges: DataFrame, share: float = 0.01) -> DataFrame:
     """``(side, edge_type, node, entries)`` of nodes whose entries are at least `share` of all distinct edges."""
     counts = _counts(edges)
-    # Each edge has exactly one row on its out side, the null node included.
+    # Each edge has exactly one row on its out side, the null node included. The quotient is compared, since it is
+    # rounded to the nearest double as the share is: 7 of 700 are exactly 0.01, but 0.01 * 700 is more than 7.
     total = counts.where(F.col("side") == "out").agg(F.sum("entries").alias("n"))
-    return counts.where(F.col("node").isNotNull() & (F.col("entries") >= F.lit(share) * total.scalar()))
+    return counts.where(F.col("node").isNotNull() & (F.col("entries") / total.scalar() >= F.lit(share)))
 
 
 def sorted_adjacency(edges: DataFrame, chunk: int = 4096) -> DataFrame:

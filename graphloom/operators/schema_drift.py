@@ -168,21 +168,19 @@ def _records(bodies: DataFrame) -> DataFrame:
 
 def _file_schemas(parsed: DataFrame) -> DataFrame:
     """``(feed, file_no, label, props array<struct<path, kind>>)``; its rows are as wide as a schema."""
-    tally = parsed.groupBy("feed", "file_no", "path", "kind", "label").agg(F.count(F.lit(1)).alias("n"))
-    by_path = tally.groupBy("feed", "file_no", "path").agg(
-        F.sum("n").alias("n"),
-        F.max(F.when(F.col("kind") != "null", F.struct("n", "kind"))).alias("kind"),
-        F.max(F.when(F.col("path").isNull() & F.col("label").isNotNull(), F.struct("n", "label"))).alias("label"),
+    tally = materialize(parsed.groupBy("feed", "file_no", "path", "kind", "label").agg(F.count(F.lit(1)).alias("n")))
+    files = tally.where(F.col("path").isNull()).groupBy("feed", "file_no").agg(
+        F.sum("n").alias("records"), F.max(F.when(F.col("label").isNotNull(), F.struct("n", "label"))).alias("label")
     )
-    prop = F.when(F.col("path").isNotNull(), F.struct(F.col("path"), F.col("kind.kind").alias("kind"), F.col("n")))
-    files = by_path.groupBy("feed", "file_no").agg(
-        F.max(F.when(F.col("path").isNull(), F.col("n"))).alias("records"),
-        F.max("label.label").alias("label"),
-        F.collect_list(prop).alias("props"),
+    files = files.select("feed", "file_no", "records", "label.label")
+    by_path = tally.where(F.col("path").isNotNull()).groupBy("feed", "file_no", "path").agg(
+        F.sum("n").alias("n"), F.max(F.when(F.col("kind") != "null", F.struct("n", "kind"))).alias("kind")
     )
-    held = F.filter("props", lambda p: p["n"] * PRESENCE >= F.col("records"))
-    slim = F.array_sort(F.transform(held, lambda p: F.struct(p["path"].alias("path"), p["kind"].alias("kind"))))
-    return files.select("feed", "file_no", "label", slim.alias("props"))
+    # Only paths that belong to the file are gathered: at most PRESENCE times as many as a record holds on average.
+    held = by_path.join(files.select("feed", "file_no", "records"), ["feed", "file_no"]).where(F.col("n") * PRESENCE >= F.col("records"))
+    wide = held.groupBy("feed", "file_no").agg(F.array_sort(F.collect_list(F.struct("path", F.col("kind.kind").alias("kind")))).alias("props"))
+    none = F.array().cast("array<struct<path:string,kind:string>>")
+    return files.join(wide, ["feed", "file_no"], "left").select("feed", "file_no", "label", F.coalesce("props", none).alias("props"))
 
 
 def _neighbours(schemas: DataFrame) -> DataFrame:
