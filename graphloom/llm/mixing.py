@@ -158,8 +158,9 @@ def mix(
         "repeat",
         "tokens",
     )
-    order = materialize(order.orderBy("position", "source", "doc_id", "repeat"))
-    used = order.groupBy("source").agg(F.sum("tokens").alias("used"))
+    placed = materialize(order)
+    order = placed.orderBy("position", "source", "doc_id", "repeat")  # a range partitioning by position, then sorted slices
+    used = placed.groupBy("source").agg(F.sum("tokens").alias("used"))
     everything = used.agg(F.sum("used")).first()[0] or 0
     report = (
         plan.join(used, "source", "left")
