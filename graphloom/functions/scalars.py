@@ -140,11 +140,21 @@ def _keys(x):
 
 
 def _end(which: str):
-    def f(r):
+    @lazy
+    def f(compiler, args):
+        r = compiler(args[0])
         if _null(r):
             return literal(None)
+        if r.type.kind != "rel":
+            raise QueryError("startNode() and endNode() need a relationship")
         p = parts_of(r)
-        return Value(getattr(p, which), INT)  # the id of the node: a relationship does not carry its ends' properties
+        ends = compiler.params.get("  ends", {}).get(args[0].name) if isinstance(args[0], s.Var) else None
+        if ends is None or any(n not in compiler.scope for n in ends):
+            return Value(getattr(p, which), INT)  # a relationship on its own knows the ids of its ends only
+        left, right = (compiler.scope[n] for n in ends)
+        t = unify([left.type, right.type])
+        here = getattr(p, which) == parts_of(left).id
+        return Value(F.when(here, convert(left, t).col).otherwise(convert(right, t).col), t)
 
     return f
 

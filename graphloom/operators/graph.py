@@ -158,6 +158,37 @@ class PropertyGraph:
         both = {"out": out, "in": come, "both": out.unionByName(come)}[direction]
         return both.join(ids.select("id").distinct(), "id")
 
+    def nodes_by_label(self, label: str) -> DataFrame:
+        return self.node_frame((label,))[0]
+
+    def edges_by_type(self, type: str) -> DataFrame:
+        return self.edge_frame((type,))[0]
+
+    def node_exists(self, node_id: int) -> bool:
+        return bool(self.ids().where(F.col("id") == node_id).take(1))
+
+    def node_labels(self, node_id: int) -> list[str] | None:
+        row = self.node(node_id).select("labels").first()
+        return None if row is None else list(row["labels"])
+
+    def has_relationships(self, node_id: int) -> bool:
+        return bool(self.links().where((F.col("src") == node_id) | (F.col("dst") == node_id)).take(1))
+
+    def property_values(self, name: str, label: str | None = None) -> DataFrame:
+        """``(id, value)`` of all nodes that have the property."""
+        df, types = self.node_frame((label,) if label else ())
+        value = F.col(f"p_{name}") if name in types else F.lit(None).cast("string")
+        return df.select("id", value.alias("value")).where(F.col("value").isNotNull())
+
+    def property_range(self, name: str, label: str | None = None) -> tuple | None:
+        """Smallest and largest value of a property, None if no node has it."""
+        row = self.property_values(name, label).agg(F.min("value").alias("a"), F.max("value").alias("b")).first()
+        return None if row["a"] is None else (row["a"], row["b"])
+
+    def property_groups(self, name: str, label: str | None = None) -> DataFrame:
+        """``(value, n)``: how many nodes have each value."""
+        return self.property_values(name, label).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+
     # ---- queries ----
 
     def query(self, text: str, procedures: dict | None = None, **params: Any) -> DataFrame:

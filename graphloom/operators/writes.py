@@ -318,6 +318,7 @@ def _relabelled(x: NodeTable, rows: DataFrame, labels: tuple[str, ...], add: boo
 def write(graph: PropertyGraph, statement: s.Single, params: dict, clock: dt.datetime, procedures: dict) -> tuple[DataFrame | None, PropertyGraph]:
     writer = Writer(graph, params, clock, procedures)
     writer.uses = Uses(statement.clauses)
+    writer.params["  ends"] = writer.uses.ends
     frame, last = Frame(None), None
     for k, clause in enumerate(statement.clauses):
         if isinstance(clause, s.Return) and k != len(statement.clauses) - 1:

@@ -42,8 +42,14 @@ class Uses:
     def __init__(self, clauses: list):
         self.of: dict[str, set[str]] = {}
         self.same: list[tuple[str, str]] = []
+        self.ends: dict[str, tuple[str, str]] = {}  # relationship -> the nodes of its hop
+        asked: set[str] = set()
+        self.asked = asked
         for clause in clauses:
             self._clause(clause)
+        for r in asked & set(self.ends):
+            for n in self.ends[r]:
+                self._add(n, "*")
         for _ in self.same:
             for a, b in self.same:
                 self.of.setdefault(a, set()).update(self.of.get(b, ()))
@@ -82,6 +88,9 @@ class Uses:
         self.of = _Everything()
 
     def _pattern(self, p: s.PathPattern) -> None:
+        for at, r in enumerate(p.rels):
+            if r.named and r.span is None:
+                self.ends[r.var] = (p.nodes[at].var, p.nodes[at + 1].var)
         for x in (*p.nodes, *p.rels):
             if x.props is not None:
                 if isinstance(x.props, s.MapOf):
@@ -100,6 +109,8 @@ class Uses:
             self._add(e.name, "*")
         elif isinstance(e, s.HasLabels) and isinstance(e.x, s.Var):
             self._add(e.x.name, "  labels")
+        elif isinstance(e, s.Call) and e.name.lower() in ("startnode", "endnode") and len(e.args) == 1 and isinstance(e.args[0], s.Var):
+            self.asked.add(e.args[0].name)
         elif isinstance(e, s.Call) and e.name.lower() in ("id", "count") and len(e.args) == 1 and isinstance(e.args[0], s.Var):
             pass
         elif isinstance(e, s.IsNull) and isinstance(e.x, s.Var):
@@ -185,6 +196,7 @@ class Planner:
             out = shaped[0].union(shaped[1])
             return (out if statement.all else out.distinct()), [(n, t) for (n, _), t in zip(a, types)]
         self.uses = Uses(statement.clauses)
+        self.params["  ends"] = self.uses.ends
         frame, last = Frame(None), None
         clauses = statement.clauses
         for k, clause in enumerate(clauses):

@@ -180,6 +180,22 @@ def test_grouping_sorting_and_nulls(awkward):
     assert ask(awkward, "UNWIND [] AS x RETURN count(x) AS n, sum(x) AS s, collect(x) AS c, min(x) AS m") == [(0, 0, [], None)]
 
 
+def test_ends_of_relationships(modern, awkward):
+    assert ask(modern, "MATCH (a)-[r:KNOWS]->(b) RETURN startNode(r).name AS s, endNode(r).age AS e ORDER BY e") == [("marko", 27), ("marko", 32)]
+    got = ask(awkward, "MATCH (a {name: 'ada'})-[r:KNOWS]-(b) RETURN startNode(r).name AS s, endNode(r).name AS e, b.name AS b ORDER BY s, e")
+    assert got == [("ada", "bob", "bob"), ("ada", "bob", "bob"), ("ada", "eve", "eve"), ("cal", "ada", "cal"), ("eve", "ada", "eve")]
+
+
+def test_reading_a_graph(modern):
+    assert modern.node_exists(1) and not modern.node_exists(99)
+    assert modern.node_labels(3) == ["Software"] and modern.node_labels(99) is None
+    assert modern.has_relationships(1) and modern.nodes_by_label("Person").count() == 4 and modern.edges_by_type("CREATED").count() == 4
+    assert modern.property_range("age", "Person") == (27, 35) and modern.property_range("none") is None
+    assert sorted(tuple(r) for r in modern.property_groups("lang").collect()) == [("java", 2)]
+    near = modern.neighbours(modern.ids().where("id = 1"), "out", ("KNOWS",))
+    assert sorted(r.other for r in near.collect()) == [2, 4]
+
+
 def test_parameters_and_procedures(spark, awkward):
     assert ask(awkward, "MATCH (a $props) RETURN a.name AS n", props={"name": "ada"}) == [("ada",)]
     assert ask(awkward, "UNWIND $rows AS r RETURN r.a + 1 AS x SKIP $s LIMIT 1 + 1", rows=[{"a": 1}, {"a": 2}, {"a": 3}], s=1) == [(3,), (4,)]
