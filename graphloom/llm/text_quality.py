@@ -63,7 +63,8 @@ _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _MARK = re.compile(r"\s*(?:[-*•–—+·▪◦‣]|\(?\d{1,4}[.):]|\(?[A-Za-z][.)]|\[[ xX]?\])\s+\S")
 _QUOTE = re.compile(r"\s*>\s?")
 _HEADING = re.compile(r"\s*#{1,6}\s")
-_END = re.compile(r"[.!?…:。！？][\"'»”)\]]*\s*$")
+_ENDS = frozenset(".!?…:。！？")
+_CLOSERS = "\"'»”)]"
 _STOP = re.compile(r"[.!?…。！？][\"'»”)\]]*(?=\s|$)")
 _CODE = re.compile(r"\s*(?:[0-9A-Fa-f]{4,16}:?\s+)?(?:(?:[0-9A-Fa-f]{2}\s+){7,}[0-9A-Fa-f]{2}.*|[A-Za-z0-9+/=_-]{32,})\s*$")
 _GAPS = re.compile(r"\S {2,}(?=\S)")
@@ -75,10 +76,15 @@ _VOWELS = frozenset("aeiouyäöüáéíóúàèìòùâêîôûœæåøë")
 _SEPARATORS = (" / ", "; ", ";", ", ", ",", " | ", "|", " - ", " · ", " • ", "\t")
 
 
+def _stops(line: str) -> bool:
+    """Whether a line ends as a sentence does."""
+    return line.rstrip().rstrip(_CLOSERS)[-1:] in _ENDS
+
+
 def _cells(line: str) -> dict[str, int]:
     """Number of separators of each kind that could part the line into cells."""
     bars = line.strip().strip("|").count("|")
-    return {"|": bars, "\t": line.count("\t"), ";": line.count(";"), ",": line.count(","), " ": len(_GAPS.findall(line.strip()))}
+    return {"|": bars, "\t": line.count("\t"), ";": line.count(";"), ",": line.count(","), " ": len(_GAPS.findall(line.strip())) if "  " in line else 0}
 
 
 def _rows(lines: list[str]) -> list[bool]:
@@ -149,16 +155,16 @@ def _mixed(token: str) -> bool:
 def _is_prose_block(lines: list[str]) -> bool:
     """Whether consecutive plain lines read as running text that is merely broken into lines."""
     text = " ".join(lines)
-    words = [w.lower() for w in _WORD.findall(text)]
+    words = _WORD.findall(text.lower())
     if len(words) < 6:
         return False
     common = sum(w in COMMON for w in words) / len(words)
     if common >= 0.24:
         return True
     stops = len(_STOP.findall(text))
-    ends = sum(bool(_END.search(x)) for x in lines)
+    ends = sum(map(_stops, lines))
     # Sentences that run over line ends: fewer lines than stops would make stop, and the last one does.
-    return stops > 0 and stops * 40 >= len(words) and len(words) >= 4 * len(lines) and bool(_END.search(lines[-1])) and (ends < len(lines) or len(words) >= 9 * len(lines))
+    return stops > 0 and stops * 40 >= len(words) and len(words) >= 4 * len(lines) and _stops(lines[-1]) and (ends < len(lines) or len(words) >= 9 * len(lines))
 
 
 def _line_kinds(lines: list[str]) -> list[str]:
@@ -172,7 +178,7 @@ def _line_kinds(lines: list[str]) -> list[str]:
         prose = _is_prose_block([lines[i] for i in block])
         for i in block:
             n = len(lines[i].split())
-            kinds[i] = "prose" if prose or n > 8 or _END.search(lines[i]) and n > 3 else "item"
+            kinds[i] = "prose" if prose or n > 8 or _stops(lines[i]) and n > 3 else "item"
         block.clear()
 
     for i, line in enumerate(lines):
@@ -194,8 +200,7 @@ def _line_kinds(lines: list[str]) -> list[str]:
 
 def statistics(text: str) -> list[float]:
     """The values of STATS for one text."""
-    found = _WORD.findall(text)
-    words = [w.lower() for w in found]
+    words = _WORD.findall(text.lower())
     n = max(1, len(words))
     tally = Counter()
     upper = 0
@@ -215,7 +220,7 @@ def statistics(text: str) -> list[float]:
     total = max(1, sum(size.values()))
     line_kinds = Counter(kinds)
     marked = sum(bool(_MARK.match(x)) for x in lines)
-    punctuated = sum(bool(_END.search(x)) for x in lines)
+    punctuated = sum(map(_stops, lines))
     bare = sum(not any(map(str.isalpha, x)) for x in lines)
     count = Counter(words)
     triples = set(zip(words, words[1:], words[2:]))
