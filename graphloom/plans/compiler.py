@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -743,6 +743,39 @@ class Planner:
     # ---- rewrites ----
 
     def shortcut(self, clauses: list) -> tuple[DataFrame, list[tuple[str, Type]]] | None:
+        return self.two_hop_count(clauses) or self.grouped_degree(clauses)
+
+    def grouped_degree(self, clauses: list) -> tuple[DataFrame, list[tuple[str, Type]]] | None:
+        """Counts of one hop grouped by its other end: relationships are counted per node before the node is joined."""
+        if len(clauses) != 2 or not isinstance(clauses[0], s.Match):
+            return None
+        m, body = clauses[0], clauses[1].body
+        p = m.patterns[0]
+        if m.optional or len(m.patterns) != 1 or len(p.rels) != 1 or p.var or body.star or p.rels[0].span or p.rels[0].props is not None:
+            return None
+        exprs = [i.expr for i in body.items] + [e for e, _ in body.order] + ([m.where] if m.where is not None else [])
+        seen = {x.name for e in exprs for x in s.walk(e) if isinstance(x, s.Var)} - {i.name for i in body.items if i.aliased}
+        kept = next((i for i in (0, 1) if seen == {p.nodes[i].var}), None)
+        aggregates = [x for e in exprs for x in s.walk(e) if is_aggregate(x)]
+        special = any(isinstance(x, s.PatternComprehension) for e in exprs for x in s.walk(e))
+        if kept is None or special or not aggregates or any(not x.star for x in aggregates) or m.where is not None and has_aggregate(m.where):
+            return None
+        other = 1 - kept
+        if p.nodes[other].props is not None or p.nodes[0].var == p.nodes[1].var or not self.implied(p, 0, other):
+            return None
+        edges, _, left, right = self.relation(Frame(None), p, 0)
+        end, number = (left, right)[kept], self.fresh("n")
+        counted = edges.groupBy(F.col(end)).agg(F.count(F.lit(1)).alias(number))
+        nodes = self.node(Frame(None), p.nodes[kept])
+        joined = nodes.df.join(counted, F.col(end) == parts_of(nodes.scope[p.nodes[kept].var]).id)
+        frame = self.filter(Frame(joined, nodes.scope | {"  n": Value(F.col(number), INT)}), m.where)
+        total = s.Call("sum", (s.Var("  n"),))
+        swap = lambda e: _replaced(e, lambda x: total if is_aggregate(x) else None)
+        items = [s.Item(swap(i.expr), i.name, i.aliased) for i in body.items]
+        out = self.project(frame, replace(body, items=items, order=[(swap(e), up) for e, up in body.order]), None)
+        return self.result(out, self.returned)
+
+    def two_hop_count(self, clauses: list) -> tuple[DataFrame, list[tuple[str, Type]]] | None:
         """Two-hop path counts from degrees: one row per middle node instead of one per path."""
         if len(clauses) != 2 or not isinstance(clauses[0], s.Match):
             return None
@@ -788,6 +821,18 @@ def _labels(labels: tuple[str, ...]) -> Column:
     return F.array(*[F.lit(x) for x in labels]).cast("array<string>")
 
 
+def _replaced(e, change: Callable):
+    """The expression with every part for which `change` gives something else replaced."""
+    new = change(e)
+    if new is not None:
+        return new
+    if isinstance(e, tuple):
+        return tuple(_replaced(x, change) for x in e)
+    if isinstance(e, s.Expr) and not isinstance(e, s.Lit):
+        return replace(e, **{k: _replaced(x, change) for k, x in vars(e).items() if isinstance(x, (s.Expr, tuple))})
+    return e
+
+
 def _all(conditions: list[Column]) -> Column:
     out = conditions[0]
     for c in conditions[1:]:

@@ -212,6 +212,11 @@ def test_rewrites_change_nothing(awkward):
         "MATCH (a)-[:KNOWS|LIKES]->(b)-[:LIKES]->(c) RETURN count(*) AS n",
         "MATCH (a:Hub)-[:LINKS]->(b:Hub)-[:LINKS]->(c:Hub) RETURN count(*) AS n",
         "MATCH (a:Hub)<-[:LINKS]-(b)-[]->(c) RETURN count(*) AS n",
+        "MATCH (a)-[:KNOWS]->(b) RETURN b.name AS b, count(*) * 2 AS n ORDER BY count(*) DESC, b LIMIT 3",
+        "MATCH (a:Person)-[:KNOWS]-(b) WHERE a.city = 'oslo' RETURN a.city AS c, a.name STARTS WITH 'a' AS s, count(*) AS n ORDER BY s",
+        "MATCH (a:Hub)<-[:LINKS]-(b:Hub) RETURN a.n AS n, count(*) AS k ORDER BY k, n",
+        "MATCH (a:Hub)-[:LINKS]->(a) RETURN a.n AS n, count(*) AS k",
+        "MATCH (a:Nobody)-[:LINKS]->(b) RETURN count(*) AS k, count(*) + 1 AS l",
     ):
         fast, slow = (run(awkward, query, {}, rewrites=r).df.collect() for r in (True, False))
         assert fast == slow, query
