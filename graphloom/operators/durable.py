@@ -8,6 +8,7 @@ absent (tests on one machine) a local temporary folder stands in.
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -17,11 +18,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-_local: list[str] = []
+_folders: set[str] = set()  # local and file: folders to be removed at exit
+_temporary: list[str] = []
 
 
 def _forget() -> None:
-    for path in _local:
+    for path in _folders:
         shutil.rmtree(path, ignore_errors=True)
 
 
@@ -33,12 +35,21 @@ def shared_folder(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         folder = f"{base.rstrip('/')}/graphloom-{spark.sparkContext.applicationId}"
-        if base.startswith(("file:", "/")) and (plain := folder.removeprefix("file://")) not in _local:
-            _local.append(plain)
+        if base.startswith(("file:", "/")):
+            _folders.add("/" + folder.removeprefix("file:").lstrip("/"))
         return folder
-    if not _local or not _local[0].startswith(tempfile.gettempdir()):
-        _local.insert(0, tempfile.mkdtemp(prefix="graphloom-"))
-    return _local[0]
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("on a cluster spark.checkpoint.dir must name a folder that all executors share")
+    if not _temporary:
+        _temporary.append(tempfile.mkdtemp(prefix="graphloom-"))
+        _folders.add(_temporary[0])
+    return _temporary[0]
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application; results that still read them become unusable."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
