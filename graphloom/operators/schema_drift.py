@@ -43,7 +43,7 @@ RELATIVE = 0.2
 #: Required-column tables of at most so many rows are broadcast (about 100 bytes each).
 BROADCAST_ROWS = 200_000
 
-_PARSED = "feed string, file_no int, node_id bigint, body_id bigint, path string, kind string, value bigint, text string, label string"
+_PARSED = "feed string, file_no int, node_id bigint, body_id bigint, path string, kind string, value bigint, label string"
 _PARSED_ARROW = pa.schema(
     [
         ("feed", pa.string()),
@@ -53,7 +53,6 @@ _PARSED_ARROW = pa.schema(
         ("path", pa.string()),
         ("kind", pa.string()),
         ("value", pa.int64()),
-        ("text", pa.string()),
         ("label", pa.string()),
     ]
 )
@@ -110,44 +109,38 @@ def _properties(props: str | None) -> Iterator[tuple[str, object]]:
             yield name, value
 
 
-def _parser(with_text: bool):
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh3_64_intdigest
-        for batch in batches:
-            at, path, kind, value, text = [], [], [], [], []
-            for i, props in enumerate(batch["props"].to_pylist()):
-                at.append(i)  # the record itself: a row without path
-                path.append(None)
-                kind.append(None)
-                value.append(0)
-                text.append(None)
-                for name, leaf in _properties(props):
-                    k, t = _kind_and_text(leaf)
-                    at.append(i)
-                    path.append(name)
-                    kind.append(k)
-                    value.append(digest(t.encode("utf-8", "surrogatepass")))
-                    text.append((t[1:] if k == "string" else t) if with_text and k != "null" else None)
-            take = pa.array(at, pa.int32())
-            record = np.array([p is None for p in path], bool)
-            label = pa.compute.if_else(pa.array(record), batch["label"].take(take), pa.scalar(None, pa.string()))
-            path_column = pa.array(path, pa.string())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch["feed"].take(take),
-                    batch["file_no"].take(take),
-                    batch["node_id"].take(take),
-                    batch["body_id"].take(take),
-                    path_column,
-                    pa.array(kind, pa.string()),
-                    pa.array(np.array(value, np.uint64).view(np.int64)),
-                    pa.array([x.encode("utf-8", "replace").decode() if x else x for x in text], pa.string()),
-                    label,
-                ],
-                schema=_PARSED_ARROW,
-            )
-
-    return parse
+def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per record (without path, with its label) and one per property."""
+    digest = xxhash.xxh3_64_intdigest
+    for batch in batches:
+        at, path, kind, value = [], [], [], []
+        for i, props in enumerate(batch["props"].to_pylist()):
+            at.append(i)
+            path.append(None)
+            kind.append(None)
+            value.append(0)
+            for name, leaf in _properties(props):
+                k, text = _kind_and_text(leaf)
+                at.append(i)
+                path.append(name)
+                kind.append(k)
+                value.append(digest(text.encode("utf-8", "surrogatepass")))
+        take = pa.array(at, pa.int32())
+        record = pa.array([p is None for p in path], pa.bool_())
+        label = pa.compute.if_else(record, batch["label"].take(take), pa.scalar(None, pa.string()))
+        yield pa.RecordBatch.from_arrays(
+            [
+                batch["feed"].take(take),
+                batch["file_no"].take(take),
+                batch["node_id"].take(take),
+                batch["body_id"].take(take),
+                pa.array([p and p.encode("utf-8", "replace").decode() for p in path], pa.string()),
+                pa.array(kind, pa.string()),
+                pa.array(np.array(value, np.uint64).view(np.int64)),
+                label,
+            ],
+            schema=_PARSED_ARROW,
+        )
 
 
 def _records(bodies: DataFrame) -> DataFrame:
@@ -361,7 +354,7 @@ class Drift:
 
 def trace(bodies: DataFrame) -> Drift:
     """All changes between neighbouring files of every feed."""
-    parsed = materialize(_records(bodies).mapInArrow(_parser(False), _PARSED))
+    parsed = materialize(_records(bodies).mapInArrow(_parse, _PARSED))
     schemas = materialize(_file_schemas(parsed))
     steps = materialize(_neighbours(schemas))
     paths = lambda c: F.transform(c, lambda p: p["path"])
@@ -412,6 +405,51 @@ def trace(bodies: DataFrame) -> Drift:
     return Drift(changes, renames, schemas)
 
 
+_TABLE = "body_id bigint, feed string, file_no int, node_id bigint, label string, props map<string, struct<kind: string, text: string>>"
+_PROPS = pa.map_(pa.string(), pa.struct([("kind", pa.string()), ("text", pa.string())]))
+
+
+def _cast(kind: str, text: str, to: str | None) -> str | None:
+    """The text of a value after a cast to the type `to`, None if it does not cast."""
+    if to in (None, "string") or to == kind != "float":
+        return text
+    if to == "list":
+        return json.dumps([text])
+    if to == "boolean":
+        return text.lower() if text.lower() in ("true", "false") else None
+    try:
+        number = float(text)
+    except ValueError:
+        return None
+    if to == "float":
+        return repr(number)
+    return str(int(number)) if number.is_integer() else None
+
+
+def _translator(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known: dict[tuple, dict[str, tuple[str, str | None]]] = {}
+    for batch in batches:
+        out = []
+        feeds, files, lists = batch["feed"].to_pylist(), batch["file_no"].to_pylist(), batch["names"]
+        for i, props in enumerate(batch["props"].to_pylist()):
+            key = (feeds[i], files[i])
+            if key not in known:
+                if len(known) > 10_000:
+                    known.clear()
+                known[key] = {x["path"]: (x["name"], x["to_kind"]) for x in lists[i].as_py() or ()}
+            row: dict[str, dict] = {}
+            for path, leaf in _properties(props):
+                kind, text = _kind_and_text(leaf)
+                name, to = known[key].get(path, (path, None if kind == "null" else kind))
+                value = None if kind == "null" else _cast(kind, text[1:] if kind == "string" else text, to)
+                # Two old names may meet under one new name in a stray record: a value that casts wins, then the larger text.
+                if name not in row or value is not None and (row[name]["text"] is None or value > row[name]["text"]):
+                    row[name] = {"kind": to, "text": value and value.encode("utf-8", "replace").decode()}
+            out.append(list(row.items()))
+        columns = [batch[n] for n in ("body_id", "feed", "file_no", "node_id", "label")]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(out, _PROPS)], names=["body_id", "feed", "file_no", "node_id", "label", "props"])
+
+
 def consistent_names(drift: Drift, rounds: int = 64) -> DataFrame:
     """``(feed, file_no, path, name)``: the name each property of each file has in the newest file it reaches.
 
@@ -481,30 +519,10 @@ def consistent_table(bodies: DataFrame, drift: Drift | None = None) -> DataFrame
     """
     drift = drift or trace(bodies)
     names = consistent_names(drift)
-    kinds = (
-        drift.schemas.select("feed", "file_no", F.inline("props"))
-        .join(names, ["feed", "file_no", "path"])
-        .groupBy("feed", "name")
-        .agg(F.max_by("kind", F.when(F.col("kind").isNotNull(), F.col("file_no"))).alias("to_kind"))
-    )
-    parsed = materialize(_records(bodies).mapInArrow(_parser(True), _PARSED))
-    values = parsed.join(names, ["feed", "file_no", "path"], "left").withColumn("name", F.coalesce("name", "path"))
-    own = F.when(F.col("kind") != "null", F.col("kind"))
-    values = values.join(kinds, ["feed", "name"], "left").withColumn("to_kind", F.when(F.col("to_kind").isNotNull(), F.col("to_kind")).when(F.col("label").isNull(), own))
-    as_number = F.expr("try_cast(text as double)")
-    cast = (
-        F.when(F.col("to_kind") == "integer", F.when(as_number == F.floor(as_number), F.expr("cast(try_cast(text as decimal(38,0)) as string)")))
-        .when(F.col("to_kind") == "float", as_number.cast("string"))
-        .when(F.col("to_kind") == "boolean", F.when(F.lower("text").isin("true", "false"), F.lower("text")))
-        .when(F.col("to_kind") == "list", F.when(F.col("kind") == "list", F.col("text")).otherwise(F.to_json(F.array("text"))))
-        .otherwise(F.col("text"))
-    )
-    # Two old names may meet under one new name in a stray record: the value that casts wins, then the larger text.
-    one = values.groupBy("body_id", "feed", "file_no", "node_id", "name", "to_kind").agg(
-        F.max("label").alias("label"), F.max(cast).alias("text")
+    named = names.join(drift.schemas.select("feed", "file_no", F.inline("props")), ["feed", "file_no", "path"])
+    kinds = named.groupBy("feed", "name").agg(F.max_by("kind", F.when(F.col("kind").isNotNull(), F.col("file_no"))).alias("to_kind"))
+    # One row per file, as wide as its schema: the records themselves are neither exploded nor regrouped.
+    maps = (
+        names.join(kinds, ["feed", "name"]).groupBy("feed", "file_no").agg(F.collect_list(F.struct("path", "name", "to_kind")).alias("names"))
     )
-    entry = F.when(F.col("name").isNotNull(), F.struct("name", F.struct(F.col("to_kind").alias("kind"), F.col("text").alias("text")).alias("v")))
-    # A record is as wide as its own props: the collected list is bounded by the record.
-    wide = one.groupBy("body_id", "feed", "file_no", "node_id").agg(F.max("label").alias("label"), F.collect_list(entry).alias("props"))
-    by_name = F.map_from_entries(F.filter("props", lambda e: e["name"].isNotNull()))
-    return wide.withColumn("props", by_name)
+    return _records(bodies).join(maps, ["feed", "file_no"], "left").mapInArrow(_translator, _TABLE)
