@@ -321,11 +321,21 @@ _social("bfs_multi_source", lambda g: traversal.reach(g, _ids(g.spark, 1_001, 1_
 , r AS (SELECT unnest([1001, 1005])::BIGINT AS id, 0 AS depth UNION SELECT l.dst, depth + 1 FROM r JOIN l ON l.src = r.id WHERE depth < 2) SELECT id, min(depth) AS depth FROM r GROUP BY 1""")
 _social("shortest_path_len", lambda g: g.spark.createDataFrame([(len(traversal.shortest_path(g, 1_001, 9) or [None]) - 1,)], "hops bigint"), """
 , r AS (SELECT CAST(1001 AS BIGINT) AS id, 0 AS d UNION SELECT l.dst, d + 1 FROM r JOIN l ON l.src = r.id WHERE d < 8) SELECT coalesce(min(d), 0) AS hops FROM r WHERE id = 9""")
-_social("sssp_weighted", lambda g: traversal.distances(g, 1_001).select("id", F.round("distance", 6).alias("distance")))
+_social("sssp_weighted", lambda g: traversal.distances(g, 1_001).select("id", F.round("distance", 6).alias("distance")), """
+, w AS MATERIALIZED (SELECT src, dst, min(coalesce(weight, 1.0)) AS w FROM l GROUP BY 1, 2),
+d(id, dist) USING KEY (id) AS (
+  SELECT CAST(1001 AS BIGINT), CAST(0 AS DOUBLE)
+  UNION SELECT w.dst, min(d.dist + w.w) FROM d JOIN w ON w.src = d.id LEFT JOIN recurring.d r ON r.id = w.dst WHERE r.dist IS NULL OR d.dist + w.w < r.dist GROUP BY w.dst
+) SELECT id, round(dist, 6) AS distance FROM d""")
 _social("all_shortest_paths", lambda g: traversal.all_shortest_paths(g, 1_001, 9))
 _social("topk_paths", lambda g: g.spark.createDataFrame([(i, p, round(w, 6)) for i, (p, w) in enumerate(traversal.top_paths(g, 1_001, 9, 3))], "rank int, path array<bigint>, weight double"))
 _social("detect_cycle", lambda g: g.spark.createDataFrame([(traversal.has_cycle(g),)], "cycle boolean"))
-_social("wcc", centrality.wcc)
+_social("wcc", centrality.wcc, """
+, u AS MATERIALIZED (SELECT DISTINCT src AS a, dst AS b FROM l UNION SELECT dst, src FROM l),
+d(id, component) USING KEY (id) AS (
+  SELECT id, id FROM n
+  UNION SELECT u.b, min(d.component) FROM d JOIN u ON u.a = d.id JOIN recurring.d r ON r.id = u.b WHERE d.component < r.component GROUP BY u.b
+) SELECT id, component FROM d""")
 _social("scc", centrality.scc)
 _social("clustering_coefficient", lambda g: _rounded(centrality.clustering(g)), """
 , u AS (SELECT DISTINCT src AS a, dst AS b FROM l WHERE src <> dst UNION SELECT dst, src FROM l WHERE src <> dst), d AS (SELECT a, count(*) AS d FROM u GROUP BY 1),
@@ -335,10 +345,10 @@ _social("triangle_count", centrality.triangles, """
 SELECT count(*) AS count FROM l x JOIN l y ON x.dst = y.src JOIN l z ON y.dst = z.src AND z.dst = x.src WHERE x.id <> y.id AND y.id <> z.id AND x.id <> z.id""")
 
 
-def _unrolled(rounds: int, first: str, step: str, places: int = 8) -> str:
+def _unrolled(rounds: int, first: str, step: str, places: int = 8, last: str | None = None) -> str:
     parts = [f", r0 AS MATERIALIZED ({first})"]
     parts += [f", r{i} AS MATERIALIZED ({step.replace('$PREV', f'r{i - 1}')})" for i in range(1, rounds + 1)]
-    return "".join(parts) + f" SELECT id, round(s, {places}) AS score FROM r{rounds}"
+    return "".join(parts) + f" SELECT id, {last or f'round(s, {places}) AS score'} FROM r{rounds}"
 
 
 _social("pagerank", lambda g: _rounded(centrality.page_rank(g)), ", o AS (SELECT src, count(*) AS k FROM l GROUP BY 1)" + _unrolled(
@@ -351,7 +361,12 @@ _social("katz", lambda g: _rounded(centrality.katz(g, 0.001, 1.0, 8, 0.0), place
     11,
 ))
 _social("eigenvector", lambda g: _rounded(centrality.eigenvector(g), places=6))
-_social("label_propagation", lambda g: centrality.label_propagation(g, 5))
+_social("label_propagation", lambda g: centrality.label_propagation(g, 5), ", ways AS MATERIALIZED (SELECT src AS a, dst AS b FROM l UNION ALL SELECT dst, src FROM l)" + _unrolled(
+    5, "SELECT id, id AS s FROM n",
+    "SELECT n.id, coalesce(c, p.s) AS s FROM n JOIN $PREV p USING (id) LEFT JOIN (SELECT a, c FROM (SELECT a, s AS c, count(*) AS k FROM ways JOIN $PREV q ON q.id = b GROUP BY 1, 2)"
+    " QUALIFY row_number() OVER (PARTITION BY a ORDER BY k DESC, c) = 1) v ON v.a = n.id",
+    last="s AS community",
+))
 _social("louvain", centrality.louvain)
 _social("communities", lambda g: centrality.communities(g, 5, 3))
 _social("betweenness", lambda g: _rounded(centrality.betweenness(g), places=4))
