@@ -306,6 +306,15 @@ def _ids(spark: SparkSession, *values: int) -> DataFrame:
     return spark.createDataFrame([(x,) for x in values], "id bigint")
 
 
+#: Hop distances between all pairs of nodes.
+_ALL_PAIRS = """
+, x AS MATERIALIZED (SELECT DISTINCT src, dst FROM l WHERE src <> dst),
+f(s, id, d) USING KEY (s, id) AS (
+  SELECT id, id, 0 FROM n
+  UNION SELECT f.s, x.dst, min(f.d + 1) FROM f JOIN x ON x.src = f.id LEFT JOIN recurring.f r ON r.s = f.s AND r.id = x.dst WHERE r.d IS NULL GROUP BY 1, 2
+), far AS (SELECT s, id, d FROM f)
+"""
+
 for _way, _ends in (("out", "SELECT DISTINCT src AS id, dst AS o, 0 AS w FROM l"), ("in", "SELECT DISTINCT dst AS id, src AS o, 0 AS w FROM l"),
                     ("both", "SELECT DISTINCT src AS id, dst AS o, 0 AS w FROM l UNION ALL SELECT DISTINCT dst, src, 1 FROM l")):
     _social(f"degree_{_way}", lambda g, way=_way: centrality.degree(g, way), f", d AS ({_ends}), c AS (SELECT id, count(*) AS k FROM d GROUP BY 1) SELECT n.id, coalesce(k, 0) AS degree FROM n LEFT JOIN c USING (id)")
@@ -336,7 +345,7 @@ d(id, component) USING KEY (id) AS (
   SELECT id, id FROM n
   UNION SELECT u.b, min(d.component) FROM d JOIN u ON u.a = d.id JOIN recurring.d r ON r.id = u.b WHERE d.component < r.component GROUP BY u.b
 ) SELECT id, component FROM d""")
-_social("scc", centrality.scc)
+_social("scc", centrality.scc, _ALL_PAIRS + "SELECT a.s AS id, min(a.id) AS component FROM far a JOIN far b ON b.s = a.id AND b.id = a.s GROUP BY 1")
 _social("clustering_coefficient", lambda g: _rounded(centrality.clustering(g)), """
 , u AS (SELECT DISTINCT src AS a, dst AS b FROM l WHERE src <> dst UNION SELECT dst, src FROM l WHERE src <> dst), d AS (SELECT a, count(*) AS d FROM u GROUP BY 1),
 t AS (SELECT x.a, count(*) AS t FROM u x JOIN u y ON x.a = y.a AND x.b < y.b JOIN u z ON z.a = x.b AND z.b = y.b GROUP BY 1)
@@ -370,8 +379,9 @@ _social("label_propagation", lambda g: centrality.label_propagation(g, 5), ", wa
 _social("louvain", centrality.louvain)
 _social("communities", lambda g: centrality.communities(g, 5, 3))
 _social("betweenness", lambda g: _rounded(centrality.betweenness(g), places=4))
-_social("harmonic", lambda g: _rounded(centrality.harmonic(g), places=6))
-_social("closeness", lambda g: _rounded(centrality.closeness(g), places=6))
+_social("harmonic", lambda g: _rounded(centrality.harmonic(g), places=6), _ALL_PAIRS + "SELECT s AS id, round(sum(CASE WHEN d > 0 THEN 1.0 / d ELSE 0.0 END), 6) AS score FROM far GROUP BY 1")
+_social("closeness", lambda g: _rounded(centrality.closeness(g), places=6), _ALL_PAIRS + """
+SELECT s AS id, round(coalesce((count(*) - 1) / nullif(sum(d), 0)::DOUBLE * ((count(*) - 1) / ((SELECT count(*) FROM n) - 1)::DOUBLE), 0.0), 6) AS score FROM far GROUP BY 1""")
 _social("max_flow", lambda g: g.spark.createDataFrame([(round(traversal.max_flow(g, 1_001, 9, "weight"), 6),)], "flow double"))
 _social("spanning_forest", lambda g: traversal.spanning_forest(g).agg(F.count("id").alias("edges"), F.round(F.sum("weight"), 6).alias("weight")))
 _social("link_prediction", lambda g: _link_rows(g), """
