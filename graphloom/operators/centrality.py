@@ -353,8 +353,29 @@ def _levels(g: _Adjacency, source: int) -> Iterator[tuple[int, np.ndarray]]:
         depth += 1
 
 
+def _small(graph: PropertyGraph) -> bool:
+    return graph.links().where("src <> dst").distinct().count() <= BROADCAST_LINKS and graph.node_count() <= BROADCAST_LINKS
+
+
+def _all_distances(graph: PropertyGraph) -> DataFrame:
+    """``(s, id, d)`` hop distances of all pairs by frontier joins, for graphs that no executor can hold."""
+    links = materialize(graph.links().where("src <> dst").distinct())
+    known = frontier = materialize(graph.ids().distinct().select(F.col("id").alias("s"), "id", F.lit(0).alias("d")))
+    depth = 0
+    while True:
+        depth += 1
+        fresh = frontier.join(links, frontier["id"] == links["src"]).select("s", F.col("dst").alias("id")).distinct()
+        fresh = materialize(fresh.join(known, ["s", "id"], "left_anti").withColumn("d", F.lit(depth)))
+        if not fresh.take(1):
+            return known
+        known, frontier = known.unionByName(fresh), fresh
+
+
 def harmonic(graph: PropertyGraph) -> DataFrame:
     """``(id, score)``: the sum of 1/distance over the nodes that outgoing links reach."""
+    if not _small(graph):
+        part = F.when(F.col("d") > 0, 1.0 / F.col("d")).otherwise(0.0)
+        return _all_distances(graph).groupBy(F.col("s").alias("id")).agg(F.sum(part).alias("score"))
 
     def work(g: _Adjacency, sources: np.ndarray) -> pd.DataFrame:
         scores = [sum(len(f) / d for d, f in _levels(g, s) if d) for s in sources]
@@ -365,6 +386,10 @@ def harmonic(graph: PropertyGraph) -> DataFrame:
 
 def closeness(graph: PropertyGraph) -> DataFrame:
     """``(id, score)``: (r / sum of distances) (r / (n - 1)) for r reached nodes, 0 if there are none."""
+    if not _small(graph):
+        sums = _all_distances(graph).groupBy(F.col("s").alias("id")).agg((F.count(F.lit(1)) - 1).alias("r"), F.sum("d").alias("t"))
+        others = graph.node_count() - 1
+        return sums.select("id", F.when(F.col("t") > 0, F.col("r") / F.col("t") * F.col("r") / F.lit(others)).otherwise(0.0).alias("score"))
 
     def work(g: _Adjacency, sources: np.ndarray) -> pd.DataFrame:
         scores = []

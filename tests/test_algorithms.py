@@ -143,6 +143,14 @@ def test_scores(case):
     assert sum(table(c.eigenvector(g)).values()) == pytest.approx(N)
 
 
+def test_scores_of_graphs_too_large_to_broadcast(case, monkeypatch):
+    g, _ = case
+    want = [table(f(g)) for f in (c.harmonic, c.closeness)]
+    monkeypatch.setattr(c, "BROADCAST_LINKS", 0)
+    for f, own in zip((c.harmonic, c.closeness), want):
+        close(table(f(g)), own)
+
+
 def test_triangles_clustering_and_links(spark, case):
     g, edges = case
     b = Brute(edges)
