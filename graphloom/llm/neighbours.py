@@ -5,7 +5,13 @@ full-dimensional codewords: the first codebook is a coarse one whose codes form
 inverted lists, the others are residual codebooks whose codes are found by beam
 search. Each row stores its codes and the squared norm of its approximation; a
 query scores the members of its nearest lists through a table of its inner
-products with all codewords, and the best of each list are reranked exactly.
+products with all codewords, and the best of each list are reranked exactly. This
+first pass only bounds a query's k-th distance. The second one visits every list
+that may hold something as near (distance to the list's centre less its radius)
+and compares all its members (a product of 64 components costs less than the table
+look-ups), so nothing is missed: the result is that of a full comparison.
+Where vectors have no near neighbours the bounds exclude little, and the second
+pass comes close to comparing all pairs.
 
 Rules: a row is void unless its embedding has `dimensions` finite components;
 of a node's other rows the one with the latest ``updated_at`` counts (ties: the
@@ -41,8 +47,12 @@ BLOCK_ROWS = 32_768
 RESIDUAL_BOOKS = 4
 RESIDUAL_WORDS = 32
 BEAM = 4
-#: Members of a list that are reranked exactly, per neighbour asked for.
+#: Members of a list that the first pass reranks exactly, per neighbour asked for.
 RERANK = 4
+#: Rounding error of squared distances of unit vectors in single precision, with room.
+SLACK = 1e-5
+#: Candidates of a block held before they are cut to the first of each query.
+HELD = 2_000_000
 SALTS = 64
 
 
@@ -167,6 +177,7 @@ def _coder(model: AdditiveQuantiser, dimensions: int, probes: int):
             ("group", pa.int32()),
             ("codes", pa.binary()),
             ("norm", pa.float32()),
+            ("spread", pa.float32()),
             ("targets", pa.list_(pa.struct([("group", pa.int32()), ("lists", pa.list_(pa.int32()))]))),
         ]
     )
@@ -179,6 +190,7 @@ def _coder(model: AdditiveQuantiser, dimensions: int, probes: int):
             raw = np.ascontiguousarray(np.asarray(batch["embedding"].flatten(), np.float32)).reshape(n, dimensions)
             unit = _unit(raw).astype(np.float32)
             own, codes, norm = model.encode(unit)
+            spread = np.sqrt(((unit - model.coarse[own]) ** 2).sum(1))
             asked = np.asarray(batch["query"].to_numpy(zero_copy_only=False), bool)
             targets: list = [None] * n
             at = np.flatnonzero(asked)
@@ -200,6 +212,7 @@ def _coder(model: AdditiveQuantiser, dimensions: int, probes: int):
                     pa.array(model.group_of[own], pa.int32()),
                     pa.array([r.tobytes() for r in small], pa.binary()),
                     pa.array(norm.astype(np.float32)),
+                    pa.array(spread.astype(np.float32)),
                     pa.array(targets, schema.field("targets").type),
                 ],
                 schema=schema,
@@ -208,12 +221,44 @@ def _coder(model: AdditiveQuantiser, dimensions: int, probes: int):
     return code
 
 
-_CODED = "node_id bigint, query boolean, vector binary, list int, group int, codes binary, norm float, targets array<struct<group: int, lists: array<int>>>"
+_CODED = "node_id bigint, query boolean, vector binary, list int, group int, codes binary, norm float, spread float, targets array<struct<group: int, lists: array<int>>>"
 _HITS = "query_id bigint, node_id bigint, distance double"
 
 
-def _matcher(model: AdditiveQuantiser, dimensions: int, wanted: int, within: float | None):
-    """Best `wanted` rows of a block for each of its queries."""
+def _reach(bound: np.ndarray) -> np.ndarray:
+    """Distance between unit vectors that belongs to a cosine distance, rounded up."""
+    return np.sqrt(2 * bound + SLACK)
+
+
+def _squares(asked: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return (asked * asked).sum(1)[:, None] + (centres * centres).sum(1) - 2 * (asked @ centres.T)
+
+
+def _widener(model: AdditiveQuantiser, dimensions: int, radius: np.ndarray):
+    """Groups in which a query may have something within its bound."""
+
+    def widen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups = [np.flatnonzero((model.group_of == g) & (radius >= 0)) for g in range(int(model.group_of.max()) + 1)]
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            asked = _unit(_matrix(batch["vector"].to_pylist(), dimensions)).astype(np.float32)
+            bound = np.asarray(batch["bound"], np.float64)
+            safe = np.empty((len(asked), len(radius)), bool)
+            for at in range(0, len(asked), 1024):
+                limit = _reach(bound[at : at + 1024])[:, None] + np.maximum(radius, 0)
+                safe[at : at + 1024] = _squares(asked[at : at + 1024], model.coarse) <= limit * limit + SLACK
+            hit = np.stack([safe[:, own].any(1) for own in groups], 1)
+            names = np.arange(len(groups), dtype=np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [batch["node_id"], batch["bound"], pa.array([names[h].tolist() for h in hit], pa.list_(pa.int32()))], names=["node_id", "bound", "groups"]
+            )
+
+    return widen
+
+
+def _matcher(model: AdditiveQuantiser, dimensions: int, wanted: int, widen: bool):
+    """Best `wanted` rows of a block for each of its queries: in the lists named, or if `widen` in all that its bound does not exclude."""
 
     def match(base: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "node_id": pd.Series(dtype="int64"), "distance": pd.Series(dtype="float64")})
@@ -223,59 +268,69 @@ def _matcher(model: AdditiveQuantiser, dimensions: int, wanted: int, within: flo
         asked = _unit(_matrix(queries["q_vector"], dimensions))
         rows32, asked32 = rows.astype(np.float32), asked.astype(np.float32)
         codes = np.frombuffer(b"".join(base["codes"]), np.uint8).reshape(len(base), -1)
-        norm = base["norm"].to_numpy()
+        norm, spread = base["norm"].to_numpy(), base["spread"].to_numpy()
+        ids, names = base["node_id"].to_numpy(), queries["q_id"].to_numpy()
+        bound = queries["q_bound"].to_numpy(np.float64).copy()
         order = np.argsort(base["list"].to_numpy(), kind="stable")
         lists, starts = np.unique(base["list"].to_numpy()[order], return_index=True)
-        ends = np.append(starts[1:], len(order))
-        member = {int(item): order[a:b] for item, a, b in zip(lists, starts, ends)}
-        probing: dict[int, list[int]] = {}
-        for i, own in enumerate(queries["q_lists"]):
-            for item in own:
-                probing.setdefault(int(item), []).append(i)
-        table = np.einsum("qd,mwd->mqw", asked32, model.books, optimize=True)  # inner products with every residual codeword
+        member = {int(item): own for item, own in zip(lists, np.split(order, starts[1:]))}
+        probing: dict[int, list[int] | np.ndarray] = {}
+        if widen:
+            for item, own in member.items():
+                limit = _reach(bound) + spread[own].max()
+                probing[item] = np.flatnonzero(_squares(asked32, model.coarse[item : item + 1])[:, 0] <= limit * limit + SLACK)
+        else:
+            for i, own in enumerate(queries["q_lists"]):
+                for item in own:
+                    probing.setdefault(int(item), []).append(i)
+        table = None if widen else np.einsum("qd,mwd->mqw", asked32, model.books, optimize=True)  # inner products with every residual codeword
         most = RERANK * wanted
-        found_q, found_r, found_d = [], [], []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+
+        def cut() -> None:
+            """Exact distances of the candidates held; the first of each query stay and lower its bound."""
+            nonlocal best
+            q, r = (np.concatenate(c) for c in zip(*held))
+            held.clear()
+            exact = np.empty(len(q))
+            for at in range(0, len(q), 65536):
+                exact[at : at + 65536] = (rows[r[at : at + 65536]] * asked[q[at : at + 65536]]).sum(1)
+            exact = np.maximum(np.round(1.0 - exact, 12) + 0.0, 0.0)
+            keep = exact <= bound[q]
+            q, r, exact = (np.concatenate(c) for c in zip(best, (q[keep], r[keep], exact[keep])))
+            best = _first(q, r, exact, ids[r], wanted)
+            full = np.bincount(best[0], minlength=len(bound)) >= wanted
+            last = np.zeros(len(bound))
+            np.maximum.at(last, best[0], best[2])
+            bound[full] = np.minimum(bound[full], last[full])
+
         for item, who in probing.items():
-            if item not in member:
+            if item not in member or not len(who):
                 continue
-            own, who = member[item], np.array(who)
-            own_codes, own_norm = codes[own], norm[own]
-            step = max(1, 2_000_000 // len(own))
+            own, who = member[item], np.asarray(who)
+            step = max(1, HELD // len(own))
             for at in range(0, len(who), step):
                 q = who[at : at + step]
-                score = np.repeat((asked32[q] @ model.coarse[item])[:, None], len(own), 1)
-                for m in range(RESIDUAL_BOOKS):
-                    score += table[m][q][:, own_codes[:, m]]
-                score = 2 * score - own_norm
-                if len(own) > most:
-                    best = np.argpartition(-score, most - 1, axis=1)[:, :most]
+                if widen:
+                    near = asked32[q] @ rows32[own].T >= (1 - SLACK - bound[q]).astype(np.float32)[:, None]
+                    i, j = np.divmod(np.flatnonzero(near), len(own))
                 else:
-                    best = np.tile(np.arange(len(own)), (len(q), 1))
-                for part in range(0, len(q), 2048):
-                    some = own[best[part : part + 2048]]
-                    rough = 1.0 - np.matmul(rows32[some], asked32[q[part : part + 2048]][:, :, None])[:, :, 0]
-                    if within is None:
-                        i, j = np.nonzero(np.ones_like(rough, bool))
+                    score = np.repeat((asked32[q] @ model.coarse[item])[:, None], len(own), 1)
+                    for m in range(RESIDUAL_BOOKS):
+                        score += np.take(table[m][q], codes[own, m], axis=1)
+                    if len(own) > most:
+                        top = np.argpartition(norm[own] - 2 * score, most - 1, axis=1)[:, :most]
                     else:
-                        i, j = np.nonzero(rough <= within + 1e-3)
-                    found_q.append(q[part + i])
-                    found_r.append(some[i, j])
-                    found_d.append(rough[i, j])
-        if not found_q:
-            return empty
-        q, r, d = np.concatenate(found_q), np.concatenate(found_r), np.concatenate(found_d)
-        ids, names = base["node_id"].to_numpy(), queries["q_id"].to_numpy()
-        if within is None:  # single precision is enough to find those worth the exact distance
-            q, r, d = _first(q, r, d, d, wanted + 16)
-        exact = np.empty(len(q))
-        for at in range(0, len(q), 65536):
-            exact[at : at + 65536] = (rows[r[at : at + 65536]] * asked[q[at : at + 65536]]).sum(1)
-        exact = np.round(1.0 - exact, 12) + 0.0
-        if within is not None:
-            keep = exact <= within
-            q, r, exact = q[keep], r[keep], exact[keep]
-        q, r, exact = _first(q, r, exact, ids[r], wanted)
-        return pd.DataFrame({"query_id": names[q], "node_id": ids[r], "distance": np.maximum(exact, 0.0)})
+                        top = np.tile(np.arange(len(own)), (len(q), 1))
+                    i, j = np.repeat(np.arange(len(q)), top.shape[1]), top.ravel()
+                held.append((q[i], own[j]))
+                if sum(len(h[0]) for h in held) >= HELD:
+                    cut()
+        if held:
+            cut()
+        q, r, exact = best
+        return pd.DataFrame({"query_id": names[q], "node_id": ids[r], "distance": exact})
 
     return match
 
@@ -297,6 +352,28 @@ def _smallest(df: DataFrame, group: list[str], order: list[Column], count: int)
     return some.withColumn("position", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("position") <= count).drop("_salt")
 
 
+def _search(coded: DataFrame, sent: DataFrame, matcher) -> DataFrame:
+    """Hits of the queries ``sent`` (node_id, vector, group, lists, bound) in their groups, block by block."""
+    per_base = coded.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("base_parts"))
+    per_query = sent.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("query_parts"))
+    parts = materialize(per_base.join(per_query, "group"))
+    spread = lambda n: F.pmod(F.xxhash64("node_id"), F.col(n)).cast("int")
+    count = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = coded.join(parts, "group").select(
+        "group", spread("base_parts").alias("bp"), count("query_parts").alias("qp"), "node_id", "vector", "list", "codes", "norm", "spread"
+    )
+    right = sent.join(parts, "group").select(
+        F.col("group").alias("q_group"),
+        count("base_parts").alias("q_bp"),
+        spread("query_parts").alias("q_qp"),
+        F.col("node_id").alias("q_id"),
+        F.col("vector").alias("q_vector"),
+        F.col("lists").alias("q_lists"),
+        F.col("bound").alias("q_bound"),
+    )
+    return left.groupBy("group", "bp", "qp").cogroup(right.groupBy("q_group", "q_bp", "q_qp")).applyInPandas(matcher, _HITS)
+
+
 def nearest(
     vectors: DataFrame,
     k: int = 10,
@@ -309,7 +386,8 @@ def nearest(
     """``(query_id, node_id, distance, rank)``: the k nearest other nodes of every node that satisfies `asked`.
 
     `asked` is a condition on ``node_id`` (default: all nodes). `within` keeps
-    neighbours up to that distance only, which needs fewer `probes`.
+    neighbours up to that distance only. `probes` lists of each query are visited
+    first; further ones follow where they may hold something as near.
     """
     spark = vectors.sparkSession
     zero = F.forall("embedding", lambda v: v == 0)
@@ -337,24 +415,20 @@ def nearest(
     if sample:
         model = AdditiveQuantiser.fit(_unit(np.array(sample, np.float32)).astype(np.float32), rows)
         coded = materialize(base.mapInArrow(_coder(model, dimensions, probes), _CODED))
-        sent = coded.where("query").select("node_id", "vector", F.inline("targets"))
-        per_base = coded.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("base_parts"))
-        per_query = sent.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("query_parts"))
-        parts = materialize(per_base.join(per_query, "group"))
-        spread = lambda n: F.pmod(F.xxhash64("node_id"), F.col(n)).cast("int")
-        count = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-        left = coded.join(parts, "group").select(
-            "group", spread("base_parts").alias("bp"), count("query_parts").alias("qp"), "node_id", "vector", "list", "codes", "norm"
-        )
-        right = sent.join(parts, "group").select(
-            F.col("group").alias("q_group"),
-            count("base_parts").alias("q_bp"),
-            spread("query_parts").alias("q_qp"),
-            F.col("node_id").alias("q_id"),
-            F.col("vector").alias("q_vector"),
-            F.col("lists").alias("q_lists"),
-        )
-        found = left.groupBy("group", "bp", "qp").cogroup(right.groupBy("q_group", "q_bp", "q_qp")).applyInPandas(_matcher(model, dimensions, k + 1, within), _HITS)
+        limit = 2.0 if within is None else min(float(within), 2.0)
+        named_lists = coded.where("query").select("node_id", "vector", F.inline("targets")).withColumn("bound", F.lit(limit))
+        first = _search(coded, named_lists, _matcher(model, dimensions, k + 1, False))
+        place = F.row_number().over(Window.partitionBy("query_id").orderBy("distance"))
+        last = first.withColumn("_at", place).where(F.col("_at") == k + 1).select(F.col("query_id").alias("node_id"), "distance")
+        bound = F.coalesce(F.col("distance"), F.lit(limit)).alias("bound")
+        radius = np.full(len(model.coarse), -1.0)
+        for r in coded.groupBy("list").agg(F.max("spread").alias("radius")).collect():
+            radius[r.list] = r.radius
+        bounded = coded.where("query").select("node_id", "vector").join(last, "node_id", "left").select("node_id", "vector", bound)
+        reached = materialize(bounded.mapInArrow(_widener(model, dimensions, radius), "node_id bigint, bound double, groups array<int>"))
+        lists = F.lit(None).cast("array<int>").alias("lists")
+        sent = coded.where("query").select("node_id", "vector").join(reached, "node_id").select("node_id", "vector", F.explode("groups").alias("group"), lists, "bound")
+        found = _search(coded, sent, _matcher(model, dimensions, k + 1, True))
     if within is None or within >= 1:
         found = _with_zeros(spark, valid, classes, found, k)
     if found is None:

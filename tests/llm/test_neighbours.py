@@ -121,3 +121,15 @@ def test_beam_search_beats_greedy_codes(cloud):
         nb.BEAM = beam
     other = model.coarse[own] + sum(model.books[m][greedy[:, m]] for m in range(nb.RESIDUAL_BOOKS))
     assert error <= ((unit - other) ** 2).sum(1).mean() + 1e-9
+
+
+def test_one_probe_misses_nothing(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    ids, x = np.arange(2000), rng.normal(size=(2000, 16)).astype(np.float32)
+    df = make(spark, [(int(i), v, DAY) for i, v in zip(ids, x)])
+    monkeypatch.setattr(nb, "RERANK", 1)
+    monkeypatch.setattr(nb, "HELD", 500, raising=False)
+    assert lists(nb.nearest(df, 5, 16, probes=1)) == brute(ids, x.astype(float), 5)
+    close = brute(ids, x.astype(float), 5, 0.3)
+    pairs = {(min(a, b), max(a, b)) for a, own in close.items() for b in own}
+    assert {tuple(r) for r in nb.close_pairs(df, 5, 0.3, 16, 1).collect()} == pairs
