@@ -17,8 +17,11 @@ Rules: a row is void unless its embedding has `dimensions` finite components;
 of a node's other rows the one with the latest ``updated_at`` counts (ties: the
 largest embedding); null nodes are left out; a zero vector has distance 1 to
 everything; equal distances (to 12 decimals) go by the smaller node. Copies of
-one vector share one search and only the k + 1 smallest of them are indexed,
-which is all that can be among anyone's k nearest. Extra columns are ignored; an
+one direction (components over the largest one, in double precision, so exact
+multiples agree) share one search and only the k + 1 smallest of them are indexed,
+which is all that can be among anyone's k nearest. Directions are not rounded
+further, since distances to 12 decimals tell rounded multiples apart; these are
+searched one by one. Extra columns are ignored; an
 empty table gives an empty result.
 
 Bounds: codebooks are fitted on at most TRAIN_ROWS rows chosen by hash; every row
@@ -391,15 +394,17 @@ def nearest(
     """
     spark = vectors.sparkSession
     zero = F.forall("embedding", lambda v: v == 0)
+    largest = F.nullif(F.array_max(F.transform("embedding", F.abs)).cast("double"), F.lit(0.0))
+    direction = F.transform("embedding", lambda v: v / F.col("largest"))
     valid = materialize(
-        current_vectors(vectors, dimensions).select(
-            "node_id", "embedding", zero.alias("zero"), F.xxhash64("embedding").alias("h1"), F.xxhash64(F.lit(seed), F.reverse("embedding")).alias("h2")
-        )
+        current_vectors(vectors, dimensions)
+        .withColumn("largest", largest)
+        .select("node_id", "embedding", zero.alias("zero"), F.xxhash64(direction).alias("h1"), F.xxhash64(F.lit(seed), F.reverse(direction)).alias("h2"))
     )
     wants = F.coalesce(asked, F.lit(False)) if asked is not None else F.lit(True)
     proper = valid.where("NOT zero")
     members = proper.select("node_id", "h1", "h2", wants.alias("wanted"))
-    # Copies: one search per distinct vector, named by its smallest node.
+    # Copies: one search per distinct direction, named by its smallest node.
     classes = members.groupBy("h1", "h2").agg(F.min("node_id").alias("class_id"), F.max("wanted").alias("query"))
     leading = _smallest(members.select("node_id", "h1", "h2"), ["h1", "h2"], [F.col("node_id")], k + 1)
     indexed = leading.join(classes, ["h1", "h2"]).select("node_id", (F.col("query") & (F.col("node_id") == F.col("class_id"))).alias("query"))

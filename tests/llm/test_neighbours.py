@@ -133,3 +133,18 @@ def test_one_probe_misses_nothing(spark, monkeypatch):
     close = brute(ids, x.astype(float), 5, 0.3)
     pairs = {(min(a, b), max(a, b)) for a, own in close.items() for b in own}
     assert {tuple(r) for r in nb.close_pairs(df, 5, 0.3, 16, 1).collect()} == pairs
+
+
+def test_scaled_copies_go_by_the_smallest_ids(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(400, 16)).astype(np.float32)
+    one = rng.integers(-9, 10, 16).astype(np.float32)
+    x[::2] = one * rng.integers(1, 90, 200).astype(np.float32)[:, None]
+    x[1:400:8] = x[3] * np.float32(1.1) ** np.arange(50, dtype=np.float32)[:, None]  # not exact multiples
+    ids = rng.permutation(400)
+    df = make(spark, [(int(i), v, DAY) for i, v in zip(ids, x)])
+    want = brute(ids, x.astype(float), 5)
+    assert lists(nb.nearest(df, 5, 16)) == want
+    close = brute(ids, x.astype(float), 5, 0.1)
+    pairs = {(min(a, b), max(a, b)) for a, own in close.items() for b in own}
+    assert {tuple(r) for r in nb.close_pairs(df, 5, 0.1, 16).collect()} == pairs
