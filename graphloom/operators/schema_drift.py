@@ -3,10 +3,9 @@
 Method: similarity flooding. Each file becomes a schema graph of property
 names, nesting and types. For every two neighbouring files of a feed the
 pairwise graph starts from name and type similarities; scores then flow along
-the nesting and type edges until they converge, and the pairs of properties
-that stay strong relative to their best rival are the correspondences. An exact
-check of the values of each proposed pair decides which of them are renames;
-the strongest one-to-one choice among these maps every property to the name it
+the nesting and type edges until they converge and rank the pairs of a vanished
+and a new property. An exact check of the values of every such pair, however weak
+its score, decides which of them are renames; the strongest one-to-one choice among these maps every property to the name it
 has in the newest file, to whose type the values are cast before the union.
 
 Input columns: ``body_id, feed, file_no, node_id, label, labels, props,
@@ -38,8 +37,6 @@ from graphloom.operators.durable import materialize, running_total
 
 #: A property belongs to a file when 1 of so many records holds it.
 PRESENCE = 5
-#: Correspondences weaker than this share of the best score of both their ends are dropped.
-RELATIVE = 0.2
 #: Required-column tables of at most so many rows are broadcast (about 100 bytes each).
 BROADCAST_ROWS = 200_000
 
@@ -303,8 +300,7 @@ def _correspondences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 old = [(i, x) for i, (k, x) in enumerate(a.names) if k == "property" and x not in right]
                 new = [(j, x) for j, (k, x) in enumerate(b.names) if k == "property" and x not in left]
                 sub = s[np.ix_([i for i, _ in old], [j for j, _ in new])]
-                bar = RELATIVE * np.minimum(sub.max(1)[:, None], sub.max(0)[None, :])
-                for i, j in zip(*np.nonzero(sub >= bar)):
+                for i, j in np.ndindex(*sub.shape):
                     out.append((r.feed, r.old_file, r.file_no, old[i][1], new[j][1], float(sub[i, j])))
         yield pd.DataFrame(out, columns=["feed", "old_file", "file_no", "old_name", "new_name", "score"])
 

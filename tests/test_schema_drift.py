@@ -92,3 +92,19 @@ def test_flooding_prefers_like_structure():
     at = lambda g, n: g.names.index(("property", n))
     assert s[at(a, "geo.lon"), at(b, "place.longitude")] > s[at(a, "geo.lon"), at(b, "heading")]
     assert s[at(a, "title"), at(b, "heading")] > s[at(a, "title"), at(b, "place.latitude")]
+
+
+def test_renames_between_unlike_names_with_look_alike_rivals(spark):
+    same = {f"property_{i}": i for i in range(8)}
+    data = bodies("f", 1, lambda n: same | {"city": f"c{n}", "home_town": n}, 0)
+    data += bodies("f", 2, lambda n: same | {"hometown": f"c{n}", "city_": n}, 100)
+    assert changes(spark, data) == [("f", 2, "renamed", "city", "hometown"), ("f", 2, "renamed", "home_town", "city_")]
+    data = bodies("f", 1, lambda n: same | {"city": f"c{n}", "home_town": n}, 0)
+    data += bodies("f", 2, lambda n: same | {"hometown": f"c{n}", "city_": -n - 1}, 100)
+    data += bodies("g", 1, lambda n: same | {"city": n, "home.town": f"c{n}", "home.x": 1}, 200)
+    data += bodies("g", 2, lambda n: same | {"home.towns": n / 1, "citys": f"c{n}", "home.x": 1}, 300)
+    assert [c for c in changes(spark, data) if c[2] == "renamed"] == [
+        ("f", 2, "renamed", "city", "hometown"),
+        ("g", 2, "renamed", "city", "home.towns"),
+        ("g", 2, "renamed", "home.town", "citys"),
+    ]
