@@ -391,9 +391,20 @@ c AS (SELECT p.a, p.b, count(*) AS k, sum(CASE WHEN d > 1 THEN 1.0 / ln(d) ELSE
 SELECT p.a, p.b, coalesce(k, 0) AS common_neighbors, round(coalesce(k, 0) / (x.d + y.d - coalesce(k, 0)), 8) AS jaccard, round(coalesce(aa, 0.0), 8) AS adamic_adar,
   round(coalesce(ra, 0.0), 8) AS resource_allocation, x.d * y.d AS preferential_attachment FROM p LEFT JOIN c USING (a, b) JOIN d x ON x.a = p.a JOIN d y ON y.a = p.b""")
 
-
-def _link_rows(g: PropertyGraph) -> DataFrame:
-    pairs = g.links(("KNOWS",)).where("src < dst").select(F.col("src").alias("a"), F.col("dst").alias("b"))
+#: Every linked pair, whichever way its links run; link_prediction has only those from the smaller to the larger id.
+_social("link_prediction_all", lambda g: _link_rows(g, turned=True))
+SQL["link_prediction_all"] = SQL["link_prediction"].replace(
+    "SELECT DISTINCT src AS a, dst AS b FROM l WHERE type = 'KNOWS' AND src < dst",
+    "SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM l WHERE type = 'KNOWS' AND src <> dst",
+)
+
+
+def _link_rows(g: PropertyGraph, turned: bool = False) -> DataFrame:
+    links = g.links(("KNOWS",))
+    if turned:
+        pairs = links.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
+    else:
+        pairs = links.where("src < dst").select(F.col("src").alias("a"), F.col("dst").alias("b"))
     out = centrality.link_scores(g, pairs)
     return out.select("a", "b", "common_neighbors", *[F.round(c, 8).alias(c) for c in ("jaccard", "adamic_adar", "resource_allocation")], "preferential_attachment")
 

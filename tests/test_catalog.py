@@ -39,3 +39,10 @@ def test_entry(spark):
 
 def test_names_are_sound():
     assert set(contract.oracle_sql()) <= set(contract.queries())
+
+
+def test_link_prediction_all_scores_every_linked_pair(tables, spark):
+    got = registry.queries()["link_prediction_all"](spark, FOLDER).select("a", "b").collect()
+    some = registry.queries()["link_prediction"](spark, FOLDER).select("a", "b").collect()
+    assert len(got) == len(set(got)) > len(set(some)) and set(some) <= set(got)
+    print("link_prediction pairs", len(set(some)), len(got))
