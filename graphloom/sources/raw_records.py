@@ -335,7 +335,7 @@ def load_records(lines: DataFrame, files: DataFrame) -> DataFrame:
     records = (
         lines.select("file_no", "line_no", "line")
         .join(shapes, "file_no", "left")
-        .where(~((F.col("line_no") == 1) & (F.coalesce("format", F.lit("")) == "csv")))
+        .where(~(F.col("line_no").eqNullSafe(1) & (F.coalesce("format", F.lit("")) == "csv")))
         .select(F.col("file_no").cast("int"), F.col("line_no").cast("int"), "line", "format", "layout", "delimiter")
     )
     return records.mapInArrow(_load, RESULT_DDL)

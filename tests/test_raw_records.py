@@ -99,3 +99,9 @@ def test_empty_and_repeated(spark):
     line = (1, 2, "7;City;nodes;1;2031-02-03T04:05:06Z")
     assert load(spark, [line, line]).count() == 2
     assert load(spark, [line], FILES + FILES).count() == 1
+
+
+def test_rows_without_line_number_are_kept(spark):
+    lines = [(1, None, "7;City;nodes;12;2031-02-03T04:05:06Z"), (1, None, "7;City"), (1, 1, "header"), (3, None, "")]
+    got = sorted((r.file_no, r.reason or "") for r in load(spark, lines).collect())
+    assert got == [(1, ""), (1, "column_count"), (3, "bad_json")]
