@@ -5,10 +5,12 @@ integral is its target weight. Integrating it gives the source's cumulative
 token demand; inverting that demand at the tokens that precede a document of
 the source gives the document's training position, and range-sorting by
 position yields the training order. A source is repeated pass by pass until
-its demand is met, at most ``max_repeats`` times.
+its demand is met, at most ``max_repeats`` times. A source is short if the tokens
+placed for it stay below its demand.
 
 Rules: sources are compared trimmed and in lower case; the total size counts
-every document, those without a listed source too; a null text has no tokens;
+every document, those without a listed source too; a null or empty text has no
+tokens and, as there is nothing to train on, no position in the order;
 of several target rows of one source the weights add up and the largest
 ``max_repeats`` holds; a null or negative ``max_repeats`` is 0 and a null or
 negative weight is 0; documents are used whole, so a source may exceed its
@@ -93,6 +95,38 @@ def _segments(schedule: Mapping[str, Sequence[tuple[float, float]]], sources: li
     return out
 
 
+def opposing_ramps(targets: DataFrame) -> dict[str, list[tuple[float, float]]]:
+    """A schedule under which every other source (by name) grows threefold over the training while the others shrink to a third."""
+    rows = targets.where(F.col("source").isNotNull()).select(F.lower(F.trim("source")).alias("source")).distinct().limit(MOST_TARGETS + 1).collect()
+    names = sorted(r.source for r in rows)
+    return {name: [(0.0, 1.5), (1.0, 0.5)] if i % 2 else [(0.0, 0.5), (1.0, 1.5)] for i, name in enumerate(names)}
+
+
+def adherence(mixture: Mixture, schedule: Mapping[str, Sequence[tuple[float, float]]], steps: int = 10) -> DataFrame:
+    """``(source, step, planned, kept)``: per source and slice of the training time the share of the source's tokens that its
+    schedule demands, and whether the tokens placed there keep to it but for a document at either end of the slice."""
+    spark = mixture.order.sparkSession
+    grown = mixture.report.where("used > 0").select("source", F.least("demand", F.col("reachable").cast("double")).alias("goal"))
+    names = sorted(r.source for r in grown.select("source").collect())  # at most MOST_TARGETS
+    pieces = _segments({k.strip().lower(): v for k, v in schedule.items()}, names)
+    plan = []
+    for source in names:
+        for step in range(steps):
+            share = 0.0
+            for _, t0, t1, w0, w1, _, _ in (x for x in pieces if x[0] == source):
+                a, b = max(t0, step / steps), min(t1, (step + 1) / steps)
+                if b > a:
+                    at = lambda t, t0=t0, t1=t1, w0=w0, w1=w1: w0 + (w1 - w0) * (t - t0) / (t1 - t0)
+                    share += (b - a) * (at(a) + at(b)) / 2
+            plan.append((source, step, share))
+    planned = spark.createDataFrame(plan, "source string, step int, planned double")
+    placed = mixture.order.groupBy("source", F.least(F.floor(F.col("position") * steps), F.lit(steps - 1)).cast("int").alias("step")).agg(F.sum("tokens").alias("placed"))
+    longest = mixture.order.groupBy("source").agg(F.max("tokens").alias("longest"))
+    off = F.abs(F.coalesce("placed", F.lit(0)) - F.col("planned") * F.col("goal"))
+    full = planned.join(grown, "source").join(longest, "source").join(placed, ["source", "step"], "left")
+    return full.select("source", "step", F.round("planned", 9).alias("planned"), (off <= F.col("longest") * 2 + 1).alias("kept"))
+
+
 def mix(
     documents: DataFrame,
     targets: DataFrame,
@@ -121,7 +155,6 @@ def mix(
         .withColumn("size", F.coalesce("size", F.lit(0)))
         .withColumn("demand", F.col("weight") * F.lit(float(total)))
         .withColumn("reachable", F.col("size") * F.col("max_repeats"))
-        .withColumn("short", F.col("reachable") < F.col("demand"))
     )
     plan = materialize(plan)
     normal = {k.strip().lower(): v for k, v in (schedule or {}).items()}
@@ -165,6 +198,7 @@ def mix(
     report = (
         plan.join(used, "source", "left")
         .withColumn("used", F.coalesce("used", F.lit(0)))
+        .withColumn("short", F.col("used") < F.col("demand"))
         .withColumn("actual_share", F.col("used") / F.lit(float(everything or 1)))
         .select("source", "weight", "max_repeats", "size", "demand", "reachable", "short", "used", "actual_share")
     )

@@ -71,3 +71,15 @@ def test_empty(spark):
     m = mix(spark, [], [("x", 1.0, 1)])
     assert m.order.count() == 0 and report(m)["x"].size == 0
     assert mix(spark, [(1, "a", "x")], []).report.count() == 0
+
+
+def test_slices_keep_to_the_schedule(spark):
+    docs = [(i, "one two three four", "x") for i in range(300)] + [(1000 + i, "one two", "y") for i in range(300)]
+    targets = spark.createDataFrame([("x", 0.5, 1), (" Y ", 0.1, 1), ("z", 0.4, 1)], "source string, weight double, max_repeats int")
+    schedule = mixing.opposing_ramps(targets)
+    assert list(schedule) == ["x", "y", "z"] and schedule["x"][0][1] < schedule["x"][1][1] and schedule["y"][0][1] > schedule["y"][1][1]
+    kept = mixing.adherence(mix(spark, docs, [("x", 0.5, 1), ("y", 0.1, 1), ("z", 0.4, 1)], schedule=schedule), schedule).collect()
+    assert len(kept) == 20 and all(r.kept for r in kept)
+    assert abs(sum(r.planned for r in kept if r.source == "x") - 1) < 1e-6
+    other = {"x": [(0.0, 1.5), (1.0, 0.5)], "y": [(0.0, 0.5), (1.0, 1.5)]}
+    assert not all(r.kept for r in mixing.adherence(mix(spark, docs, [("x", 0.5, 1), ("y", 0.1, 1)], schedule=schedule), other).collect())
