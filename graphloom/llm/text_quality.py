@@ -3,13 +3,14 @@
 Method: gradient-boosted trees over document statistics. The training rows are
 weakly labelled: a bounded sample of the corpus by confident rules, and lists,
 tables and junk made from the words of that sample; documents on which the
-rules are unsure train nothing. The class probabilities are calibrated
-(temperature and class offsets) on the hand-checked texts of `quality_holdout`.
+rules are unsure train nothing and are decided by the model alone. The class
+probabilities are calibrated (temperature and class offsets) on the hand-checked
+texts of `quality_holdout`.
 
 Every statistic is computed over the whole text of every document. A null text
 has null statistics, a blank one zeros; neither has a kind. The training sample
-has at most TRAIN_DOCS documents, chosen by a hash of the text, so copies of one
-text count as one. Extra columns are ignored; an empty table gives an empty result.
+has at most TRAIN_DOCS documents, chosen by a hash of the id, copies of one text
+counting as one. Extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ KINDS = ("prose", "list", "table", "junk")
 TRAIN_DOCS = 4_000
 #: Made examples of each structural kind.
 MADE = 400
+#: Longer texts are trained on, but no examples are made from them.
+MADE_FROM = 20_000
 
 # Frequent function words of English, German, French and Spanish.
 COMMON = frozenset(
@@ -275,23 +278,21 @@ _AT = {name: i for i, name in enumerate(STATS)}
 
 
 def weak_label(s: list[float]) -> str | None:
-    """The kind of a text whose statistics leave no doubt, else None."""
+    """The kind of a text whose statistics leave no doubt, else None: about a tenth of a mixed corpus is left to the model alone."""
     v = lambda name: s[_AT[name]]
     if v("words") + v("lines") == 0:
         return None
-    if v("code_lines") > 0.8 or v("bare_lines") > 0.8 and v("row_lines") < 0.5 or v("mixed_tokens") > 0.5:
+    if v("code_lines") > 0.95 or v("bare_lines") > 0.95 and v("row_lines") < 0.2 or v("mixed_tokens") > 0.7:
         return "junk"
-    if v("words") >= 12 and (v("top_words") > 0.95 or v("hard_words") > 0.3 and v("common_words") < 0.1):
+    if v("words") >= 20 and (v("top_words") > 0.97 or v("hard_words") > 0.4 and v("common_words") < 0.05):
         return "junk"
-    if v("row_chars") > 0.75 and v("common_words") < 0.15:
+    if v("row_chars") > 0.9 and v("common_words") < 0.1 and v("lines") >= 4:
         return "table"
-    if v("prose_chars") > 0.6 and v("common_words") > 0.22 and v("row_chars") < 0.25 and v("phrase_ratio") > 0.3 and v("item_lines") < 0.7:
+    if v("prose_chars") > 0.85 and v("common_words") > 0.3 and v("row_chars") < 0.05 and v("phrase_ratio") > 0.6 and v("item_lines") < 0.3:
         return "prose"
-    if v("item_lines") > 0.75 and v("item_chars") > 0.7 and v("lines") >= 4 and v("common_words") < (0.4 if v("marked_lines") > 0.7 else 0.2):
+    if v("item_lines") > 0.9 and v("item_chars") > 0.85 and v("lines") >= 5 and v("common_words") < (0.3 if v("marked_lines") > 0.9 else 0.12):
         return "list"
-    if v("item_lines") > 0.85 and v("lines") >= 8 and v("item_chars") > 0.4 and v("common_words") < 0.24:
-        return "list"
-    if v("lines") <= 2 and v("inline_parts") >= 6 and v("inline_chars") > 0.85 and v("common_words") < 0.15:
+    if v("lines") <= 2 and v("inline_parts") >= 8 and v("inline_chars") > 0.92 and v("common_words") < 0.1:
         return "list"
     return None
 
@@ -366,6 +367,9 @@ def _redressed(text: str, rng: random.Random) -> Iterator[str]:
     cells = "\n".join(mark.join((rng.choice(words), str(rng.randint(0, 999)))) for _ in range(few))
     yield f"{text}\n\n{rng.choice((rows, cells))}\n\n{text[: len(text) // 2]}"
     yield f"{text}\n\n{rows}"
+    thin = " ".join(w for w in words if w.lower() not in COMMON or rng.random() < 0.75)  # with fewer function words
+    yield thin
+    yield "\n".join(textwrap.wrap(thin, rng.randint(30, 72)))
 
 
 # ---- gradient-boosted trees --------------------------------------------------------------
@@ -470,14 +474,15 @@ def _softmax(score: np.ndarray) -> np.ndarray:
 
 def train(texts: list[str], seed: int = 11) -> BoostedTrees:
     """A calibrated model from weakly labelled texts and made structural ones."""
-    rows, labels, prose = [], [], []
-    for text in texts:
-        s = statistics(text)
-        if kind := weak_label(s):
-            rows.append(s)
-            labels.append(KINDS.index(kind))
-            if kind == "prose":
-                prose.append(text)
+    measured = [(statistics(t), t) for t in texts]
+    return _train([(s, t) for s, t in measured if weak_label(s)], seed)
+
+
+def _train(labelled: list[tuple[list[float], str | None]], seed: int) -> BoostedTrees:
+    """`labelled`: statistics on which the weak rules are sure, with the text if it may serve for making further examples."""
+    rows = [s for s, _ in labelled]
+    labels = [KINDS.index(weak_label(s)) for s in rows]
+    prose = [t for (_, t), k in zip(labelled, labels) if k == 0 and t]
     rng = random.Random(seed)
     for kind, text in _made(prose[:500], rng):
         rows.append(statistics(text))
@@ -486,26 +491,41 @@ def train(texts: list[str], seed: int = 11) -> BoostedTrees:
         for other in _redressed(text, rng):
             rows.append(statistics(other))
             labels.append(0)
-    if 0 not in labels:  # a corpus without prose: the calibration texts are all there is to learn it from
-        for kind, text in HOLDOUT:
-            if kind == "prose":
-                rows.append(statistics(text))
-                labels.append(0)
+    checked = list(HOLDOUT)
+    if 0 not in labels:  # a corpus without prose: every other checked text of prose is learnt from, and not calibrated on
+        lent = [x for x in checked if x[0] == "prose"][::2]
+        checked = [x for x in checked if x not in lent]
+        for _, text in lent:
+            rows.append(statistics(text))
+            labels.append(0)
     model = BoostedTrees.fit(np.array(rows), np.array(labels), len(KINDS))
-    held = np.array([statistics(t) for _, t in HOLDOUT])
-    model.calibrate(held, np.array([KINDS.index(k) for k, _ in HOLDOUT]))
+    model.calibrate(np.array([statistics(t) for _, t in checked]), np.array([KINDS.index(k) for k, _ in checked]))
     return model
 
 
+def _sampler(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Statistics of the texts that the weak rules are sure of; prose of moderate length comes along."""
+    for batch in batches:
+        texts = batch["text"].to_pylist()
+        found = [(s, t if weak_label(s) == "prose" and len(t) <= MADE_FROM else None) for s, t in ((statistics(t), t) for t in texts) if weak_label(s)]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([s for s, _ in found], pa.list_(pa.float64())), pa.array([t for _, t in found], pa.string())], names=["stats", "text"]
+        )
+
+
 def fit_on(documents: DataFrame, seed: int = 11) -> BoostedTrees:
-    """Train on at most TRAIN_DOCS distinct documents of the corpus, chosen by hash."""
-    filled = documents.where(F.col("text").isNotNull() & (F.length(F.trim("text")) > 0)).select("text")
-    total = filled.count()
+    """Train on at most TRAIN_DOCS distinct documents of the corpus, chosen by a hash of their id."""
+    total = documents.count()  # reads no text
+    filled = documents.where(F.col("text").isNotNull() & (F.length(F.trim("text")) > 0))
     if total > 2 * TRAIN_DOCS:
         bar = int((2.0 * TRAIN_DOCS / total - 0.5) * 2**64 * 0.999999999)
-        filled = filled.where(F.xxhash64("text", F.lit(seed)) <= bar)
-    drawn = filled.dropDuplicates(["text"]).orderBy(F.xxhash64("text", F.lit(seed + 1)), "text").limit(TRAIN_DOCS)
-    return train([r.text for r in drawn.collect()], seed)
+        filled = filled.where(F.xxhash64("doc_id", F.lit(seed)) <= bar)
+    turn = F.xxhash64("text", F.lit(seed + 1))
+    drawn = filled.select(F.col("text").cast("string").alias("text")).dropDuplicates(["text"]).orderBy(turn, "text").limit(TRAIN_DOCS)
+    tasks = documents.sparkSession.sparkContext.defaultParallelism
+    rows = drawn.repartition(tasks).mapInArrow(_sampler, "stats array<double>, text string").collect()
+    # Statistics and text decide the order, not the tasks they came from.
+    return _train(sorted(((list(r.stats), r.text) for r in rows), key=lambda r: (zlib.crc32((r[1] or "").encode("utf-8", "replace")), r[0])), seed)
 
 
 # ---- over a corpus ------------------------------------------------------------------------

@@ -7,6 +7,7 @@ import pytest
 
 from graphloom.llm import text_quality as tq
 from graphloom.llm.quality_holdout import HOLDOUT
+from tests.llm.held_out_texts import HELD_OUT
 
 PROSE = [
     "The old mill was rebuilt by two brothers who had never seen a water wheel before. They read about it in a book, and it worked.",
@@ -48,10 +49,28 @@ def test_odd_texts_have_finite_statistics(text):
 
 
 def test_held_out_accuracy(model):
-    p = model.probabilities(np.array([tq.statistics(t) for _, t in HOLDOUT]))
-    right = [tq.KINDS[i] == k for i, (k, _) in zip(p.argmax(1), HOLDOUT)]
+    """On texts that were neither trained nor calibrated on."""
+    assert not {t for _, t in HELD_OUT} & {t for _, t in HOLDOUT}
+    stats = [tq.statistics(t) for _, t in HELD_OUT]
+    p = model.probabilities(np.array(stats))
+    right = [tq.KINDS[i] == k for i, (k, _) in zip(p.argmax(1), HELD_OUT)]
     assert sum(right) / len(right) >= 0.9
+    unsure = [r for r, s in zip(right, stats) if tq.weak_label(s) is None]
+    assert len(unsure) >= len(right) / 10 and sum(unsure) / len(unsure) >= 0.8
     assert np.allclose(p.sum(1), 1)
+    print(f"held out: {sum(right)} of {len(right)} right, {sum(unsure)} of {len(unsure)} where the rules are unsure")
+
+
+def test_sure_rules_are_right():
+    for kind, text in HELD_OUT + HOLDOUT:
+        assert tq.weak_label(tq.statistics(text)) in (None, kind), text
+
+
+def test_a_corpus_without_prose():
+    rng = random.Random(5)
+    lists = [t for k, t in tq._made([], rng) if k == "list"][:50]
+    model = tq.train(lists)
+    assert tq.KINDS[model.probabilities(np.array([tq.statistics(PROSE[0])])).argmax()] == "prose"
 
 
 def test_made_examples_are_told_apart(model):
