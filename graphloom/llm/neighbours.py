@@ -11,7 +11,9 @@ that may hold something as near (distance to the list's centre less its radius)
 and compares all its members (a product of 64 components costs less than the table
 look-ups), so nothing is missed: the result is that of a full comparison.
 Where vectors have no near neighbours the bounds exclude little, and the second
-pass comes close to comparing all pairs.
+pass comes close to comparing all pairs. There `missing` buys speed: the second
+pass then leaves out the lists in which, by the spread of their members, together
+at most that share of the k neighbours is expected.
 
 Rules: a row is void unless its embedding has `dimensions` finite components;
 of a node's other rows the one with the latest ``updated_at`` counts (ties: the
@@ -25,7 +27,8 @@ searched one by one. Extra columns are ignored; an
 empty table gives an empty result.
 
 Bounds: codebooks are fitted on at most TRAIN_ROWS rows chosen by hash; every row
-is indexed. Lists are packed into groups of about GROUP_ROWS rows; a group that
+is indexed. Where the coarse codebook's lists would hold more than LIST_ROWS rows on
+average, a second codebook splits each of them into RESIDUAL_WORDS. Lists are packed into groups of about GROUP_ROWS rows; a group that
 holds more (a dense region) is cut into blocks of at most BLOCK_ROWS rows on
 either side, so no task gets more than two such blocks.
 """
@@ -47,6 +50,7 @@ from graphloom.operators.durable import materialize
 TRAIN_ROWS = 65_536
 GROUP_ROWS = 8_192
 BLOCK_ROWS = 32_768
+LIST_ROWS = 1_024
 RESIDUAL_BOOKS = 4
 RESIDUAL_WORDS = 32
 BEAM = 4
@@ -57,6 +61,8 @@ SLACK = 1e-5
 #: Candidates of a block held before they are cut to the first of each query.
 HELD = 2_000_000
 SALTS = 64
+#: The neighbours of a vector that so many nodes share are sent to these nodes in several portions.
+HOT = 50_000
 
 
 def _nearest(x: np.ndarray, centres: np.ndarray, count: int = 1) -> np.ndarray:
@@ -89,23 +95,34 @@ def _k_means(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
 
 @dataclass
 class AdditiveQuantiser:
-    coarse: np.ndarray  # lists x dimensions
+    coarse: np.ndarray  # lists x dimensions: the centres
     books: np.ndarray  # RESIDUAL_BOOKS x RESIDUAL_WORDS x dimensions
     group_of: np.ndarray  # group of each list
+    parents: np.ndarray  # first level, the centres themselves where there is no second one
+    split: np.ndarray | None = None  # second level: codewords that every parent is refined by
+    freedom: float = 1.0  # number of directions that residuals spread over
 
     @classmethod
     def fit(cls, sample: np.ndarray, rows: int, seed: int = 5) -> AdditiveQuantiser:
         """Codebooks for `rows` unit vectors, of which `sample` is a part."""
         lists = max(1, min(int(2 * rows**0.5), len(sample) // 16))
-        coarse = _k_means(sample, lists, 8, seed)
-        residual = sample - coarse[_nearest(sample, coarse)[:, 0]]
+        parents = coarse = _k_means(sample, lists, 8, seed)
+        split = None
+        if rows > lists * LIST_ROWS:
+            split = _k_means(sample - parents[_nearest(sample, parents)[:, 0]], min(RESIDUAL_WORDS, len(sample)), 6, seed)
+            coarse = (parents[:, None, :] + split).reshape(-1, sample.shape[1])
+            lists = len(coarse)
+        base = cls(coarse, np.zeros((0, RESIDUAL_WORDS, sample.shape[1]), np.float32), np.zeros(lists, np.int32), parents, split)
+        residual = sample - coarse[base.own_list(sample)]
+        spread = np.linalg.eigvalsh(np.cov(residual.T)) if len(sample) > 1 else np.ones(1)
+        freedom = float(max(1.0, spread.sum() ** 2 / max((spread * spread).sum(), 1e-30)))
         rest, books = residual.copy(), []
         for m in range(RESIDUAL_BOOKS):
             book = _k_means(rest, min(RESIDUAL_WORDS, len(rest)), 6, seed + m + 1)
             book = np.concatenate([book, np.zeros((RESIDUAL_WORDS - len(book), sample.shape[1]), np.float32)])
             rest = rest - book[_nearest(rest, book)[:, 0]]
             books.append(book)
-        own = cls(coarse, np.stack(books), np.zeros(lists, np.int32))
+        own = cls(coarse, np.stack(books), np.zeros(lists, np.int32), parents, split, freedom)
         for _ in range(2):  # with the codes fixed, the best codebooks together are a least-squares solution
             codes = own._beam(residual)
             flat = codes + np.arange(RESIDUAL_BOOKS) * RESIDUAL_WORDS
@@ -114,9 +131,31 @@ class AdditiveQuantiser:
             gram = one_hot.T @ one_hot + 0.1 * np.eye(one_hot.shape[1], dtype=np.float32)
             own.books = np.linalg.solve(gram, one_hot.T @ residual).reshape(own.books.shape).astype(np.float32)
         groups = max(1, min(lists, round(rows / GROUP_ROWS)))
-        own.group_of = _nearest(coarse, _k_means(coarse, groups, 10, seed))[:, 0]
+        if split is None:
+            own.group_of = _nearest(coarse, _k_means(coarse, groups, 10, seed))[:, 0]
+        else:  # lists of one parent follow each other
+            own.group_of = (np.arange(lists) * groups // lists).astype(np.int32)
         return own
 
+    def lists_of(self, x: np.ndarray, count: int = 1) -> np.ndarray:
+        """The `count` nearest lists of each row (by way of the nearest parents), nearest first."""
+        if self.split is None:
+            return _nearest(x, self.coarse, min(count, len(self.coarse)))
+        width = len(self.split)
+        near = _nearest(x, self.parents, min(count, len(self.parents)))
+        out = np.empty((len(x), min(count, near.shape[1] * width)), np.int32)
+        for i, own in enumerate(near):
+            lists = (own[:, None] * width + np.arange(width)).ravel()
+            out[i] = lists[_nearest(x[i : i + 1], self.coarse[lists], out.shape[1])[0]]
+        return out
+
+    def own_list(self, x: np.ndarray) -> np.ndarray:
+        """The list each row belongs to."""
+        own = _nearest(x, self.parents)[:, 0]
+        if self.split is None:
+            return own
+        return own * len(self.split) + _nearest(x - self.parents[own], self.split)[:, 0]
+
     def _beam(self, residual: np.ndarray) -> np.ndarray:
         """Codes of each residual: per codebook the BEAM best partial sums stay."""
         n, dims = residual.shape
@@ -141,7 +180,7 @@ class AdditiveQuantiser:
 
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """List, residual codes and squared norm of the approximation of each row."""
-        own = _nearest(x, self.coarse)[:, 0]
+        own = self.own_list(x)
         codes = self._beam(x - self.coarse[own])
         approximation = self.coarse[own] + sum(self.books[m][codes[:, m]] for m in range(RESIDUAL_BOOKS))
         return own, codes, (approximation * approximation).sum(1)
@@ -198,7 +237,7 @@ def _coder(model: AdditiveQuantiser, dimensions: int, probes: int):
             targets: list = [None] * n
             at = np.flatnonzero(asked)
             if len(at):
-                near = _nearest(unit[at], model.coarse, min(probes, len(model.coarse)))
+                near = model.lists_of(unit[at], probes)
                 groups = model.group_of[near]
                 for i, lists, own_groups in zip(at.tolist(), near.tolist(), groups.tolist()):
                     by: dict[int, list[int]] = {}
@@ -237,25 +276,61 @@ def _squares(asked: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return (asked * asked).sum(1)[:, None] + (centres * centres).sum(1) - 2 * (asked @ centres.T)
 
 
-def _widener(model: AdditiveQuantiser, dimensions: int, radius: np.ndarray):
-    """Groups in which a query may have something within its bound."""
+def _tail(z: np.ndarray) -> np.ndarray:
+    """Upper tail of the standard normal distribution (an upper bound that is close for z > 0)."""
+    x = np.maximum(z, 0.0)
+    tail = np.exp(-0.5 * x * x) / (x + np.sqrt(x * x + 8 / np.pi)) * np.sqrt(2 / np.pi)
+    return np.where(z > 0, tail, 1.0)
+
+
+_REACHED = "node_id bigint, bound double, targets array<struct<group: int, lists: array<int>>>"
+
+
+def _widener(model: AdditiveQuantiser, dimensions: int, radius: np.ndarray, size: np.ndarray, mean_square: np.ndarray, allowed: float):
+    """Where a query may have something within its bound.
+
+    If nothing may be missed these are whole groups (their lists are chosen again
+    by the block's own radius); else lists, without those in which together at most
+    `allowed` rows are expected: the squared distance of a member is taken as
+    normal around |q - centre|^2 + spread^2, over `model.freedom` directions.
+    """
+    order = np.argsort(model.group_of, kind="stable")
+    names, starts = np.unique(model.group_of[order], return_index=True)
+
+    def safe_groups(asked: np.ndarray, bound: np.ndarray) -> list:
+        hit = np.empty((len(asked), len(names)), bool)
+        for at in range(0, len(asked), 1024):
+            limit = _reach(bound[at : at + 1024])[:, None] + np.maximum(radius, 0)
+            safe = (_squares(asked[at : at + 1024], model.coarse) <= limit * limit + SLACK) & (radius >= 0)
+            hit[at : at + 1024] = np.logical_or.reduceat(safe[:, order], starts, axis=1)
+        return [[{"group": g, "lists": None} for g in names[h].tolist()] for h in hit]
+
+    def likely_lists(asked: np.ndarray, bound: np.ndarray) -> list:
+        out = []
+        for at in range(0, len(asked), 256):
+            squares = np.maximum(_squares(asked[at : at + 256], model.coarse), 1e-9)
+            near = 2 * bound[at : at + 256, None]
+            z = (squares + mean_square - near) / (2 * np.sqrt(squares * np.maximum(mean_square, 1e-9) / model.freedom))
+            expected = size * _tail(z)
+            turn = np.argsort(expected, axis=1)
+            left_out = np.cumsum(np.take_along_axis(expected, turn, 1), 1) <= allowed
+            for lists, skip in zip(turn, left_out):
+                lists = lists[~skip]
+                lists = lists[size[lists] > 0]
+                lists = lists[np.argsort(model.group_of[lists], kind="stable")]
+                own, begin = np.unique(model.group_of[lists], return_index=True)
+                out.append([{"group": g, "lists": part.tolist()} for g, part in zip(own.tolist(), np.split(lists, begin[1:]))])
+        return out
 
     def widen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        groups = [np.flatnonzero((model.group_of == g) & (radius >= 0)) for g in range(int(model.group_of.max()) + 1)]
+        kind = pa.list_(pa.struct([("group", pa.int32()), ("lists", pa.list_(pa.int32()))]))
         for batch in batches:
             if not batch.num_rows:
                 continue
             asked = _unit(_matrix(batch["vector"].to_pylist(), dimensions)).astype(np.float32)
             bound = np.asarray(batch["bound"], np.float64)
-            safe = np.empty((len(asked), len(radius)), bool)
-            for at in range(0, len(asked), 1024):
-                limit = _reach(bound[at : at + 1024])[:, None] + np.maximum(radius, 0)
-                safe[at : at + 1024] = _squares(asked[at : at + 1024], model.coarse) <= limit * limit + SLACK
-            hit = np.stack([safe[:, own].any(1) for own in groups], 1)
-            names = np.arange(len(groups), dtype=np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [batch["node_id"], batch["bound"], pa.array([names[h].tolist() for h in hit], pa.list_(pa.int32()))], names=["node_id", "bound", "groups"]
-            )
+            targets = likely_lists(asked, bound) if allowed > 0 else safe_groups(asked, bound)
+            yield pa.RecordBatch.from_arrays([batch["node_id"], batch["bound"], pa.array(targets, kind)], names=["node_id", "bound", "targets"])
 
     return widen
 
@@ -278,7 +353,7 @@ def _matcher(model: AdditiveQuantiser, dimensions: int, wanted: int, widen: bool
         lists, starts = np.unique(base["list"].to_numpy()[order], return_index=True)
         member = {int(item): own for item, own in zip(lists, np.split(order, starts[1:]))}
         probing: dict[int, list[int] | np.ndarray] = {}
-        if widen:
+        if widen and queries["q_lists"].iloc[0] is None:
             for item, own in member.items():
                 limit = _reach(bound) + spread[own].max()
                 probing[item] = np.flatnonzero(_squares(asked32, model.coarse[item : item + 1])[:, 0] <= limit * limit + SLACK)
@@ -385,12 +460,14 @@ def nearest(
     within: float | None = None,
     asked: Column | None = None,
     seed: int = 5,
+    missing: float = 0.0,
 ) -> DataFrame:
     """``(query_id, node_id, distance, rank)``: the k nearest other nodes of every node that satisfies `asked`.
 
     `asked` is a condition on ``node_id`` (default: all nodes). `within` keeps
     neighbours up to that distance only. `probes` lists of each query are visited
-    first; further ones follow where they may hold something as near.
+    first; further ones follow where they may hold something as near. `missing` is
+    the share of the neighbours that may be missed, 0 for an exact result.
     """
     spark = vectors.sparkSession
     zero = F.forall("embedding", lambda v: v == 0)
@@ -422,18 +499,20 @@ def nearest(
         coded = materialize(base.mapInArrow(_coder(model, dimensions, probes), _CODED))
         limit = 2.0 if within is None else min(float(within), 2.0)
         named_lists = coded.where("query").select("node_id", "vector", F.inline("targets")).withColumn("bound", F.lit(limit))
-        first = _search(coded, named_lists, _matcher(model, dimensions, k + 1, False))
+        first = materialize(_search(coded, named_lists, _matcher(model, dimensions, k + 1, False)))
         place = F.row_number().over(Window.partitionBy("query_id").orderBy("distance"))
         last = first.withColumn("_at", place).where(F.col("_at") == k + 1).select(F.col("query_id").alias("node_id"), "distance")
         bound = F.coalesce(F.col("distance"), F.lit(limit)).alias("bound")
-        radius = np.full(len(model.coarse), -1.0)
-        for r in coded.groupBy("list").agg(F.max("spread").alias("radius")).collect():
-            radius[r.list] = r.radius
+        radius, size, mean_square = np.full(len(model.coarse), -1.0), np.zeros(len(model.coarse)), np.zeros(len(model.coarse))
+        square = F.avg(F.col("spread") * F.col("spread")).alias("square")
+        for r in coded.groupBy("list").agg(F.max("spread").alias("radius"), F.count(F.lit(1)).alias("n"), square).collect():  # one row per list
+            radius[r.list], size[r.list], mean_square[r.list] = r.radius, r.n, r.square
         bounded = coded.where("query").select("node_id", "vector").join(last, "node_id", "left").select("node_id", "vector", bound)
-        reached = materialize(bounded.mapInArrow(_widener(model, dimensions, radius), "node_id bigint, bound double, groups array<int>"))
-        lists = F.lit(None).cast("array<int>").alias("lists")
-        sent = coded.where("query").select("node_id", "vector").join(reached, "node_id").select("node_id", "vector", F.explode("groups").alias("group"), lists, "bound")
+        reached = materialize(bounded.mapInArrow(_widener(model, dimensions, radius, size, mean_square, missing * k), _REACHED))
+        sent = coded.where("query").select("node_id", "vector").join(reached, "node_id").select("node_id", "vector", F.inline("targets"), "bound")
         found = _search(coded, sent, _matcher(model, dimensions, k + 1, True))
+        if missing > 0:  # what the first pass found may lie in lists that the second one left out
+            found = found.unionByName(first).groupBy("query_id", "node_id").agg(F.min("distance").alias("distance"))
     if within is None or within >= 1:
         found = _with_zeros(spark, valid, classes, found, k)
     if found is None:
@@ -445,7 +524,14 @@ def nearest(
     if within is None or within >= 1:
         own = valid.where("zero").select(F.col("node_id").alias("own_id"), wants.alias("wanted")).where("wanted")
         named = named.unionByName(own.select("own_id", F.col("own_id").alias("class_id")))
-    full = best.join(named, best["query_id"] == named["class_id"]).where(F.col("own_id") != F.col("node_id"))
+    # A vector that very many nodes share is one key: its few neighbours are repeated, its nodes spread.
+    named, best = materialize(named), materialize(best)
+    portions = (F.floor(F.col("n") / HOT) + 1).cast("int").alias("portions")
+    hot = named.groupBy("class_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("class_id", portions)
+    hot = F.broadcast(materialize(hot))  # one row for every HOT nodes at most
+    named = named.join(hot, "class_id", "left").withColumn("_salt", F.pmod(F.xxhash64("own_id"), F.coalesce("portions", F.lit(1))).cast("int")).drop("portions")
+    best = best.join(hot.withColumnRenamed("class_id", "query_id"), "query_id", "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("portions", F.lit(1)) - 1)))
+    full = best.drop("portions").join(named, (best["query_id"] == named["class_id"]) & (best["_salt"] == named["_salt"])).where(F.col("own_id") != F.col("node_id"))
     ranked = full.withColumn("rank", F.row_number().over(Window.partitionBy("own_id").orderBy(*order))).where(F.col("rank") <= k)
     return ranked.select(F.col("own_id").alias("query_id"), "node_id", "distance", "rank")
 

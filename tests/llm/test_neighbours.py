@@ -148,3 +148,35 @@ def test_scaled_copies_go_by_the_smallest_ids(spark):
     close = brute(ids, x.astype(float), 5, 0.1)
     pairs = {(min(a, b), max(a, b)) for a, own in close.items() for b in own}
     assert {tuple(r) for r in nb.close_pairs(df, 5, 0.1, 16).collect()} == pairs
+
+
+def test_two_levels_of_lists(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    ids, x = np.arange(3000), rng.normal(size=(3000, 16)).astype(np.float32)
+    x[1500:] = x[:1500] + rng.normal(scale=0.1, size=(1500, 16))
+    monkeypatch.setattr(nb, "LIST_ROWS", 8)
+    unit = nb._unit(x).astype(np.float32)
+    model = nb.AdditiveQuantiser.fit(unit, len(unit))
+    assert model.split is not None and len(model.coarse) == len(model.parents) * len(model.split)
+    df = make(spark, [(int(i), v, DAY) for i, v in zip(ids, x)])
+    assert lists(nb.nearest(df, 5, 16, probes=2)) == brute(ids, x.astype(float), 5)
+
+
+def test_allowed_misses_stay_few(spark):
+    rng = np.random.default_rng(13)
+    ids, x = np.arange(4000), rng.normal(size=(4000, 32)).astype(np.float32)
+    df = make(spark, [(int(i), v, DAY) for i, v in zip(ids, x)])
+    want = brute(ids, x.astype(float), 10)
+    got = lists(nb.nearest(df, 10, 32, probes=4, asked=F.col("node_id") % 20 == 0, missing=0.05))
+    assert set(got) == {i for i in range(4000) if i % 20 == 0} and all(len(own) == 10 for own in got.values())
+    assert sum(len(set(own) & set(want[i])) for i, own in got.items()) >= 0.9 * 10 * len(got)
+
+
+def test_a_vector_shared_by_many_nodes(spark, monkeypatch):
+    monkeypatch.setattr(nb, "HOT", 20)
+    rng = np.random.default_rng(14)
+    x = rng.normal(size=(300, 8)).astype(np.float32)
+    x[:100] = x[0]
+    ids = rng.permutation(300)
+    df = make(spark, [(int(i), v, DAY) for i, v in zip(ids, x)])
+    assert lists(nb.nearest(df, 4, 8)) == brute(ids, x.astype(float), 4)
