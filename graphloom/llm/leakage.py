@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 WORD = regex.compile(r"[\p{L}\p{Nd}]+")
 #: Symbols of one shard's index; a document longer than that is cut with overlap.
 SHARD = 1 << 20
-#: Characters of evaluation text that are searched in one pass.
-BLOCK_CHARS = 1 << 26
+#: Characters of evaluation text that are searched in one pass: about a million phrases, 150 MB in each task; more text takes more passes.
+BLOCK_CHARS = 1 << 23
 #: One suffix in so many keeps its position.
 SAMPLE = 16
 

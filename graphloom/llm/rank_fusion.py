@@ -16,6 +16,9 @@ an empty table gives an empty result.
 Scale: a request may hold a third of all rows. Ranks come from a histogram
 (one row per distinct value) and a distributed running total, never from a
 window over a whole request; the leading rows are selected salt by salt first.
+Values that many rows of a request share (such as an absent score) reach these
+rows by broadcast, and so do the few facts of each request, while their number is
+below BROADCAST_ROWS.
 """
 
 from __future__ import annotations
@@ -37,6 +40,15 @@ TAIL = 0.02425
 
 #: Slices of a request that are cut to their leading rows before they meet.
 SALTS = 64
+#: Tables of at most so many rows (under 100 bytes each) are broadcast.
+BROADCAST_ROWS = 200_000
+#: A value that so many rows of one request share is looked up apart from the others.
+HOT = 50_000
+
+
+def _sent(df: DataFrame) -> DataFrame:
+    """`df`, broadcast if it is small."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
 def _poly(coefficients: tuple[float, ...], x: Column) -> Column:
@@ -87,12 +99,24 @@ def normal_scores(hits: DataFrame, request: str, node: str, scores: Mapping[str,
     key = ["_request", "_signal"]
     histogram = long.groupBy(*key, "_present", "_value").agg(F.count(F.lit(1)).alias("_n"))
     ranked = running_total(histogram, key, ["_present", "_value"], "_n", "_upto")
-    size = nodes.groupBy("_request").agg(F.count(F.lit(1)).alias("_size"))
+    size = _sent(materialize(nodes.groupBy("_request").agg(F.count(F.lit(1)).alias("_size"))))
     percentile = (F.col("_upto") - F.col("_n") / 2.0) / F.col("_size")
-    mapped = ranked.join(size, "_request").select(*key, "_present", "_value", inverse_normal(percentile).alias("_z"))
+    mapped = materialize(ranked.join(size, "_request").select(*key, "_present", "_value", "_n", inverse_normal(percentile).alias("_z")))
+    shared = mapped.where(F.col("_n") > HOT)
+    if few := shared.limit(BROADCAST_ROWS + 1).count():
+        if few > BROADCAST_ROWS:
+            shared = shared.orderBy(F.col("_n").desc()).limit(BROADCAST_ROWS)
+        shared = materialize(shared.drop("_n"))
+        shown = long.join(F.broadcast(shared.withColumnRenamed("_z", "_hot")), [*key, "_present", "_value"], "left")
+        rest = mapped.join(F.broadcast(shared.drop("_z")), [*key, "_present", "_value"], "left_anti").drop("_n")
+        scored = (
+            shown.where("_hot IS NOT NULL").withColumnRenamed("_hot", "_z")
+            .unionByName(shown.where("_hot IS NULL").drop("_hot").join(rest, [*key, "_present", "_value"]))
+        )
+    else:
+        scored = long.join(mapped.drop("_n"), [*key, "_present", "_value"])
     fused = (
-        long.join(mapped, [*key, "_present", "_value"])
-        .groupBy("_request", "_node")
+        scored.groupBy("_request", "_node")
         .agg(F.sum(F.col("_weight") * F.col("_z")).alias("_fused"))
     )
     # Twelve decimals hide the order in which the sum was taken, so that true ties stay ties.
@@ -101,7 +125,7 @@ def normal_scores(hits: DataFrame, request: str, node: str, scores: Mapping[str,
 
 def leading(fused: DataFrame, requests: DataFrame, request: str, node: str, top: str) -> DataFrame:
     """``(request, node, fused, position)``: the first `top` nodes of each request (position counts from 1)."""
-    wanted = requests.where(F.col(request).isNotNull()).groupBy(request).agg(F.max(top).alias("_top"))
+    wanted = _sent(materialize(requests.where(F.col(request).isNotNull()).groupBy(request).agg(F.max(top).alias("_top"))))
     best = [F.col("fused").desc(), F.col(node)]
     salted = fused.join(wanted, request).withColumn("_salt", F.pmod(F.xxhash64(F.col(node)), F.lit(SALTS)))
     some = salted.withColumn("_at", F.row_number().over(Window.partitionBy(request, "_salt").orderBy(*best))).where("_at <= _top")

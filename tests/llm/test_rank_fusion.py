@@ -88,3 +88,10 @@ def test_leading(spark):
 
 def test_empty(spark):
     assert fused(spark, []) == {}
+
+
+def test_values_shared_by_most_rows_of_a_request(spark, monkeypatch):
+    monkeypatch.setattr(rf, "HOT", 10)
+    rng = random.Random(6)
+    rows = [(1 if n < 200 else n % 7, n, rng.choice([0.5, rng.random()]), {"bm25": rng.choice([1.0, rng.random()])}) for n in range(300)]
+    close(fused(spark, rows), brute([(q, n, float(f"{d:.9g}"), s) for q, n, d, s in rows]))
