@@ -15,14 +15,15 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from graphloom.operators.durable import materialize
+from graphloom.operators.durable import materialize, running_total
 from graphloom.operators.graph import PropertyGraph
 from graphloom.operators.traversal import local_edges
 
-#: Up to so many distinct links (16 bytes each) travel to every executor for per-source searches.
+#: Up to so many distinct links (16 bytes each) travel to every executor for per-source searches; beyond, these are frontier joins.
 BROADCAST_LINKS = 5_000_000
+#: Sources whose searches by joins run together.
+SOURCES = 1_000
 #: Rounds without a test for convergence between two written tables.
 CUT_ROUNDS = 5
 
@@ -42,33 +43,57 @@ def degree(graph: PropertyGraph, direction: str = "both") -> DataFrame:
 def triangles(graph: PropertyGraph, types: tuple[str, ...] = (), labels: tuple[str | None, ...] = ()) -> DataFrame:
     """``count`` of assignments a->b->c->a with pairwise distinct relationships, one type and label per position.
 
-    Links are grouped first (parallel ones multiply), so a multigraph is not expanded.
+    Links are grouped first (parallel ones multiply), so a multigraph is not expanded. Corners are ordered by degree, and
+    wedges open at the lowest only: a hub pairs none of its neighbours but those of even higher degree.
     """
-    hops = [graph.edge_frame((types[i % len(types)],) if types else ())[0] for i in range(3)]
-    if labels:
-        for i, label in enumerate(labels[:3]):
-            if label is not None:
-                inside = graph.node_frame((label,))[0].select(F.col("id").alias("src"))
-                hops[i] = hops[i].join(inside, "src", "left_semi")
-    # A relationship used twice in a closed walk of three is a self-loop; these are counted one by one.
-    plain = [h.where(F.col("src") != F.col("dst")).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n")) for h in hops]
-    a, b, c = (p.select(F.col("src").alias(f"s{i}"), F.col("dst").alias(f"d{i}"), F.col("n").alias(f"n{i}")) for i, p in enumerate(plain))
-    # All three ends differ, or the walk holds a loop: at most a one-node walk, or a loop and a 2-cycle.
-    proper = a.join(b, F.col("d0") == F.col("s1")).where("d1 <> s0").join(c, (F.col("d1") == F.col("s2")) & (F.col("d2") == F.col("s0")))
-    total = proper.agg(F.coalesce(F.sum(F.col("n0") * F.col("n1") * F.col("n2")), F.lit(0)).alias("n"))
-    loops = [h.where(F.col("src") == F.col("dst")).select(F.col("id").alias(f"l{i}"), F.col("src").alias(f"v{i}")) for i, h in enumerate(hops)]
-    lone = (
+    wanted = [(types[i % len(types)] if types else None, labels[i] if i < len(labels) else None) for i in range(3)]
+    kinds = list(dict.fromkeys(wanted))
+    hops = []
+    for kind, label in kinds:
+        df = graph.edge_frame((kind,) if kind else ())[0].select("id", "src", "dst")
+        if label is not None:
+            df = df.join(graph.node_frame((label,))[0].select(F.col("id").alias("src")), "src", "left_semi")
+        hops.append(materialize(df.where(F.col("src").isNotNull() & F.col("dst").isNotNull())))
+    at = [kinds.index(w) for w in wanted]
+    # One row per linked pair: how many links of each kind run from the lower corner to the higher one, and back.
+    tagged = None
+    for i, h in enumerate(hops):
+        own = h.where("src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n")).withColumn("kind", F.lit(i))
+        tagged = own if tagged is None else tagged.unionByName(own)
+    tagged = materialize(tagged)
+    ends = tagged.select(F.col("src").alias("id"), F.col("dst").alias("other")).union(tagged.select("dst", "src")).distinct()
+    deg = materialize(ends.groupBy("id").agg(F.count(F.lit(1)).alias("d")))
+    side = lambda n: deg.select(F.col("id").alias(n), F.col("d").alias(f"d_{n}"))
+    ranked = tagged.join(side("src"), "src").join(side("dst"), "dst")
+    up = F.struct("d_src", "src") < F.struct("d_dst", "dst")
+    count = lambda way, i: F.sum(F.when(way & (F.col("kind") == i), F.col("n")).otherwise(0))
+    pairs = ranked.groupBy(F.when(up, F.col("src")).otherwise(F.col("dst")).alias("u"), F.when(up, F.col("dst")).otherwise(F.col("src")).alias("v")).agg(
+        *[count(up, i).alias(f"f{i}") for i in range(len(kinds))], *[count(~up, i).alias(f"g{i}") for i in range(len(kinds))]
+    )
+    pairs = materialize(pairs)
+    named = lambda u, v, tag: pairs.select(F.col("u").alias(u), F.col("v").alias(v), *[F.col(f"{w}{i}").alias(f"{tag}_{w}{i}") for w in "fg" for i in range(len(kinds))])
+    higher = deg.select(F.col("id").alias("w"), F.col("d").alias("dw")), deg.select(F.col("id").alias("v"), F.col("d").alias("dv"))
+    wedges = named("u", "v", "uv").join(higher[1], "v").join(named("u", "w", "uw").join(higher[0], "w"), "u").where(F.struct("dv", "v") < F.struct("dw", "w"))
+    closed = wedges.join(named("v", "w", "vw"), ["v", "w"])
+    n = lambda name, i: F.col(f"{name}{at[i % 3]}")
+    per_triangle = sum(
+        (n("uv_f", i) * n("vw_f", i + 1) * n("uw_g", i + 2) + n("uw_f", i) * n("vw_g", i + 1) * n("uv_g", i + 2) for i in range(1, 3)),
+        n("uv_f", 0) * n("vw_f", 1) * n("uw_g", 2) + n("uw_f", 0) * n("vw_g", 1) * n("uv_g", 2),
+    )
+    parts = [closed.agg(F.coalesce(F.sum(per_triangle), F.lit(0)).alias("n"))]
+    # Walks with fewer than three corners hold self-loops, which are counted one by one.
+    loops = [hops[k].where("src = dst").select(F.col("id").alias(f"l{i}"), F.col("src").alias(f"v{i}")) for i, k in enumerate(at)]
+    parts.append(
         loops[0].join(loops[1], (F.col("v0") == F.col("v1")) & (F.col("l0") != F.col("l1")))
         .join(loops[2], (F.col("v0") == F.col("v2")) & (F.col("l2") != F.col("l0")) & (F.col("l2") != F.col("l1")))
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    parts = [total, lone]
     for i in range(3):  # a loop at position i, and a 2-cycle at the other two through the same node
-        x, y = plain[(i + 1) % 3], plain[(i + 2) % 3]
-        x = x.select(F.col("src").alias("p"), F.col("dst").alias("q"), F.col("n").alias("nx"))
-        y = y.select(F.col("src").alias("q"), F.col("dst").alias("p"), F.col("n").alias("ny"))
-        at = loops[i].groupBy(F.col(f"v{i}").alias("p")).agg(F.count(F.lit(1)).alias("nl"))
-        parts.append(x.join(y, ["p", "q"]).join(at, "p").agg(F.coalesce(F.sum(F.col("nx") * F.col("ny") * F.col("nl")), F.lit(0)).alias("n")))
+        there, back = at[(i + 1) % 3], at[(i + 2) % 3]
+        x = tagged.where(F.col("kind") == there).select(F.col("src").alias("p"), F.col("dst").alias("q"), F.col("n").alias("nx"))
+        y = tagged.where(F.col("kind") == back).select(F.col("src").alias("q"), F.col("dst").alias("p"), F.col("n").alias("ny"))
+        at_loop = loops[i].groupBy(F.col(f"v{i}").alias("p")).agg(F.count(F.lit(1)).alias("nl"))
+        parts.append(x.join(at_loop, "p").join(y, ["p", "q"]).agg(F.coalesce(F.sum(F.col("nx") * F.col("ny") * F.col("nl")), F.lit(0)).alias("n")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -98,13 +123,22 @@ def clustering(graph: PropertyGraph) -> DataFrame:
 
 
 def link_scores(graph: PropertyGraph, pairs: DataFrame) -> DataFrame:
-    """`pairs` ``(a, b)`` with the five neighbourhood scores; unknown nodes score 0."""
+    """`pairs` ``(a, b)`` with the five neighbourhood scores; unknown nodes score 0.
+
+    Only the neighbours of a pair's end of lower degree are listed, and looked up at the other end.
+    """
     near = materialize(_undirected(graph))
-    deg = near.groupBy(F.col("a").alias("id")).agg(F.count(F.lit(1)).alias("d"))
+    deg = materialize(near.groupBy(F.col("a").alias("id")).agg(F.count(F.lit(1)).alias("d")))
+    side = lambda n, k: deg.select(F.col("id").alias(n), F.col("d").alias(k))
     wanted = pairs.select(F.col("a").alias("x"), F.col("b").alias("y")).distinct()
+    wanted = materialize(wanted.join(side("x", "dx"), "x", "left").join(side("y", "dy"), "y", "left"))
+    first = F.struct("dx", "x") <= F.struct("dy", "y")
+    low, high = F.when(first, F.col("x")).otherwise(F.col("y")), F.when(first, F.col("y")).otherwise(F.col("x"))
     common = (
-        wanted.join(near.select(F.col("a").alias("x"), F.col("b").alias("z")), "x")
-        .join(near.select(F.col("a").alias("y"), F.col("b").alias("z")), ["y", "z"])
+        wanted.where("dx IS NOT NULL AND dy IS NOT NULL")
+        .select("x", "y", low.alias("low"), high.alias("high"))
+        .join(near.select(F.col("a").alias("low"), F.col("b").alias("z")), "low")
+        .join(near.select(F.col("a").alias("high"), F.col("b").alias("z")), ["high", "z"])
         .where("z <> x AND z <> y")
         .join(deg.select(F.col("id").alias("z"), F.col("d").alias("dz")), "z")
         .groupBy("x", "y")
@@ -114,8 +148,7 @@ def link_scores(graph: PropertyGraph, pairs: DataFrame) -> DataFrame:
             F.sum(1.0 / F.col("dz")).alias("ra"),
         )
     )
-    side = lambda n, k: deg.select(F.col("id").alias(n), F.col("d").alias(k))
-    all_ = wanted.join(common, ["x", "y"], "left").join(side("x", "dx"), "x", "left").join(side("y", "dy"), "y", "left")
+    all_ = wanted.join(common, ["x", "y"], "left")
     n = F.coalesce("common", F.lit(0))
     dx, dy = F.coalesce("dx", F.lit(0)), F.coalesce("dy", F.lit(0))
     return all_.select(
@@ -322,22 +355,25 @@ class _Adjacency:
         return source, self.target[at]
 
 
-def _per_source(graph: PropertyGraph, work: Callable, ddl: str) -> DataFrame:
-    """Run `work(adjacency, sources)` over all sources, spread over the tasks; the graph must fit into each executor."""
+def _shared(graph: PropertyGraph) -> tuple[DataFrame, DataFrame, bool]:
+    """Distinct nodes and links (without loops), and whether they are small enough to travel to every executor."""
     ids = materialize(graph.ids().distinct())
     links = materialize(graph.links().where("src <> dst").distinct())
-    if links.count() > BROADCAST_LINKS or ids.count() > BROADCAST_LINKS:
-        raise ValueError(f"per-source searches take at most {BROADCAST_LINKS} nodes and links")
+    return ids, links, links.count() <= BROADCAST_LINKS and ids.count() <= BROADCAST_LINKS
+
+
+def _per_source(ids: DataFrame, links: DataFrame, work: Callable, ddl: str) -> DataFrame:
+    """Run `work(adjacency, sources)` over all sources, spread over the tasks; `_shared` has bounded the graph."""
+    context = ids.sparkSession.sparkContext
     nodes, pairs = ids.toPandas()["id"].to_numpy(), links.toPandas()
-    adjacency = _Adjacency(nodes, pairs["src"].to_numpy(), pairs["dst"].to_numpy())
-    shared = graph.spark.sparkContext.broadcast(adjacency)
+    shared = context.broadcast(_Adjacency(nodes, pairs["src"].to_numpy(), pairs["dst"].to_numpy()))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
                 yield work(shared.value, np.searchsorted(shared.value.ids, batch["id"].to_numpy()))
 
-    tasks = max(1, min(len(nodes) // 8, 4 * graph.spark.sparkContext.defaultParallelism))
+    tasks = max(1, min(len(nodes) // 8, 4 * context.defaultParallelism))
     return ids.repartition(max(1, tasks)).mapInPandas(run, ddl)
 
 
@@ -353,43 +389,64 @@ def _levels(g: _Adjacency, source: int) -> Iterator[tuple[int, np.ndarray]]:
         depth += 1
 
 
-def _small(graph: PropertyGraph) -> bool:
-    return graph.links().where("src <> dst").distinct().count() <= BROADCAST_LINKS and graph.node_count() <= BROADCAST_LINKS
+def _blocks(ids: DataFrame) -> Iterator[DataFrame]:
+    """The sources ``(s, id, d)`` of a search by joins, block by block: a block's searches are held together, not those of all nodes."""
+    count = -(-ids.count() // SOURCES)
+    for block in range(count):
+        mine = ids.where(F.pmod(F.xxhash64("id"), F.lit(count)) == block)
+        yield materialize(mine.select(F.col("id").alias("s"), "id", F.lit(0).alias("d"), F.lit(1.0).alias("paths")))
 
 
-def _all_distances(graph: PropertyGraph) -> DataFrame:
-    """``(s, id, d)`` hop distances of all pairs by frontier joins, for graphs that no executor can hold."""
-    links = materialize(graph.links().where("src <> dst").distinct())
-    known = frontier = materialize(graph.ids().distinct().select(F.col("id").alias("s"), "id", F.lit(0).alias("d")))
-    depth = 0
+def _search_levels(links: DataFrame, starts: DataFrame) -> list[DataFrame]:
+    """Per hop distance the ``(s, id, d, paths)`` first reached there, with the number of shortest paths, by frontier joins."""
+    known, levels = starts, [starts]
     while True:
-        depth += 1
-        fresh = frontier.join(links, frontier["id"] == links["src"]).select("s", F.col("dst").alias("id")).distinct()
-        fresh = materialize(fresh.join(known, ["s", "id"], "left_anti").withColumn("d", F.lit(depth)))
+        frontier = levels[-1]
+        fresh = frontier.join(links, frontier["id"] == links["src"]).groupBy("s", F.col("dst").alias("id")).agg(F.sum("paths").alias("paths"))
+        fresh = fresh.join(known.select("s", "id"), ["s", "id"], "left_anti")
+        fresh = materialize(fresh.select("s", "id", F.lit(len(levels)).alias("d"), "paths"))
         if not fresh.take(1):
-            return known
-        known, frontier = known.unionByName(fresh), fresh
+            return levels
+        levels.append(fresh)
+        known = known.unionByName(fresh)
+
+
+def _joined(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _sums(ids: DataFrame, links: DataFrame) -> DataFrame:
+    """``(id, harmonic, reached, total)`` over the nodes each node reaches, for graphs that no executor can hold."""
+    done = [ids.limit(0).select("id", F.lit(0.0).alias("harmonic"), F.lit(0).cast("bigint").alias("reached"), F.lit(0).cast("bigint").alias("total"))]
+    for starts in _blocks(ids):
+        seen = _joined(_search_levels(links, starts))
+        part = F.when(F.col("d") > 0, 1.0 / F.col("d")).otherwise(0.0)
+        done.append(
+            materialize(
+                seen.groupBy(F.col("s").alias("id")).agg(F.sum(part).alias("harmonic"), (F.count(F.lit(1)) - 1).alias("reached"), F.sum("d").alias("total"))
+            )
+        )
+    return _joined(done)
 
 
 def harmonic(graph: PropertyGraph) -> DataFrame:
     """``(id, score)``: the sum of 1/distance over the nodes that outgoing links reach."""
-    if not _small(graph):
-        part = F.when(F.col("d") > 0, 1.0 / F.col("d")).otherwise(0.0)
-        return _all_distances(graph).groupBy(F.col("s").alias("id")).agg(F.sum(part).alias("score"))
 
     def work(g: _Adjacency, sources: np.ndarray) -> pd.DataFrame:
         scores = [sum(len(f) / d for d, f in _levels(g, s) if d) for s in sources]
         return pd.DataFrame({"id": g.ids[sources], "score": np.array(scores, float)})
 
-    return _per_source(graph, work, "id bigint, score double")
+    ids, links, small = _shared(graph)
+    if not small:
+        return _sums(ids, links).select("id", F.col("harmonic").alias("score"))
+    return _per_source(ids, links, work, "id bigint, score double")
 
 
 def closeness(graph: PropertyGraph) -> DataFrame:
     """``(id, score)``: (r / sum of distances) (r / (n - 1)) for r reached nodes, 0 if there are none."""
-    if not _small(graph):
-        sums = _all_distances(graph).groupBy(F.col("s").alias("id")).agg((F.count(F.lit(1)) - 1).alias("r"), F.sum("d").alias("t"))
-        others = graph.node_count() - 1
-        return sums.select("id", F.when(F.col("t") > 0, F.col("r") / F.col("t") * F.col("r") / F.lit(others)).otherwise(0.0).alias("score"))
 
     def work(g: _Adjacency, sources: np.ndarray) -> pd.DataFrame:
         scores = []
@@ -401,7 +458,27 @@ def closeness(graph: PropertyGraph) -> DataFrame:
             scores.append(reached / total * reached / (len(g.ids) - 1) if total else 0.0)
         return pd.DataFrame({"id": g.ids[sources], "score": np.array(scores, float)})
 
-    return _per_source(graph, work, "id bigint, score double")
+    ids, links, small = _shared(graph)
+    if not small:
+        r, t, others = F.col("reached"), F.col("total"), ids.count() - 1
+        return _sums(ids, links).select("id", F.when(t > 0, r / t * r / F.lit(others)).otherwise(0.0).alias("score"))
+    return _per_source(ids, links, work, "id bigint, score double")
+
+
+def _shares(ids: DataFrame, links: DataFrame) -> DataFrame:
+    """``(id, part)``: the dependencies of the sources of every block, accumulated backwards level by level."""
+    done = [ids.limit(0).select("id", F.lit(0.0).alias("part"))]
+    for starts in _blocks(ids):
+        levels = _search_levels(links, starts)
+        later = levels[-1].select("s", "id", "paths", F.lit(0.0).alias("share"))
+        for level in reversed(levels[:-1]):
+            sent = links.join(later.withColumnRenamed("id", "dst"), "dst").groupBy("s", F.col("src").alias("id")).agg(F.sum((F.col("share") + 1.0) / F.col("paths")).alias("per_path"))
+            own = level.join(sent, ["s", "id"], "left").select("s", "id", "paths", (F.col("paths") * F.coalesce("per_path", F.lit(0.0))).alias("share"))
+            later = materialize(own)
+            done.append(later.where("s <> id").groupBy("id").agg(F.sum("share").alias("part")))
+        if len(done) > 64:  # one written table for many levels
+            done = [materialize(_joined(done).groupBy("id").agg(F.sum("part").alias("part")))]
+    return _joined(done)
 
 
 def betweenness(graph: PropertyGraph) -> DataFrame:
@@ -431,7 +508,9 @@ def betweenness(graph: PropertyGraph) -> DataFrame:
         at = np.flatnonzero(total)
         return pd.DataFrame({"id": g.ids[at], "part": total[at]})
 
-    parts = _per_source(graph, work, "id bigint, part double").groupBy("id").agg(F.sum("part").alias("part"))
+    ids, links, small = _shared(graph)
+    parts = _per_source(ids, links, work, "id bigint, part double") if small else _shares(ids, links)
+    parts = parts.groupBy("id").agg(F.sum("part").alias("part"))
     return graph.ids().join(parts, "id", "left").select("id", F.coalesce("part", F.lit(0.0)).alias("score"))
 
 
@@ -441,17 +520,17 @@ def betweenness(graph: PropertyGraph) -> DataFrame:
 def louvain(graph: PropertyGraph) -> DataFrame:
     """``(id, community)``: greedy modularity moves in ascending node order, level by level; named by the smallest member.
 
-    Moves depend on each other one by one, so this runs on the driver and is bounded by LOCAL_EDGES.
+    Moves depend on each other one by one, so linked nodes are grouped on the driver, bounded by LOCAL_EDGES; nodes without
+    links stay in the cluster.
     """
-    nodes = sorted(r["id"] for r in graph.ids().distinct().collect())
-    weight: dict[int, dict[int, float]] = {n: defaultdict(float) for n in nodes}
+    weight: dict[int, dict[int, float]] = defaultdict(lambda: defaultdict(float))
     for a, b, k in local_edges(graph.links().where("src IS NOT NULL AND dst IS NOT NULL").groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("k"))):
         weight[a][b] += k
         if a != b:
             weight[b][a] += k
         else:
             weight[a][a] += k  # a loop counts at both its ends
-    member = {n: [n] for n in nodes}
+    member = {n: [n] for n in weight}
     while True:
         total = sum(sum(w.values()) for w in weight.values())
         if not total:
@@ -490,7 +569,8 @@ def louvain(graph: PropertyGraph) -> DataFrame:
         member = {min(g): [m for n in g for m in member[n]] for g in groups.values()}
         weight = merged
     rows = [(m, min(ms)) for ms in member.values() for m in ms]
-    return graph.spark.createDataFrame(rows, "id bigint, community bigint")
+    found = graph.spark.createDataFrame(rows, "id bigint, community bigint")
+    return graph.ids().distinct().join(found, "id", "left").select("id", F.coalesce("community", "id").alias("community"))
 
 
 def communities(graph: PropertyGraph, iterations: int = 20, top: int | None = None, algorithm: str = "labelPropagation") -> DataFrame:
@@ -498,7 +578,7 @@ def communities(graph: PropertyGraph, iterations: int = 20, top: int | None = No
     if algorithm not in ("labelPropagation", "louvain"):
         raise ValueError(f"unknown community algorithm {algorithm}")
     found = louvain(graph) if algorithm == "louvain" else label_propagation(graph, iterations)
-    ranked = found.join(page_rank(graph), "id").withColumn(
-        "rank", F.row_number().over(Window.partitionBy("community").orderBy(F.col("score").desc(), "id")).cast("bigint")
-    )
+    # A community may be the whole graph, so ranks are running totals, not a window over it.
+    scored = found.join(page_rank(graph), "id").select("community", "id", (-F.col("score")).alias("_order"), F.lit(1).alias("_one"))
+    ranked = running_total(scored, ["community"], ["_order", "id"], "_one", "rank").withColumn("rank", F.col("rank").cast("bigint"))
     return (ranked if top is None else ranked.where(F.col("rank") <= top)).select("community", "id", "rank")

@@ -69,7 +69,7 @@ WITH {_KNOWS} SELECT c_custkey + 20000000 AS a, 1 + (SELECT count(*) FROM knows
 _text("var_length_unbounded", "MATCH (s:Supplier)-[r:FROM_NATION|IN_REGION*]->(x) RETURN size(r) AS hops, x.name AS name, count(*) AS n", """
 SELECT CAST(1 AS BIGINT) AS hops, n_name AS name, count(*) AS n FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 2
 UNION ALL SELECT 2, r_name, count(*) FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 2""")
-_text("named_path", "MATCH p = (s:Supplier)-[:FROM_NATION]->(:Nation)-[:IN_REGION]->(r:Region) RETURN length(p) AS l, nodes(p) AS ns, id(r) AS r",
+_text("named_path", "MATCH p = (s:Supplier)-[:FROM_NATION]->(:Nation)-[:IN_REGION]->(r:Region) RETURN length(p) AS l, [x IN nodes(p) | id(x)] AS ns, id(r) AS r",
       "SELECT CAST(2 AS BIGINT) AS l, [s_suppkey + 10000000, n_nationkey + 1000, n_regionkey] AS ns, CAST(n_regionkey AS BIGINT) AS r FROM supplier JOIN nation ON s_nationkey = n_nationkey")
 _text("match_comma_join", "MATCH (c:Customer)-[:FROM_NATION]->(n:Nation), (s:Supplier)-[:FROM_NATION]->(n) RETURN n.name AS nation, count(*) AS n",
       "SELECT n_name AS nation, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1")

@@ -26,8 +26,14 @@ from graphloom.operators.graph import PropertyGraph
 from graphloom.plans import syntax as s
 from graphloom.plans.syntax import QueryError
 
-#: An unbounded variable-length pattern that is still growing after so many hops raises.
-MOST_HOPS = 64
+#: Functions over the neighbourhoods of two nodes, and the columns of `link_scores` they name.
+LINK_SCORES = {
+    "link.commonneighbors": "common_neighbors",
+    "link.jaccard": "jaccard",
+    "link.adamicadar": "adamic_adar",
+    "link.resourceallocation": "resource_allocation",
+    "link.preferentialattachment": "preferential_attachment",
+}
 
 
 @dataclass
@@ -143,6 +149,7 @@ class Planner:
         self.rewrites = rewrites
         self.count = 0
         self.uses = Uses([])
+        self.trails: set[str] = set()  # columns that hold the relationship ids of variable-length hops
 
     # ---- helpers ----
 
@@ -283,14 +290,80 @@ class Planner:
     # ---- pattern comprehensions ----
 
     def lift(self, frame: Frame, exprs: list[s.Expr]) -> tuple[Frame, dict[s.Expr, Value]]:
-        """Turn pattern comprehensions into left-joined list columns."""
+        """Turn what needs the graph (pattern comprehensions, members of paths, ends of relationships, link scores) into joined columns."""
         extra: dict[s.Expr, Value] = {}
+        scored: dict[tuple, dict[str, Value]] = {}
         for e in exprs:
+            counted = {id(a) for x in s.walk(e) if isinstance(x, s.Call) and x.name.lower() == "size" for a in x.args}  # ids will do
             for x in s.walk(e):
-                if isinstance(x, s.PatternComprehension) and x not in extra:
+                if x in extra or id(x) in counted:
+                    continue
+                if isinstance(x, s.PatternComprehension):
                     frame, extra[x] = self.lifted(frame, x)
+                elif isinstance(x, s.Var) and x.name in frame.scope and _name(frame.scope[x.name].col) in self.trails:
+                    frame, extra[x] = self.members(frame, frame.scope[x.name].col, False)
+                elif isinstance(x, s.Call):
+                    name, own = x.name.lower(), frame.scope.get(x.args[0].name) if len(x.args) == 1 and isinstance(x.args[0], s.Var) else None
+                    if own is not None and own.type == v.PATH and name in ("nodes", "relationships", "rels"):
+                        field_ = "nodes" if name == "nodes" else "relationships"
+                        frame, extra[x] = self.members(frame, own.col[field_], name == "nodes")
+                    elif own is not None and own.type.kind == "rel" and name in ("startnode", "endnode"):
+                        ends = self.uses.ends.get(x.args[0].name)
+                        if ends is None or any(n not in frame.scope for n in ends):
+                            frame, extra[x] = self.member(frame, parts_of(own).src if name == "startnode" else parts_of(own).dst)
+                    elif len(x.args) == 2 and (score := LINK_SCORES.get(".".join(name.split(".")[-2:]))):
+                        if x.args not in scored:
+                            frame, scored[x.args] = self.link_scores(frame, x.args, extra)
+                        extra[x] = scored[x.args][score]
         return frame, extra
 
+    def members(self, frame: Frame, ids: Column, nodes: bool) -> tuple[Frame, Value]:
+        """The nodes or relationships of a list of ids: every distinct list is looked up once."""
+        key, at, one, item, out = (self.fresh(x) for x in ("k", "p", "i", "m", "l"))
+        rows, value = self.catalogue(nodes)
+        df = self.data(frame)
+        lists = df.select(ids.alias(key)).where(F.col(key).isNotNull()).distinct()
+        each = lists.select(key, F.posexplode(key).alias(at, one)).join(rows.select(F.col("id").alias(f"{one}x"), value.col.alias(item)), F.col(one) == F.col(f"{one}x"))
+        whole = each.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(at), F.col(item)))).alias(out))
+        whole = whole.select(F.col(key).alias(f"{key}x"), F.transform(out, lambda x: x[item]).alias(out))
+        t = list_of(value.type)
+        joined = df.join(whole, ids == F.col(f"{key}x"), "left")
+        return Frame(joined, frame.scope), Value(F.when(ids.isNotNull(), F.coalesce(F.col(out), F.array().cast(v.ddl(t)))), t)
+
+    def member(self, frame: Frame, node_id: Column) -> tuple[Frame, Value]:
+        """The node of an id."""
+        key, out = self.fresh("k"), self.fresh("m")
+        rows, value = self.catalogue(True)
+        joined = self.data(frame).join(rows.select(F.col("id").alias(key), value.col.alias(out)), node_id == F.col(key), "left")
+        return Frame(joined, frame.scope), Value(F.col(out), value.type)
+
+    def catalogue(self, nodes: bool) -> tuple[DataFrame, Value]:
+        rows, types = self.graph.node_frame() if nodes else self.graph.edge_frame()
+        props = {n: Value(F.col(f"`p_{n}`"), t) for n, t in types.items()}
+        if nodes:
+            return rows, node_value(NodeParts(F.col("id"), F.col("labels"), props))
+        return rows, rel_value(RelParts(F.col("id"), F.col("type"), F.col("src"), F.col("dst"), props))
+
+    def link_scores(self, frame: Frame, args: tuple, extra: dict) -> tuple[Frame, dict[str, Value]]:
+        """All neighbourhood scores of two nodes or node ids, computed once per distinct pair."""
+        from graphloom.operators.centrality import link_scores
+
+        ends = []
+        for x in (self.compiler(frame, extra)(a) for a in args):
+            if x.type.kind == "node":
+                ends.append(parts_of(x).id)
+            elif x.type in (INT, NULL):
+                ends.append(x.col.cast("bigint"))
+            else:
+                raise QueryError("link scores need nodes or their ids")
+        a, b = self.fresh("k"), self.fresh("k")
+        df = self.data(frame).withColumns({a: ends[0], b: ends[1]})
+        pairs = df.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a IS NOT NULL AND b IS NOT NULL").distinct()
+        names = {score: self.fresh("s") for score in LINK_SCORES.values()}
+        rows = link_scores(self.graph, pairs).select(F.col("a").alias(f"{a}x"), F.col("b").alias(f"{b}x"), *[F.col(n).cast("double").alias(c) for n, c in names.items()])
+        joined = df.join(rows, (F.col(a) == F.col(f"{a}x")) & (F.col(b) == F.col(f"{b}x")), "left").drop(f"{a}x", f"{b}x")
+        return Frame(joined, frame.scope), {n: Value(F.col(c), FLOAT) for n, c in names.items()}
+
     def lifted(self, frame: Frame, e: s.PatternComprehension) -> tuple[Frame, Value]:
         shared = [n.var for n in e.pattern.nodes if n.var in frame.scope]
         shared = list(dict.fromkeys(shared))
@@ -562,8 +635,6 @@ class Planner:
                 state = materialize(state)
                 if not state.take(1):
                     break
-                if length >= MOST_HOPS:
-                    raise QueryError(f"an unbounded pattern still grows after {MOST_HOPS} hops")
             if length >= low:
                 rows.append(state)
         if not rows:
@@ -572,6 +643,7 @@ class Planner:
         for more in rows[1:]:
             df = df.unionByName(more)
         value = Value(F.col(trail), list_of(INT))
+        self.trails.add(trail)
         frame = Frame(df, frame.scope | {rel.var: value})
         if target.var in frame.scope:
             frame = Frame(frame.df.where(F.col(ends) == parts_of(frame.scope[target.var]).id), frame.scope)
@@ -641,6 +713,7 @@ class Planner:
     def aggregate(self, frame: Frame, items: list[s.Item], order: list, extra: dict) -> tuple[Frame, dict, dict]:
         compile_ = self.compiler(frame, extra)
         calls: dict[s.Expr, tuple[str, Column, Type]] = {}
+        before: dict[str, Column] = {}
         for e in [i.expr for i in items] + [x for x, _ in order]:
             for x in s.walk(e):
                 if is_aggregate(x) and x not in calls:
@@ -648,7 +721,7 @@ class Planner:
                         raise QueryError("aggregates cannot be nested")
                     if any(isinstance(y, s.Call) and y.name.lower() == "rand" for a in x.args for y in s.walk(a)):
                         raise QueryError("rand() is not allowed inside an aggregate")
-                    calls[x] = self.aggregate_call(compile_, x)
+                    calls[x] = self.aggregate_call(compile_, x, before)
         keys: list[Column] = []
         carried: dict[str, Column] = {}
         known: dict[s.Expr, Value] = {}
@@ -678,7 +751,8 @@ class Planner:
             known[item.expr] = value
             scope[item.name] = value
         columns = [c.alias(n) for n, c, _ in calls.values()] + [c.alias(n) for n, c in carried.items()]
-        df = self.data(frame).groupBy(*keys).agg(*columns) if columns else self.data(frame).select(*keys).distinct()
+        rows = self.data(frame).withColumns(before) if before else self.data(frame)
+        df = rows.groupBy(*keys).agg(*columns) if columns else rows.select(*keys).distinct()
         known |= {e: Value(F.col(n), t) for e, (n, _, t) in calls.items()}
         # Only what is grouped by may appear beside aggregates.
         visible = scope | {i.expr.name: known[i.expr] for i in items if isinstance(i.expr, s.Var) and i.expr in known}
@@ -694,7 +768,8 @@ class Planner:
         scope = {i.name: scope[i.name] for i in items}
         return Frame(df.withColumns(new) if new else df, scope), visible | scope, known
 
-    def aggregate_call(self, compile_: Compiler, e: s.Call) -> tuple[str, Column, Type]:
+    def aggregate_call(self, compile_: Compiler, e: s.Call, before: dict[str, Column]) -> tuple[str, Column, Type]:
+        """Name, column and type of an aggregate; `before` collects the columns it needs to exist first."""
         name, kind = self.fresh("a"), e.name.lower()
         if kind == "count" and e.star:
             return name, F.count(F.lit(1)), INT
@@ -736,9 +811,10 @@ class Planner:
             raise QueryError("a percentile must lie between 0 and 1")
         if kind == "percentilecont":
             return name, F.percentile(c.cast("double"), F.lit(float(share))), FLOAT
-        ordered = F.array_sort(F.collect_list(c.cast("double")))
-        at = F.greatest(F.ceil(F.lit(float(share)) * F.size(ordered)).cast("int"), F.lit(1))
-        return name, F.try_element_at(ordered, at), FLOAT
+        # A histogram of the distinct values, never a list of all of them.
+        argument = self.fresh("x")
+        before[argument] = c.cast("double")
+        return name, F.expr(f"percentile_disc({float(share)!r}D) WITHIN GROUP (ORDER BY {argument})"), FLOAT
 
     # ---- rewrites ----
 

@@ -53,7 +53,7 @@ def test_documented_answers(modern):
     assert ask(modern, "MATCH ({name: 'marko'})-[:KNOWS]->(x) RETURN x.name AS n ORDER BY n") == [("josh",), ("vadas",)]
     assert ask(modern, "MATCH (a {name: 'marko'})-[:KNOWS]->()-[:CREATED]->(s) RETURN s.name AS n ORDER BY n") == [("lop",), ("ripple",)]
     assert ask(modern, "MATCH (s:Software)<-[c:CREATED]-(p) RETURN s.name AS s, count(*) AS n, sum(c.weight) AS w ORDER BY s") == [("lop", 3, 1.0), ("ripple", 1, 1.0)]
-    assert ask(modern, "MATCH p = (a {name: 'marko'})-[*2]->(x) RETURN length(p) AS l, nodes(p) AS ns ORDER BY ns") == [(2, [1, 4, 3]), (2, [1, 4, 5])]
+    assert ask(modern, "MATCH p = (a {name: 'marko'})-[*2]->(x) RETURN length(p) AS l, [n IN nodes(p) | id(n)] AS ns ORDER BY ns") == [(2, [1, 4, 3]), (2, [1, 4, 5])]
     assert ask(modern, "CALL dijkstra(1, 5) YIELD index, nodeId, totalWeight RETURN * ORDER BY index") == [(0, 1, 2.0), (1, 4, 2.0), (2, 5, 2.0)]
     assert ask(modern, "CALL any.wcc() YIELD componentId RETURN DISTINCT componentId AS c") == [(1,)]
 
@@ -148,7 +148,7 @@ def brute_trails(edges, start, low, high):
 def test_variable_lengths(awkward):
     edges = [(r.id, r.src, r.dst) for r in awkward.edge_frame(("KNOWS",))[0].collect()]
     for span, low, high in (("*", 1, 99), ("*2", 2, 2), ("*0..2", 0, 2), ("*..3", 1, 3), ("*3..", 3, 99)):
-        got = ask(awkward, f"MATCH (a {{name: 'ada'}})-[r:KNOWS{span}]->(b) RETURN r, id(b) AS b")
+        got = ask(awkward, f"MATCH (a {{name: 'ada'}})-[r:KNOWS{span}]->(b) RETURN [q IN r | id(q)] AS r, id(b) AS b")
         assert sorted((tuple(r), b) for r, b in got) == brute_trails(edges, 1, low, high), span
     assert ask(awkward, "MATCH (a {name: 'dot'})<-[r:KNOWS*1..2]-(b) RETURN size(r) AS n, b.name AS b ORDER BY n") == [(1, "cal"), (2, "bob")]
 
@@ -180,6 +180,24 @@ def test_grouping_sorting_and_nulls(awkward):
     assert ask(awkward, "UNWIND [] AS x RETURN count(x) AS n, sum(x) AS s, collect(x) AS c, min(x) AS m") == [(0, 0, [], None)]
 
 
+def test_members_of_paths(modern):
+    assert ask(modern, "MATCH p = ({name: 'marko'})-[*2]->(x) RETURN [n IN nodes(p) | n.name] AS ns, [r IN relationships(p) | r.weight] AS ws ORDER BY ns") == [
+        (["marko", "josh", "lop"], [1.0, 0.4]),
+        (["marko", "josh", "ripple"], [1.0, 1.0]),
+    ]
+    assert ask(modern, "MATCH ({name: 'marko'})-[r*1..2]->(x {name: 'ripple'}) RETURN size(r) AS n, [q IN r | type(q)] AS ts") == [(2, ["KNOWS", "CREATED"])]
+    assert ask(modern, "MATCH p = (a {name: 'vadas'})-[*0..0]->(a) RETURN size(relationships(p)) AS n, [x IN nodes(p) | x.age] AS ages") == [(0, [27])]
+    got = ask(modern, "MATCH ()-[r:CREATED]->({name: 'ripple'}) WITH r RETURN startNode(r).name AS s, endNode(r).lang AS e")
+    assert got == [("josh", "java")]
+
+
+def test_link_functions(modern):
+    got = ask(modern, "MATCH (a {name: 'marko'}), (b {name: 'peter'}) RETURN link.commonNeighbors(a, b) AS c, link.jaccard(a, b) AS j, link.preferentialAttachment(a, b) AS p, link.adamicAdar(id(a), id(b)) AS aa")
+    assert [round(x, 6) for x in got[0]] == [1.0, round(1 / 3, 6), 3.0, round(1 / math.log(3), 6)]
+    assert ask(modern, "RETURN link.jaccard(1, 99) AS j, link.resourceAllocation(1, null) AS r") == [(0.0, None)]
+    assert ask(modern, "MATCH (a:Person), (b:Person) WHERE id(a) < id(b) AND link.commonNeighbors(a, b) > 1 RETURN a.name AS a, b.name AS b") == []
+
+
 def test_ends_of_relationships(modern, awkward):
     assert ask(modern, "MATCH (a)-[r:KNOWS]->(b) RETURN startNode(r).name AS s, endNode(r).age AS e ORDER BY e") == [("marko", 27), ("marko", 32)]
     got = ask(awkward, "MATCH (a {name: 'ada'})-[r:KNOWS]-(b) RETURN startNode(r).name AS s, endNode(r).name AS e, b.name AS b ORDER BY s, e")
