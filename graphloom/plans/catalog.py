@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -228,37 +229,85 @@ def _vector_distance(spark, folder):
     return graph.query("MATCH (v:V) RETURN id(v) AS id, round(distance.cosine(v.embedding, $q), 6) AS c, round(distance.euclidean(v.embedding, $q), 6) AS e", q=_QUERY_VECTOR)
 
 
+@lru_cache(maxsize=8)
 def _indexed(spark, folder) -> PropertyGraph:
+    """The text index is a stored table: queries read its postings, they do not tokenise the documents again."""
     return search.create_text_index(commerce_graph(spark, folder), "Document", "text")
 
 
-@query("bm25_search")
+def _tokens_sql(text: str) -> str:
+    """Indexed words of the documents, and the words that have the stems of the query's terms."""
+    single = [(c, base) for base, chars in search.FOLD for c in chars if len(base) == 1]
+    folded = f"translate(text, '{''.join(c for c, _ in single)}', '{''.join(b for _, b in single)}')"
+    for base, chars in search.FOLD:
+        for c in chars if len(base) > 1 else "":
+            folded = f"replace({folded}, '{c}', '{base}')"
+    stops = ", ".join(f"'{w.replace(chr(39), chr(39) * 2)}'" for w in sorted(search.STOP_WORDS["en"]))
+    forms = [(t, t.removesuffix(cut) + end) for t in search.tokenize(text) for cut in ("", "e", "i") for end in ("", "s", "e", "es", "y", "ed", "ing", "ings", "er", "ers", "ies")]
+    known = sorted({(t, f) for t, f in forms if search.stem(f) == t})
+    values = ", ".join(f"('{t}', '{f}')" for t, f in known)
+    return rf"""
+a AS (SELECT doc_id + 60000000 AS node, unnest(regexp_extract_all({folded}, '[\p{{L}}\p{{N}}_]+(?:[.''’][\p{{L}}\p{{N}}_]+)*')) AS w FROM documents WHERE text IS NOT NULL),
+k AS (SELECT node, lower(trim(w, '_')) AS w FROM a),
+t AS (SELECT * FROM k WHERE w <> '' AND w NOT IN ({stops})),
+lengths AS (SELECT node, count(*) AS len FROM t GROUP BY 1), s AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(len) AS mean FROM lengths),
+q(term, form) AS (VALUES {values}),
+h AS (SELECT node, term, count(*) AS tf FROM t JOIN q ON w = form GROUP BY 1, 2), f AS (SELECT term, count(*) AS df FROM h GROUP BY 1)"""
+
+
+_BM25 = "sum(ln((n - df + 0.5) / (df + 0.5) + 1.0) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean)))"
+_TFIDF = "sum(sqrt(tf) * greatest(ln(n / (df + 1.0)), 0.0))"
+
+
+def _text_sql(text: str, score: str, limit: int, every: int = 1) -> str:
+    return f"""WITH {_tokens_sql(text)}, x AS (SELECT node, {score} AS score FROM h JOIN f USING (term) JOIN lengths USING (node), s GROUP BY node HAVING count(*) >= {every})
+SELECT node, round(score, 6) AS score FROM x ORDER BY x.score DESC, node LIMIT {limit}"""
+
+
+def _around_sql(seeds: str, places: int) -> str:
+    """Seeds (node, score) that are documents, and the documents next to them."""
+    return f"""{seeds}, i AS (SELECT node FROM seed JOIN documents ON doc_id + 60000000 = node),
+r AS (SELECT node FROM i UNION SELECT d.doc_id + 60000000 FROM i JOIN documents d ON d.doc_id + 60000000 = i.node + 1)
+SELECT r.node, round(seed.score, {places}) AS score FROM r LEFT JOIN seed USING (node)"""
+
+
+def _hybrid_sql(part: str) -> str:
+    return _around_sql(f"""WITH {_tokens_sql("label scan")}, x AS (SELECT node, {_BM25} AS score FROM h JOIN f USING (term) JOIN lengths USING (node), s GROUP BY node),
+words AS (SELECT node, row_number() OVER (ORDER BY score DESC, node) - 1 AS rank FROM x QUALIFY rank < 10),
+{_VECTOR_SQL}, near AS (SELECT vec_id + 60000000 AS node, row_number() OVER (ORDER BY d, vec_id) - 1 AS rank FROM v QUALIFY rank < 10),
+seed AS (SELECT node, sum({part}) AS score FROM (FROM words UNION ALL FROM near) GROUP BY 1)""", 8)
+
+
+_WANTED = "edge weights of the graph index"
+
+
+@query("bm25_search", _text_sql(_WANTED, _BM25, 20))
 def _bm25(spark, folder):
-    return search.text_search(_indexed(spark, folder), "edge weights of the graph index", 20).select("node", F.round("score", 6).alias("score"))
+    return search.text_search(_indexed(spark, folder), _WANTED, 20).select("node", F.round("score", 6).alias("score"))
 
 
-@query("tfidf_search")
+@query("tfidf_search", _text_sql(_WANTED, _TFIDF, 20))
 def _tfidf(spark, folder):
-    return search.text_search(_indexed(spark, folder), "edge weights of the graph index", 20, scorer=search.tf_idf()).select("node", F.round("score", 6).alias("score"))
+    return search.text_search(_indexed(spark, folder), _WANTED, 20, scorer=search.tf_idf()).select("node", F.round("score", 6).alias("score"))
 
 
-@query("text_boolean_and")
+@query("text_boolean_and", _text_sql("label scan", _BM25, 20, 2))
 def _text_and(spark, folder):
     return search.text_search(_indexed(spark, folder), "label scan", 20, every_term=True).select("node", F.round("score", 6).alias("score"))
 
 
-@query("retrieve_vector")
+@query("retrieve_vector", _around_sql(f"WITH {_VECTOR_SQL}, seed AS (SELECT vec_id + 60000000 AS node, d AS score FROM v ORDER BY d, vec_id LIMIT 5)", 6))
 def _retrieve_vector(spark, folder):
     return search.retrieve(_with_next(spark, folder), _QUERY_VECTOR, 5, 1).nodes.select("node", F.round("score", 6).alias("score"))
 
 
-@query("hybrid_rrf")
+@query("hybrid_rrf", _hybrid_sql("1.0::DOUBLE / (61.0 + rank)"))
 def _hybrid_rrf(spark, folder):
     found = search.retrieve_hybrid(_with_next(spark, folder), _QUERY_VECTOR, "label scan", hops=1)
     return found.nodes.select("node", F.round("score", 8).alias("score"))
 
 
-@query("hybrid_weighted")
+@query("hybrid_weighted", _hybrid_sql("0.5::DOUBLE * (10.0 - rank) / 10.0"))
 def _hybrid_weighted(spark, folder):
     found = search.retrieve_hybrid(_with_next(spark, folder), _QUERY_VECTOR, "label scan", hops=1, strategy="weighted", max_nodes=50)
     return found.nodes.select("node", F.round("score", 8).alias("score"))
@@ -336,9 +385,18 @@ d(id, dist) USING KEY (id) AS (
   SELECT CAST(1001 AS BIGINT), CAST(0 AS DOUBLE)
   UNION SELECT w.dst, min(d.dist + w.w) FROM d JOIN w ON w.src = d.id LEFT JOIN recurring.d r ON r.id = w.dst WHERE r.dist IS NULL OR d.dist + w.w < r.dist GROUP BY w.dst
 ) SELECT id, round(dist, 6) AS distance FROM d""")
-_social("all_shortest_paths", lambda g: traversal.all_shortest_paths(g, 1_001, 9))
+_social("all_shortest_paths", lambda g: traversal.all_shortest_paths(g, 1_001, 9), """
+, x AS MATERIALIZED (SELECT DISTINCT src, dst FROM l WHERE src <> dst),
+z(id, d) USING KEY (id) AS (
+  SELECT CAST(1001 AS BIGINT), 0 UNION SELECT x.dst, min(z.d + 1) FROM z JOIN x ON x.src = z.id LEFT JOIN recurring.z r ON r.id = x.dst WHERE r.d IS NULL GROUP BY 1
+), y AS MATERIALIZED (SELECT id, d FROM z),
+w AS (
+  SELECT [1001::BIGINT] AS path, 1001::BIGINT AS id, 0 AS d
+  UNION ALL SELECT list_append(w.path, x.dst), x.dst, w.d + 1 FROM w JOIN x ON x.src = w.id JOIN y ON y.id = x.dst AND y.d = w.d + 1 WHERE w.d < (SELECT d FROM y WHERE id = 9)
+) SELECT path FROM w WHERE id = 9""")
 _social("topk_paths", lambda g: g.spark.createDataFrame([(i, p, round(w, 6)) for i, (p, w) in enumerate(traversal.top_paths(g, 1_001, 9, 3))], "rank int, path array<bigint>, weight double"))
-_social("detect_cycle", lambda g: g.spark.createDataFrame([(traversal.has_cycle(g),)], "cycle boolean"))
+_social("detect_cycle", lambda g: g.spark.createDataFrame([(traversal.has_cycle(g),)], "cycle boolean"), _ALL_PAIRS + """
+SELECT EXISTS (SELECT 1 FROM l WHERE src = dst) OR EXISTS (SELECT 1 FROM x JOIN far ON s = x.dst AND far.id = x.src) AS cycle""")
 _social("wcc", centrality.wcc, """
 , u AS MATERIALIZED (SELECT DISTINCT src AS a, dst AS b FROM l UNION SELECT dst, src FROM l),
 d(id, component) USING KEY (id) AS (
@@ -370,14 +428,19 @@ _social("katz", lambda g: _rounded(centrality.katz(g, 0.001, 1.0, 8, 0.0), place
     11,
 ))
 _social("eigenvector", lambda g: _rounded(centrality.eigenvector(g), places=6))
-_social("label_propagation", lambda g: centrality.label_propagation(g, 5), ", ways AS MATERIALIZED (SELECT src AS a, dst AS b FROM l UNION ALL SELECT dst, src FROM l)" + _unrolled(
-    5, "SELECT id, id AS s FROM n",
+_social("eigenvector_rounds", lambda g: _rounded(centrality.eigenvector(g, 10, 0.0), places=6), _unrolled(
+    10, "SELECT id, 1.0 / (SELECT count(*) FROM n)::DOUBLE AS s FROM n",
+    "SELECT n.id, coalesce(g, 0.0) / sqrt(sum(coalesce(g, 0.0) * coalesce(g, 0.0)) OVER ()) AS s FROM n LEFT JOIN (SELECT l.dst, sum(s) AS g FROM l JOIN $PREV p ON p.id = l.src GROUP BY 1) q ON q.dst = n.id",
+    last="round(s * (SELECT count(*) FROM n) / sum(s) OVER (), 6) AS score",
+))
+_social("label_propagation", lambda g: centrality.label_propagation(g), ", ways AS MATERIALIZED (SELECT src AS a, dst AS b FROM l UNION ALL SELECT dst, src FROM l)" + _unrolled(
+    20, "SELECT id, id AS s FROM n",
     "SELECT n.id, coalesce(c, p.s) AS s FROM n JOIN $PREV p USING (id) LEFT JOIN (SELECT a, c FROM (SELECT a, s AS c, count(*) AS k FROM ways JOIN $PREV q ON q.id = b GROUP BY 1, 2)"
     " QUALIFY row_number() OVER (PARTITION BY a ORDER BY k DESC, c) = 1) v ON v.a = n.id",
     last="s AS community",
 ))
 _social("louvain", centrality.louvain)
-_social("communities", lambda g: centrality.communities(g, 5, 3))
+_social("communities", lambda g: centrality.communities(g, 20, 3))
 _social("betweenness", lambda g: _rounded(centrality.betweenness(g), places=4))
 _social("harmonic", lambda g: _rounded(centrality.harmonic(g), places=6), _ALL_PAIRS + "SELECT s AS id, round(sum(CASE WHEN d > 0 THEN 1.0 / d ELSE 0.0 END), 6) AS score FROM far GROUP BY 1")
 _social("closeness", lambda g: _rounded(centrality.closeness(g), places=6), _ALL_PAIRS + """
