@@ -72,6 +72,55 @@ WITH e AS (
 ), c AS (SELECT side, edge_type, node, count(*) AS entries FROM n WHERE node IS NOT NULL GROUP BY ALL)
 """
 
+_JSON_BARE = "regexp_replace({x}, '\"(?:\\\\.|[^\"\\\\])*\"', '\"\"', 'g')"
+
+
+def _strict(x: str) -> str:
+    """Whether `x` is one JSON text by RFC 8259; the engine's own check also takes NaN, Infinity and trailing commas."""
+    bare = _JSON_BARE.format(x=x)
+    return f"(json_valid({x}) AND NOT regexp_matches({bare}, '(?i)nan|inf') AND NOT regexp_matches({bare}, ',\\s*[\\]}}]'))"
+
+
+#: Records with their fields, the reason why one does not load, and the typed values.
+_RAW = rf"""
+WITH f AS (FROM raw_files WHERE file_no IS NOT NULL QUALIFY row_number() OVER (PARTITION BY file_no ORDER BY loaded_at DESC) = 1),
+r AS (
+  SELECT l.file_no, l.line_no, regexp_replace(coalesce(line, ''), '\r$', '') AS x, format, layout, coalesce(delimiter, ',') AS d
+  FROM raw_lines l JOIN f USING (file_no) WHERE NOT (format = 'csv' AND coalesce(line_no = 1, false))
+), c AS (
+  SELECT *, '("(?:[^"]|"")*"|[^"' || d || ']*)' AS field FROM r WHERE format = 'csv'
+), s AS (
+  SELECT *, regexp_full_match(x, '(?s)' || field || '(?:[' || d || ']' || field || ')*') AS quoted,
+         list_transform(regexp_extract_all(d || x, '(?s)[' || d || ']' || field, 1), lambda v: CASE WHEN starts_with(v, '"') THEN replace(v[2:-2], '""', '"') ELSE v END) AS v
+  FROM c
+), t AS (
+  SELECT *, CASE layout WHEN 'copy_outcome' THEN 5 ELSE 3 END AS width FROM s
+), n AS (
+  SELECT file_no, line_no, layout, x, CASE WHEN NOT quoted THEN 'quoting' WHEN len(v) <> width THEN 'column_count'
+    WHEN layout = 'copy_outcome' AND NOT ($INT(v[1]) AND v[2] <> '' AND v[3] IN ('nodes', 'relationships') AND $INT(v[4])
+      AND regexp_full_match(v[5], '\d{{4}}-\d\d-\d\dT(?:[01]\d|2[0-3]):[0-5]\d:[0-5]\dZ') AND try_strptime(v[5], '%Y-%m-%dT%H:%M:%SZ') IS NOT NULL) THEN 'invalid_value'
+    WHEN layout = 'node_body' AND NOT ($INT(v[1]) AND v[2] <> '' AND (v[3] = '' OR coalesce(CASE WHEN {_strict("v[3]")} THEN json_type(v[3]) = 'OBJECT' END, false))) THEN 'invalid_value'
+    END AS reason, v FROM t
+  UNION ALL
+  SELECT file_no, line_no, layout, x, CASE WHEN NOT {_strict("x")} THEN 'bad_json' WHEN NOT (CASE WHEN {_strict("x")} THEN
+      json_type(x) = 'OBJECT' AND coalesce(json_type(x, '$.label'), 'NULL') IN ('NULL', 'VARCHAR') AND coalesce(x ->> '$.label', 'x') <> ''
+      AND coalesce(json_type(x, '$.labels'), 'ARRAY') = 'ARRAY' AND NOT list_bool_or(coalesce(list_transform(CAST(json_extract(x, '$.labels[*]') AS JSON[]), lambda y: json_type(y) <> 'VARCHAR'), [false]) || [false])
+      AND (x ->> '$.label' IS NOT NULL OR list_bool_or(coalesce(list_transform(CAST(json_extract(x, '$.labels[*]') AS JSON[]), lambda y: json_type(y) = 'VARCHAR' AND y ->> '$' <> ''), [false]) || [false]))
+      AND coalesce(json_type(x, '$.props'), 'OBJECT') = 'OBJECT' ELSE false END) THEN 'invalid_value' END, NULL FROM r WHERE format = 'jsonl'
+)
+"""
+
+
+def _raw_sql(rest: str) -> str:
+    out = _RAW + rest
+    while "$INT(" in out:
+        head, _, tail = out.partition("$INT(")
+        cell, _, tail = tail.partition(")")
+        digits = f"ltrim({cell}, '0')"
+        out = head + f"(regexp_full_match({cell}, '[0-9]+') AND (length({digits}) < 19 OR length({digits}) = 19 AND {digits} <= '9223372036854775807'))" + tail
+    return out
+
+
 SQL: dict[str, str] = {
     "p1_found": """
 WITH b AS (
@@ -137,6 +186,10 @@ SELECT s.feed, s.file_no, 'relabelled', o.label, n.label FROM step s
   JOIN lab o ON o.feed = s.feed AND o.file_no = s.old_file
   JOIN lab n ON n.feed = s.feed AND n.file_no = s.file_no WHERE o.label <> n.label
 """,
+    "p2_found": _raw_sql("SELECT file_no, line_no, reason FROM n WHERE reason IS NOT NULL"),
+    "p2_copy_outcomes": _raw_sql("""
+SELECT file_no, line_no, CAST(v[1] AS BIGINT) AS copy_id, v[2] AS target, v[3] AS kind, CAST(v[4] AS BIGINT) AS count, strptime(v[5], '%Y-%m-%dT%H:%M:%SZ') AS finished_at
+FROM n WHERE reason IS NULL AND layout = 'copy_outcome'"""),
     "p5_found": _ENTRIES + "SELECT side, edge_type, node FROM c WHERE entries >= 0.01 * (SELECT count(*) FROM e)",
     "p5_entry_counts": _ENTRIES + "SELECT side, edge_type, node, CAST(entries AS BIGINT) AS entries FROM c",
     "p5_adjacency": _ENTRIES
