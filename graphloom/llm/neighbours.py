@@ -48,14 +48,14 @@ from pyspark.sql.window import Window
 from graphloom.operators.durable import materialize
 
 TRAIN_ROWS = 65_536
-GROUP_ROWS = 8_192
+GROUP_ROWS = 32_768
 BLOCK_ROWS = 32_768
 LIST_ROWS = 1_024
 RESIDUAL_BOOKS = 4
 RESIDUAL_WORDS = 32
 BEAM = 4
 #: Members of a list that the first pass reranks exactly, per neighbour asked for.
-RERANK = 4
+RERANK = 2
 #: Rounding error of squared distances of unit vectors in single precision, with room.
 SLACK = 1e-5
 #: Candidates of a block held before they are cut to the first of each query.
@@ -354,9 +354,14 @@ def _matcher(model: AdditiveQuantiser, dimensions: int, wanted: int, widen: bool
         member = {int(item): own for item, own in zip(lists, np.split(order, starts[1:]))}
         probing: dict[int, list[int] | np.ndarray] = {}
         if widen and queries["q_lists"].iloc[0] is None:
-            for item, own in member.items():
-                limit = _reach(bound) + spread[own].max()
-                probing[item] = np.flatnonzero(_squares(asked32, model.coarse[item : item + 1])[:, 0] <= limit * limit + SLACK)
+            reach_, items = _reach(bound).astype(np.float32)[:, None], list(member)
+            for at in range(0, len(items), 64):
+                some = items[at : at + 64]
+                centres = model.coarse[some]
+                limit = reach_ + np.array([spread[member[item]].max() for item in some], np.float32)
+                # Queries have length 1.
+                safe = 1 + (centres * centres).sum(1) - 2 * (asked32 @ centres.T) <= limit * limit + SLACK
+                probing.update((item, np.flatnonzero(column)) for item, column in zip(some, safe.T))
         else:
             for i, own in enumerate(queries["q_lists"]):
                 for item in own:
@@ -371,6 +376,12 @@ def _matcher(model: AdditiveQuantiser, dimensions: int, wanted: int, widen: bool
             nonlocal best
             q, r = (np.concatenate(c) for c in zip(*held))
             held.clear()
+            if not widen:  # the second pass holds only what single precision leaves open
+                rough = np.empty(len(q), np.float32)
+                for at in range(0, len(q), 65536):
+                    rough[at : at + 65536] = np.einsum("ij,ij->i", rows32[r[at : at + 65536]], asked32[q[at : at + 65536]])
+                open_ = rough >= 1 - SLACK - bound[q]
+                q, r = q[open_], r[open_]
             exact = np.empty(len(q))
             for at in range(0, len(q), 65536):
                 exact[at : at + 65536] = (rows[r[at : at + 65536]] * asked[q[at : at + 65536]]).sum(1)
