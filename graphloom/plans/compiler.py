@@ -296,10 +296,12 @@ class Planner:
         for e in exprs:
             counted = {id(a) for x in s.walk(e) if isinstance(x, s.Call) and x.name.lower() == "size" for a in x.args}  # ids will do
             for x in s.walk(e):
-                if x in extra or id(x) in counted:
+                if x in extra:
                     continue
                 if isinstance(x, s.PatternComprehension):
                     frame, extra[x] = self.lifted(frame, x)
+                elif id(x) in counted:
+                    continue
                 elif isinstance(x, s.Var) and x.name in frame.scope and _name(frame.scope[x.name].col) in self.trails:
                     frame, extra[x] = self.members(frame, frame.scope[x.name].col, False)
                 elif isinstance(x, s.Call):
