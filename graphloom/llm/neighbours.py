@@ -3,17 +3,18 @@
 Method: additive quantisation. A vector is approximated by a sum of
 full-dimensional codewords: the first codebook is a coarse one whose codes form
 inverted lists, the others are residual codebooks whose codes are found by beam
-search. Each row stores its codes and the squared norm of its approximation; a
-query scores the members of its nearest lists through a table of its inner
-products with all codewords, and the best of each list are reranked exactly. This
-first pass only bounds a query's k-th distance. The second one visits every list
+search. Rows lie in blocks of neighbouring lists. Within its own block a query scores
+the members of its nearest lists through a table of its inner products with all
+codewords, and the best of each list are reranked exactly. This first pass only
+bounds a query's k-th distance. The second one visits every list of every block
 that may hold something as near (distance to the list's centre less its radius)
 and compares all its members (a product of 64 components costs less than the table
 look-ups), so nothing is missed: the result is that of a full comparison.
 Where vectors have no near neighbours the bounds exclude little, and the second
 pass comes close to comparing all pairs. There `missing` buys speed: the second
-pass then leaves out the lists in which, by the spread of their members, together
-at most that share of the k neighbours is expected.
+pass then leaves out the lists of other blocks, beyond a query's `probes` nearest, in
+which, by the spread of their members, together at most that share of the k neighbours
+is expected.
 
 Rules: a row is void unless its embedding has `dimensions` finite components;
 of a node's other rows the one with the latest ``updated_at`` counts (ties: the
@@ -28,9 +29,12 @@ empty table gives an empty result.
 
 Bounds: codebooks are fitted on at most TRAIN_ROWS rows chosen by hash; every row
 is indexed. Where the coarse codebook's lists would hold more than LIST_ROWS rows on
-average, a second codebook splits each of them into RESIDUAL_WORDS. Lists are packed into groups of about GROUP_ROWS rows; a group that
-holds more (a dense region) is cut into blocks of at most BLOCK_ROWS rows on
-either side, so no task gets more than two such blocks.
+average, a second codebook splits each of them into RESIDUAL_WORDS. Lists are packed into groups of about GROUP_ROWS rows, and a group
+that holds more (a dense region) into several blocks; none has more than BLOCK_ROWS
+rows. Vectors are shuffled once, into their blocks, and written once, a row for each
+block. The second pass is a Cartesian product of that table with itself, whose tasks
+read the blocks where they lie: nothing is sent to the places where it is compared,
+so disk grows with the rows, whatever the number of comparisons.
 """
 
 from __future__ import annotations
@@ -39,7 +43,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,8 +51,8 @@ from pyspark.sql.window import Window
 from graphloom.operators.durable import materialize
 
 TRAIN_ROWS = 65_536
-GROUP_ROWS = 32_768
-BLOCK_ROWS = 32_768
+GROUP_ROWS = 16_384
+BLOCK_ROWS = 16_384
 LIST_ROWS = 1_024
 RESIDUAL_BOOKS = 4
 RESIDUAL_WORDS = 32
@@ -58,6 +61,14 @@ BEAM = 4
 RERANK = 2
 #: Rounding error of squared distances of unit vectors in single precision, with room.
 SLACK = 1e-5
+#: Rows and queries compared at once where a block can't be searched list by list.
+TILE = (1_024, 512)
+#: Numbers of parts that a block may have, of blocks told apart when pairs of them are chosen, and of copies that are broadcast.
+PARTS = 1_024
+TARGETS = 4_096
+COPIES = 1_000_000
+#: Bytes of floors (16 for each query of a search that may miss something) that are broadcast.
+FLOORS = 32_000_000
 #: Candidates of a block held before they are cut to the first of each query.
 HELD = 2_000_000
 SALTS = 64
@@ -137,18 +148,6 @@ class AdditiveQuantiser:
             own.group_of = (np.arange(lists) * groups // lists).astype(np.int32)
         return own
 
-    def lists_of(self, x: np.ndarray, count: int = 1) -> np.ndarray:
-        """The `count` nearest lists of each row (by way of the nearest parents), nearest first."""
-        if self.split is None:
-            return _nearest(x, self.coarse, min(count, len(self.coarse)))
-        width = len(self.split)
-        near = _nearest(x, self.parents, min(count, len(self.parents)))
-        out = np.empty((len(x), min(count, near.shape[1] * width)), np.int32)
-        for i, own in enumerate(near):
-            lists = (own[:, None] * width + np.arange(width)).ravel()
-            out[i] = lists[_nearest(x[i : i + 1], self.coarse[lists], out.shape[1])[0]]
-        return out
-
     def own_list(self, x: np.ndarray) -> np.ndarray:
         """The list each row belongs to."""
         own = _nearest(x, self.parents)[:, 0]
@@ -193,7 +192,7 @@ def _unit(raw: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def _matrix(blobs: pd.Series, dimensions: int) -> np.ndarray:
+def _matrix(blobs: list[bytes], dimensions: int) -> np.ndarray:
     return np.frombuffer(b"".join(blobs), np.float32).reshape(-1, dimensions)
 
 
@@ -209,20 +208,14 @@ def current_vectors(vectors: DataFrame, dimensions: int) -> DataFrame:
     )
 
 
-def _coder(model: AdditiveQuantiser, dimensions: int, probes: int):
-    schema = pa.schema(
-        [
-            ("node_id", pa.int64()),
-            ("query", pa.bool_()),
-            ("vector", pa.binary()),
-            ("list", pa.int32()),
-            ("group", pa.int32()),
-            ("codes", pa.binary()),
-            ("norm", pa.float32()),
-            ("spread", pa.float32()),
-            ("targets", pa.list_(pa.struct([("group", pa.int32()), ("lists", pa.list_(pa.int32()))]))),
-        ]
-    )
+def _parts(model: AdditiveQuantiser, sample: np.ndarray, rows: int) -> np.ndarray:
+    """Number of blocks of each group, by its share of the sample."""
+    held = np.bincount(model.group_of[model.own_list(sample)], minlength=int(model.group_of.max()) + 1)
+    return np.maximum(np.ceil(held * (rows / len(sample) / BLOCK_ROWS)), 1).astype(np.int64)
+
+
+def _coder(model: AdditiveQuantiser, dimensions: int, parts: np.ndarray):
+    start = np.cumsum(parts) - parts
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -233,37 +226,33 @@ def _coder(model: AdditiveQuantiser, dimensions: int, probes: int):
             unit = _unit(raw).astype(np.float32)
             own, codes, norm = model.encode(unit)
             spread = np.sqrt(((unit - model.coarse[own]) ** 2).sum(1))
-            asked = np.asarray(batch["query"].to_numpy(zero_copy_only=False), bool)
-            targets: list = [None] * n
-            at = np.flatnonzero(asked)
-            if len(at):
-                near = model.lists_of(unit[at], probes)
-                groups = model.group_of[near]
-                for i, lists, own_groups in zip(at.tolist(), near.tolist(), groups.tolist()):
-                    by: dict[int, list[int]] = {}
-                    for item, g in zip(lists, own_groups):
-                        by.setdefault(g, []).append(item)
-                    targets[i] = [{"group": g, "lists": ls} for g, ls in by.items()]
+            group = model.group_of[own]
+            mixed = (np.asarray(batch["node_id"]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
             small = codes.astype(np.uint8)
             yield pa.RecordBatch.from_arrays(
                 [
+                    pa.array(start[group] + mixed.astype(np.int64) % parts[group]),
                     batch["node_id"],
-                    pa.array(asked),
+                    batch["query"],
                     pa.array([r.tobytes() for r in raw], pa.binary()),
                     pa.array(own, pa.int32()),
-                    pa.array(model.group_of[own], pa.int32()),
                     pa.array([r.tobytes() for r in small], pa.binary()),
                     pa.array(norm.astype(np.float32)),
                     pa.array(spread.astype(np.float32)),
-                    pa.array(targets, schema.field("targets").type),
                 ],
-                schema=schema,
+                names=["block", "node_id", "query", "vector", "list", "codes", "norm", "spread"],
             )
 
     return code
 
 
-_CODED = "node_id bigint, query boolean, vector binary, list int, group int, codes binary, norm float, spread float, targets array<struct<group: int, lists: array<int>>>"
+_CODED = "block bigint, node_id bigint, query boolean, vector binary, list int, codes binary, norm float, spread float"
+#: Of a block's rows, in the order of their lists: ids, vectors, lists, spreads; the positions of the queries among them and
+#: their bounds. Of each list: its rows, radius and mean squared spread, and how far its queries reach.
+_BLOCKS = (
+    "block bigint, ids binary, vectors binary, lists binary, spreads binary, asked binary, bounds binary, "
+    "names array<int>, sizes array<int>, radius array<float>, squares array<float>, reach array<float>"
+)
 _HITS = "query_id bigint, node_id bigint, distance double"
 
 
@@ -283,143 +272,255 @@ def _tail(z: np.ndarray) -> np.ndarray:
     return np.where(z > 0, tail, 1.0)
 
 
-_REACHED = "node_id bigint, bound double, targets array<struct<group: int, lists: array<int>>>"
-
+def _exact(asked: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Cosine distances of pairs of vectors, to 12 decimals."""
+    out = np.empty(len(asked))
+    for at in range(0, len(asked), 65536):
+        out[at : at + 65536] = (_unit(rows[at : at + 65536]) * _unit(asked[at : at + 65536])).sum(1)
+    return np.maximum(np.round(1.0 - out, 12) + 0.0, 0.0)
 
-def _widener(model: AdditiveQuantiser, dimensions: int, radius: np.ndarray, size: np.ndarray, mean_square: np.ndarray, allowed: float):
-    """Where a query may have something within its bound.
 
-    If nothing may be missed these are whole groups (their lists are chosen again
-    by the block's own radius); else lists, without those in which together at most
-    `allowed` rows are expected: the squared distance of a member is taken as
-    normal around |q - centre|^2 + spread^2, over `model.freedom` directions.
-    """
-    order = np.argsort(model.group_of, kind="stable")
-    names, starts = np.unique(model.group_of[order], return_index=True)
-
-    def safe_groups(asked: np.ndarray, bound: np.ndarray) -> list:
-        hit = np.empty((len(asked), len(names)), bool)
-        for at in range(0, len(asked), 1024):
-            limit = _reach(bound[at : at + 1024])[:, None] + np.maximum(radius, 0)
-            safe = (_squares(asked[at : at + 1024], model.coarse) <= limit * limit + SLACK) & (radius >= 0)
-            hit[at : at + 1024] = np.logical_or.reduceat(safe[:, order], starts, axis=1)
-        return [[{"group": g, "lists": None} for g in names[h].tolist()] for h in hit]
-
-    def likely_lists(asked: np.ndarray, bound: np.ndarray) -> list:
-        out = []
-        for at in range(0, len(asked), 256):
-            squares = np.maximum(_squares(asked[at : at + 256], model.coarse), 1e-9)
-            near = 2 * bound[at : at + 256, None]
-            z = (squares + mean_square - near) / (2 * np.sqrt(squares * np.maximum(mean_square, 1e-9) / model.freedom))
-            expected = size * _tail(z)
-            turn = np.argsort(expected, axis=1)
-            left_out = np.cumsum(np.take_along_axis(expected, turn, 1), 1) <= allowed
-            for lists, skip in zip(turn, left_out):
-                lists = lists[~skip]
-                lists = lists[size[lists] > 0]
-                lists = lists[np.argsort(model.group_of[lists], kind="stable")]
-                own, begin = np.unique(model.group_of[lists], return_index=True)
-                out.append([{"group": g, "lists": part.tolist()} for g, part in zip(own.tolist(), np.split(lists, begin[1:]))])
-        return out
-
-    def widen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("group", pa.int32()), ("lists", pa.list_(pa.int32()))]))
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            asked = _unit(_matrix(batch["vector"].to_pylist(), dimensions)).astype(np.float32)
-            bound = np.asarray(batch["bound"], np.float64)
-            targets = likely_lists(asked, bound) if allowed > 0 else safe_groups(asked, bound)
-            yield pa.RecordBatch.from_arrays([batch["node_id"], batch["bound"], pa.array(targets, kind)], names=["node_id", "bound", "targets"])
+def _lower(bound: np.ndarray, q: np.ndarray, distance: np.ndarray, wanted: int) -> None:
+    """Queries that have `wanted` rows need none beyond the last of them."""
+    full = np.bincount(q, minlength=len(bound)) >= wanted
+    last = np.zeros(len(bound))
+    np.maximum.at(last, q, distance)
+    bound[full] = np.minimum(bound[full], last[full])
 
-    return widen
 
+def _packer(model: AdditiveQuantiser, dimensions: int, wanted: int, limit: float, probes: int):
+    """Rows sorted by block and list into one row for each block; the first pass bounds the distance of its queries."""
 
-def _matcher(model: AdditiveQuantiser, dimensions: int, wanted: int, widen: bool):
-    """Best `wanted` rows of a block for each of its queries: in the lists named, or if `widen` in all that its bound does not exclude."""
-
-    def match(base: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "node_id": pd.Series(dtype="int64"), "distance": pd.Series(dtype="float64")})
-        if not len(base) or not len(queries):
-            return empty
-        rows = _unit(_matrix(base["vector"], dimensions))
-        asked = _unit(_matrix(queries["q_vector"], dimensions))
-        rows32, asked32 = rows.astype(np.float32), asked.astype(np.float32)
-        codes = np.frombuffer(b"".join(base["codes"]), np.uint8).reshape(len(base), -1)
-        norm, spread = base["norm"].to_numpy(), base["spread"].to_numpy()
-        ids, names = base["node_id"].to_numpy(), queries["q_id"].to_numpy()
-        bound = queries["q_bound"].to_numpy(np.float64).copy()
-        order = np.argsort(base["list"].to_numpy(), kind="stable")
-        lists, starts = np.unique(base["list"].to_numpy()[order], return_index=True)
-        member = {int(item): own for item, own in zip(lists, np.split(order, starts[1:]))}
-        probing: dict[int, list[int] | np.ndarray] = {}
-        if widen and queries["q_lists"].iloc[0] is None:
-            reach_, items = _reach(bound).astype(np.float32)[:, None], list(member)
-            for at in range(0, len(items), 64):
-                some = items[at : at + 64]
-                centres = model.coarse[some]
-                limit = reach_ + np.array([spread[member[item]].max() for item in some], np.float32)
-                # Queries have length 1.
-                safe = 1 + (centres * centres).sum(1) - 2 * (asked32 @ centres.T) <= limit * limit + SLACK
-                probing.update((item, np.flatnonzero(column)) for item, column in zip(some, safe.T))
-        else:
-            for i, own in enumerate(queries["q_lists"]):
-                for item in own:
-                    probing.setdefault(int(item), []).append(i)
-        table = None if widen else np.einsum("qd,mwd->mqw", asked32, model.books, optimize=True)  # inner products with every residual codeword
+    def bounds(raw: np.ndarray, at: np.ndarray, ids: np.ndarray, codes: np.ndarray, norm: np.ndarray, names: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        bound = np.full(len(at), limit)
+        rows32 = _unit(raw).astype(np.float32)
+        asked32 = rows32[at]
+        near = _nearest(asked32, model.coarse[names], min(probes, len(names)))
+        table = np.einsum("qd,mwd->mqw", asked32, model.books, optimize=True)  # inner products with every residual codeword
         most = RERANK * wanted
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        ends = np.append(starts[1:], len(raw))
         best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def cut() -> None:
-            """Exact distances of the candidates held; the first of each query stay and lower its bound."""
             nonlocal best
             q, r = (np.concatenate(c) for c in zip(*held))
             held.clear()
-            if not widen:  # the second pass holds only what single precision leaves open
-                rough = np.empty(len(q), np.float32)
-                for at in range(0, len(q), 65536):
-                    rough[at : at + 65536] = np.einsum("ij,ij->i", rows32[r[at : at + 65536]], asked32[q[at : at + 65536]])
-                open_ = rough >= 1 - SLACK - bound[q]
-                q, r = q[open_], r[open_]
-            exact = np.empty(len(q))
-            for at in range(0, len(q), 65536):
-                exact[at : at + 65536] = (rows[r[at : at + 65536]] * asked[q[at : at + 65536]]).sum(1)
-            exact = np.maximum(np.round(1.0 - exact, 12) + 0.0, 0.0)
+            rough = np.empty(len(q), np.float32)
+            for i in range(0, len(q), 65536):
+                rough[i : i + 65536] = np.einsum("ij,ij->i", rows32[r[i : i + 65536]], asked32[q[i : i + 65536]])
+            open_ = rough >= 1 - SLACK - bound[q]
+            # Of the rows in single precision, only those that may be among the first are compared exactly.
+            q, r, rough = q[open_], r[open_], rough[open_]
+            q, r, _ = _first(q, r, -rough, r, wanted)
+            exact = _exact(raw[at[q]], raw[r])
             keep = exact <= bound[q]
             q, r, exact = (np.concatenate(c) for c in zip(best, (q[keep], r[keep], exact[keep])))
             best = _first(q, r, exact, ids[r], wanted)
-            full = np.bincount(best[0], minlength=len(bound)) >= wanted
-            last = np.zeros(len(bound))
-            np.maximum.at(last, best[0], best[2])
-            bound[full] = np.minimum(bound[full], last[full])
+            _lower(bound, best[0], best[2], wanted)
 
-        for item, who in probing.items():
-            if item not in member or not len(who):
-                continue
-            own, who = member[item], np.asarray(who)
+        for item in range(len(names)):
+            who = np.flatnonzero((near == item).any(1))
+            own = np.arange(starts[item], ends[item])
             step = max(1, HELD // len(own))
-            for at in range(0, len(who), step):
-                q = who[at : at + step]
-                if widen:
-                    near = asked32[q] @ rows32[own].T >= (1 - SLACK - bound[q]).astype(np.float32)[:, None]
-                    i, j = np.divmod(np.flatnonzero(near), len(own))
-                else:
-                    score = np.repeat((asked32[q] @ model.coarse[item])[:, None], len(own), 1)
+            for i in range(0, len(who), step):
+                q = who[i : i + step]
+                if len(own) > most:
+                    score = np.repeat((asked32[q] @ model.coarse[names[item]])[:, None], len(own), 1)
                     for m in range(RESIDUAL_BOOKS):
                         score += np.take(table[m][q], codes[own, m], axis=1)
-                    if len(own) > most:
-                        top = np.argpartition(norm[own] - 2 * score, most - 1, axis=1)[:, :most]
-                    else:
-                        top = np.tile(np.arange(len(own)), (len(q), 1))
-                    i, j = np.repeat(np.arange(len(q)), top.shape[1]), top.ravel()
-                held.append((q[i], own[j]))
+                    top = np.argpartition(norm[own] - 2 * score, most - 1, axis=1)[:, :most]
+                else:
+                    top = np.tile(np.arange(len(own)), (len(q), 1))
+                held.append((np.repeat(q, top.shape[1]), own[top.ravel()]))
                 if sum(len(h[0]) for h in held) >= HELD:
                     cut()
         if held:
             cut()
-        q, r, exact = best
-        return pd.DataFrame({"query_id": names[q], "node_id": ids[r], "distance": exact})
+        return bound
+
+    def packed(name: int, rows: pa.Table) -> pa.RecordBatch:
+        raw, lists = _matrix(rows["vector"].to_pylist(), dimensions), rows["list"].to_numpy()
+        ids, spread = rows["node_id"].to_numpy(), rows["spread"].to_numpy()
+        codes = np.frombuffer(b"".join(rows["codes"].to_pylist()), np.uint8).reshape(len(raw), -1)
+        at = np.flatnonzero(rows["query"].to_numpy()).astype(np.int32)
+        names, starts = np.unique(lists, return_index=True)
+        bound = bounds(raw, at, ids, codes, rows["norm"].to_numpy(), names, starts)
+        reach = np.full(len(raw), -1.0)
+        reach[at] = _reach(bound)
+        blobs = [ids.astype(np.int64), raw, lists.astype(np.int32), spread.astype(np.float32), at, bound]
+        sizes = np.diff(np.append(starts, len(raw)))
+        square = np.add.reduceat(spread.astype(np.float64) ** 2, starts) / sizes
+        sides = [names.astype(np.int32), sizes.astype(np.int32), np.maximum.reduceat(spread, starts), square.astype(np.float32), np.maximum.reduceat(reach, starts).astype(np.float32)]
+        arrays = [pa.array([name], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in blobs), *(pa.array([x]) for x in sides)]
+        return pa.RecordBatch.from_arrays(arrays, names=[c.split()[0] for c in _BLOCKS.split(", ")])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        rows, part, last = 0, 0, None
+        for batch in batches:
+            blocks = batch["block"].to_numpy()
+            cuts = np.flatnonzero(np.diff(blocks)) + 1
+            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(blocks)]):
+                if lo < hi and blocks[lo] != last:
+                    if held:
+                        yield packed(last * PARTS + part, pa.Table.from_batches(held))
+                    held, rows, part, last = [], 0, 0, int(blocks[lo])
+                while lo < hi:
+                    if rows == BLOCK_ROWS:  # larger than the sample had it
+                        yield packed(last * PARTS + part, pa.Table.from_batches(held))
+                        held, rows, part = [], 0, part + 1
+                    some = min(hi - lo, BLOCK_ROWS - rows)
+                    held.append(batch.slice(lo, some))
+                    rows, lo = rows + some, lo + some
+        if held:
+            yield packed(last * PARTS + part, pa.Table.from_batches(held))
+
+    return pack
+
+
+def _expected(squares: np.ndarray, bound: np.ndarray, sizes: np.ndarray, square: np.ndarray, freedom: float) -> np.ndarray:
+    """Rows of each list that are expected within each query's bound: the squared distance of a member is taken as normal around |q - centre|^2 + spread^2."""
+    squares, square = np.maximum(squares, 1e-9), np.maximum(square, 1e-9)
+    return sizes * _tail((squares + square - 2 * bound[:, None]) / (2 * np.sqrt(squares * square / freedom)))
+
+
+_REACHED = "block bigint, targets array<bigint>, floors binary"
+
+
+def _widener(model: AdditiveQuantiser, dimensions: int, block: np.ndarray, item: np.ndarray, sizes: np.ndarray, radius: np.ndarray, square: np.ndarray, allowed: float, probes: int):
+    """The blocks that may hold something within the reach of a block's queries: by the distance of two lists' centres less their radii.
+
+    If up to `allowed` rows may be missed, also two numbers that tell which lists each
+    query visits: those in which more rows are expected than the first (the others
+    are those in which together at most `allowed` are expected), and those whose
+    centre is no farther than the second, its `probes` nearest lists. `block`, `item`, `sizes`, `radius` and `square`
+    tell of every list of every block.
+    """
+
+    def floors(row: pa.RecordBatch) -> bytes:
+        at = np.frombuffer(row["asked"][0].as_buffer(), np.int32)
+        asked32 = _unit(np.frombuffer(row["vectors"][0].as_buffer(), np.float32).reshape(-1, dimensions)[at]).astype(np.float32)
+        bound = np.frombuffer(row["bounds"][0].as_buffer(), np.float64)
+        out = np.empty((len(at), 2))
+        lists = np.unique(item)
+        last = min(probes, len(lists)) - 1
+        for i in range(0, len(at), 256):
+            part = slice(i, i + 256)
+            expected = np.sort(_expected(_squares(asked32[part], model.coarse[item]), bound[part], sizes, square, model.freedom), axis=1)
+            few = (np.cumsum(expected, axis=1) <= allowed).sum(1)
+            out[part, 0] = np.where(few > 0, expected[np.arange(len(few)), np.maximum(few, 1) - 1], -1.0)
+            out[part, 1] = np.partition(_squares(asked32[part], model.coarse[lists]), last, axis=1)[:, last] + SLACK
+        return out.tobytes()
+
+    order = np.argsort(block, kind="stable")
+    block, item, sizes, radius, square = block[order], item[order], sizes[order], radius[order], square[order]
+    names, starts = np.unique(block, return_index=True)
+
+    def widen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            targets = []
+            for lists, own, reach in zip(batch["names"], batch["radius"], batch["reach"]):
+                lists, own, reach = (np.asarray(x.values) for x in (lists, own, reach))
+                lists, far = lists[reach >= 0], (own + reach)[reach >= 0]
+                hit = np.zeros(len(names), bool)
+                for at in range(0, len(lists), 256):
+                    limit = far[at : at + 256, None] + radius
+                    near = _squares(model.coarse[lists[at : at + 256]], model.coarse[item]) <= limit * limit + SLACK
+                    hit |= np.logical_or.reduceat(near.any(0), starts)
+                targets.append(names[hit])
+            least = [floors(batch.slice(i, 1)) if allowed > 0 else None for i in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([batch["block"], pa.array(targets, pa.list_(pa.int64())), pa.array(least, pa.binary())], names=["block", "targets", "floors"])
+
+    return widen
+
+
+def _matcher(model: AdditiveQuantiser, dimensions: int, wanted: int):
+    """Best `wanted` rows for the queries of a block in the blocks that it is paired with.
+
+    All lists are searched that a query's bound does not exclude; of another block,
+    if something may be missed, only those that `_widener` names.
+    """
+
+    def reached(asked32: np.ndarray, bound: np.ndarray, names: np.ndarray, starts: np.ndarray, spread: np.ndarray, first: np.ndarray, floor: np.ndarray | None) -> np.ndarray:
+        squares = _squares(asked32, model.coarse[names])
+        limit = _reach(bound)[:, None] + np.maximum.reduceat(spread, starts)
+        hit = squares <= limit * limit + SLACK
+        if floor is not None:
+            sizes = np.diff(np.append(starts, len(spread)))
+            square = (np.add.reduceat(spread.astype(np.float64) ** 2, starts) / sizes).astype(np.float32)
+            hit &= (_expected(squares, first, sizes, square, model.freedom) > floor[:, :1]) | (squares <= floor[:, 1:])
+        return hit
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name: int | None = None
+        raw, names, asked32, bound, first = (np.zeros(0),) * 5
+        floor: np.ndarray | None = None
+        best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+
+        def found() -> Iterator[pa.RecordBatch]:
+            if len(best[0]):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (names[best[0]], best[1], best[2])], names=["query_id", "node_id", "distance"])
+
+        def search(rows: np.ndarray, ids: np.ndarray, lists: np.ndarray, spread: np.ndarray, floor: np.ndarray | None) -> None:
+            rows32 = _unit(rows).astype(np.float32)
+            items, starts = np.unique(lists, return_index=True)
+            ends = np.append(starts[1:], len(rows))
+            held: list[tuple[np.ndarray, np.ndarray]] = []
+
+            def cut() -> None:
+                """Exact distances of the candidates held; the first of each query stay and lower its bound."""
+                nonlocal best
+                q, r = (np.concatenate(c) for c in zip(*held))
+                held.clear()
+                exact = _exact(raw[q], rows[r])
+                keep = exact <= bound[q]
+                q, r, exact = (np.concatenate(c) for c in zip(best, (q[keep], ids[r[keep]], exact[keep])))
+                best = _first(q, r, exact, r, wanted)
+                _lower(bound, best[0], best[2], wanted)
+
+            def compare(q: np.ndarray | slice, lo: int, hi: int, place: np.ndarray) -> None:
+                near = asked32[q] @ rows32[lo:hi].T >= (1 - SLACK - bound[q]).astype(np.float32)[:, None]
+                at = np.flatnonzero(near)
+                if len(at):
+                    i, j = np.divmod(at, hi - lo)
+                    held.append((place[i], lo + j))
+                    if sum(len(h[0]) for h in held) >= HELD:
+                        cut()
+
+            everyone = np.arange(len(names))
+            hit = reached(asked32, bound, items, starts, spread, first, floor)
+            if hit.mean() > 0.7:
+                for at in range(0, len(everyone), TILE[0]):
+                    for lo in range(0, len(rows), TILE[1]):
+                        compare(slice(at, at + TILE[0]), lo, min(lo + TILE[1], len(rows)), everyone[at : at + TILE[0]])
+            else:
+                for lo, hi, column in zip(starts, ends, hit.T):
+                    who = np.flatnonzero(column)
+                    step = max(1, HELD // (hi - lo))
+                    for at in range(0, len(who), step):
+                        q = who[at : at + step]
+                        compare(q, int(lo), int(hi), q)
+            if held:
+                cut()
+
+        for batch in batches:
+            blob = lambda column, kind, i: np.frombuffer(batch[column][i].as_buffer(), kind)  # noqa: B023, E731
+            for i in range(batch.num_rows):
+                block = batch["block"][i].as_py()
+                if batch["q_block"][i].as_py() != name:
+                    yield from found()
+                    name = batch["q_block"][i].as_py()
+                    at = blob("q_asked", np.int32, i)
+                    raw = blob("q_vectors", np.float32, i).reshape(-1, dimensions)[at]
+                    names, bound = blob("q_ids", np.int64, i)[at], blob("q_bounds", np.float64, i).copy()
+                    first = bound.copy()
+                    floor = blob("q_floors", np.float64, i).reshape(-1, 2) if batch["q_floors"][i].is_valid else None
+                    asked32 = _unit(raw).astype(np.float32)
+                    best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+                rows = blob("vectors", np.float32, i).reshape(-1, dimensions)
+                search(rows, blob("ids", np.int64, i), blob("lists", np.int32, i), blob("spreads", np.float32, i), floor if block != name else None)
+        yield from found()
 
     return match
 
@@ -441,26 +542,23 @@ def _smallest(df: DataFrame, group: list[str], order: list[Column], count: int)
     return some.withColumn("position", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("position") <= count).drop("_salt")
 
 
-def _search(coded: DataFrame, sent: DataFrame, matcher) -> DataFrame:
-    """Hits of the queries ``sent`` (node_id, vector, group, lists, bound) in their groups, block by block."""
-    per_base = coded.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("base_parts"))
-    per_query = sent.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("query_parts"))
-    parts = materialize(per_base.join(per_query, "group"))
-    spread = lambda n: F.pmod(F.xxhash64("node_id"), F.col(n)).cast("int")
-    count = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = coded.join(parts, "group").select(
-        "group", spread("base_parts").alias("bp"), count("query_parts").alias("qp"), "node_id", "vector", "list", "codes", "norm", "spread"
+def _search(blocks: DataFrame, model: AdditiveQuantiser, dimensions: int, wanted: int, allowed: float, probes: int) -> DataFrame:
+    """Hits of the queries of all blocks in all blocks that they may reach; the blocks are read, not shuffled."""
+    kinds = {"names": np.int32, "sizes": np.int32, "radius": np.float32, "squares": np.float32}
+    known = blocks.select("block", *kinds).collect()  # a few numbers for each list of a block
+    lists = [np.concatenate([np.asarray(r[c], kind) for r in known]) for c, kind in kinds.items()]
+    step = PARTS * (len(known) // TARGETS + 1)
+    block = np.concatenate([np.full(len(r.names), r.block // step, np.int64) for r in known])
+    read = blocks.select("block", "names", "radius", "reach", *(["asked", "vectors", "bounds"] if allowed > 0 else []))
+    reached = materialize(read.mapInArrow(_widener(model, dimensions, block, *lists, allowed, probes), _REACHED)).where(F.size("targets") > 0)
+    if allowed == 0 or (reached.agg(F.sum(F.length("floors"))).first()[0] or 0) <= FLOORS:  # else the blocks are shuffled once
+        reached = F.broadcast(reached)  # besides at most TARGETS numbers for each block
+    left = blocks.join(reached, "block").select(
+        F.col("block").alias("q_block"), "targets", *[F.col(c).alias(f"q_{c}") for c in ("ids", "vectors", "asked", "bounds", "floors")]
     )
-    right = sent.join(parts, "group").select(
-        F.col("group").alias("q_group"),
-        count("base_parts").alias("q_bp"),
-        spread("query_parts").alias("q_qp"),
-        F.col("node_id").alias("q_id"),
-        F.col("vector").alias("q_vector"),
-        F.col("lists").alias("q_lists"),
-        F.col("bound").alias("q_bound"),
-    )
-    return left.groupBy("group", "bp", "qp").cogroup(right.groupBy("q_group", "q_bp", "q_qp")).applyInPandas(matcher, _HITS)
+    right = blocks.select("block", "ids", "vectors", "lists", "spreads").hint("shuffle_replicate_nl")
+    pairs = left.join(right, F.array_contains("targets", F.floor(F.col("block") / step))).drop("targets")
+    return pairs.mapInArrow(_matcher(model, dimensions, wanted), _HITS)
 
 
 def nearest(
@@ -493,10 +591,17 @@ def nearest(
     proper = valid.where("NOT zero")
     members = proper.select("node_id", "h1", "h2", wants.alias("wanted"))
     # Copies: one search per distinct direction, named by its smallest node.
-    classes = members.groupBy("h1", "h2").agg(F.min("node_id").alias("class_id"), F.max("wanted").alias("query"))
-    leading = _smallest(members.select("node_id", "h1", "h2"), ["h1", "h2"], [F.col("node_id")], k + 1)
-    indexed = leading.join(classes, ["h1", "h2"]).select("node_id", (F.col("query") & (F.col("node_id") == F.col("class_id"))).alias("query"))
-    base = proper.join(indexed, "node_id").select("node_id", "query", "embedding")
+    classes = members.groupBy("h1", "h2").agg(F.min("node_id").alias("class_id"), F.max("wanted").alias("query"), F.count(F.lit(1)).alias("n"))
+    shared = members.select("node_id", "h1", "h2").join(classes.where("n > 1"), ["h1", "h2"])
+    leading = _smallest(shared, ["h1", "h2"], [F.col("node_id")], k + 1).select("node_id", (F.col("query") & (F.col("node_id") == F.col("class_id"))).alias("leads"))
+    copies = materialize(shared.select("node_id").join(leading, "node_id", "left"))
+    if copies.count() <= COPIES:  # else the vectors are shuffled once more
+        copies = F.broadcast(copies)
+    base = (
+        proper.join(copies.select("node_id", "leads", F.lit(True).alias("copy")), "node_id", "left")
+        .where("copy IS NULL OR leads IS NOT NULL")
+        .select("node_id", F.coalesce("leads", wants).alias("query"), "embedding")
+    )
     rows = proper.count()
     share = min(1.0, 1.1 * TRAIN_ROWS / max(rows, 1))
     few = min(TRAIN_ROWS, max(2048, 32 * int(2 * rows**0.5)))
@@ -506,30 +611,19 @@ def nearest(
     sample = [r.embedding for r in drawn.select("embedding").limit(few).collect()]
     found = None
     if sample:
-        model = AdditiveQuantiser.fit(_unit(np.array(sample, np.float32)).astype(np.float32), rows)
-        coded = materialize(base.mapInArrow(_coder(model, dimensions, probes), _CODED))
+        unit = _unit(np.array(sample, np.float32)).astype(np.float32)
+        model = AdditiveQuantiser.fit(unit, rows)
         limit = 2.0 if within is None else min(float(within), 2.0)
-        named_lists = coded.where("query").select("node_id", "vector", F.inline("targets")).withColumn("bound", F.lit(limit))
-        first = materialize(_search(coded, named_lists, _matcher(model, dimensions, k + 1, False)))
-        place = F.row_number().over(Window.partitionBy("query_id").orderBy("distance"))
-        last = first.withColumn("_at", place).where(F.col("_at") == k + 1).select(F.col("query_id").alias("node_id"), "distance")
-        bound = F.coalesce(F.col("distance"), F.lit(limit)).alias("bound")
-        radius, size, mean_square = np.full(len(model.coarse), -1.0), np.zeros(len(model.coarse)), np.zeros(len(model.coarse))
-        square = F.avg(F.col("spread") * F.col("spread")).alias("square")
-        for r in coded.groupBy("list").agg(F.max("spread").alias("radius"), F.count(F.lit(1)).alias("n"), square).collect():  # one row per list
-            radius[r.list], size[r.list], mean_square[r.list] = r.radius, r.n, r.square
-        bounded = coded.where("query").select("node_id", "vector").join(last, "node_id", "left").select("node_id", "vector", bound)
-        reached = materialize(bounded.mapInArrow(_widener(model, dimensions, radius, size, mean_square, missing * k), _REACHED))
-        sent = coded.where("query").select("node_id", "vector").join(reached, "node_id").select("node_id", "vector", F.inline("targets"), "bound")
-        found = _search(coded, sent, _matcher(model, dimensions, k + 1, True))
-        if missing > 0:  # what the first pass found may lie in lists that the second one left out
-            found = found.unionByName(first).groupBy("query_id", "node_id").agg(F.min("distance").alias("distance"))
+        coded = base.mapInArrow(_coder(model, dimensions, _parts(model, unit, rows)), _CODED)
+        sorted_ = coded.repartition("block").sortWithinPartitions("block", "list")
+        blocks = materialize(sorted_.mapInArrow(_packer(model, dimensions, k + 1, limit, probes), _BLOCKS))
+        found = _search(blocks, model, dimensions, k + 1, missing * k, probes)
     if within is None or within >= 1:
         found = _with_zeros(spark, valid, classes, found, k)
     if found is None:
         return spark.createDataFrame([], "query_id bigint, node_id bigint, distance double, rank int")
     order = [F.col("distance"), F.col("node_id")]
-    # At most k + 1 rows per block that a query is sent to.
+    # At most k + 1 rows per block that a query is compared with.
     best = found.withColumn("_at", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("_at") <= k + 1).drop("_at")
     named = members.where("wanted").join(classes.where("query"), ["h1", "h2"]).select(F.col("node_id").alias("own_id"), "class_id")
     if within is None or within >= 1:

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import time
 
 import numpy as np
 import pytest
@@ -180,3 +181,45 @@ def test_a_vector_shared_by_many_nodes(spark, monkeypatch):
     ids = rng.permutation(300)
     df = make(spark, [(int(i), v, DAY) for i, v in zip(ids, x)])
     assert lists(nb.nearest(df, 4, 8)) == brute(ids, x.astype(float), 4)
+
+
+def _shuffled(spark):
+    """Bytes written to shuffles by all tasks so far."""
+    context = spark.sparkContext._jsc.sc()
+    context.listenerBus().waitUntilEmpty()
+    time.sleep(0.3)
+    spark.range(1).collect()  # the end of a task brings the figures up to date
+    context.listenerBus().waitUntilEmpty()
+    executors = context.statusStore().executorList(True)
+    return sum(executors.apply(i).totalShuffleWrite() for i in range(executors.size()))
+
+
+def test_disk_does_not_grow_with_the_comparisons(spark, monkeypatch):
+    rng = np.random.default_rng(15)
+    ids, x = np.arange(4000), rng.normal(size=(4000, 64)).astype(np.float32)
+    df = make(spark, [(int(i), v, DAY) for i, v in zip(ids, x)]).localCheckpoint()
+    monkeypatch.setattr(nb, "GROUP_ROWS", 200)
+    monkeypatch.setattr(nb, "BLOCK_ROWS", 200)
+    before = _shuffled(spark)
+    got = nb.nearest(df, 5, 64, probes=4).collect()
+    shuffled = _shuffled(spark) - before
+    assert len(got) == 5 * len(ids)
+    assert 0 < shuffled < 6 * x.nbytes  # each vector in every block would be 20 times
+
+
+def test_full_blocks_shared_targets_and_joined_copies(spark, cloud, monkeypatch):
+    ids, x = cloud
+    df = make(spark, [(int(i), v, DAY) for i, v in zip(ids[:300], x[:300])])
+    monkeypatch.setattr(nb, "GROUP_ROWS", 100)
+    monkeypatch.setattr(nb, "BLOCK_ROWS", 40)  # fewer rows than the groups hold, which get one block each
+    monkeypatch.setattr(nb, "_parts", lambda model, sample, rows: np.ones(int(model.group_of.max()) + 1, np.int64), raising=False)
+    monkeypatch.setattr(nb, "TARGETS", 2, raising=False)
+    monkeypatch.setattr(nb, "COPIES", 0, raising=False)
+    assert lists(nb.nearest(df, 4, 16)) == brute(ids[:300], x[:300].astype(float), 4)
+
+
+def test_nobody_asks(spark, cloud):
+    ids, x = cloud
+    df = make(spark, [(int(i), v, DAY) for i, v in zip(ids[:120], x[:120])])
+    for missing in (0.0, 0.05):
+        assert nb.nearest(df, 3, 16, asked=F.col("node_id") < 0, missing=missing).count() == 0
