@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,8 +21,12 @@ from graphloom.operators.durable import materialize, running_total
 from graphloom.operators.graph import PropertyGraph
 from graphloom.operators.traversal import local_edges
 
-#: Up to so many distinct links (16 bytes each) travel to every executor for per-source searches; beyond, these are frontier joins.
-BROADCAST_LINKS = 5_000_000
+#: Up to so many distinct links (4 bytes each) travel to every executor for per-source searches; beyond, these are frontier joins.
+BROADCAST_LINKS = 20_000_000
+#: Candidates for the hubs that searches lean on; links and cells (source x node) of the searches that run together in a task.
+HUBS, LINKS_AT_ONCE, CELLS = 64, 4_000_000, 64_000_000
+#: More than any distance.
+FAR = 1 << 29
 #: Sources whose searches by joins run together.
 SOURCES = 1_000
 #: Rounds without a test for convergence between two written tables.
@@ -338,21 +343,143 @@ def label_propagation(graph: PropertyGraph, iterations: int = 20) -> DataFrame:
 
 
 class _Adjacency:
-    """Distinct outgoing links as arrays."""
+    """Distinct outgoing links as arrays, and the hub that each node's searches can lean on.
+
+    Of the nodes with the most incoming times outgoing links, a node takes the first one that it reaches (`hub`, at
+    distance `away`). Whatever is at least as near over the hub need not be searched for: it follows from the hub's own search.
+    """
 
     def __init__(self, ids: np.ndarray, src: np.ndarray, dst: np.ndarray):
-        self.ids = np.sort(ids)
-        a, b = np.searchsorted(self.ids, src), np.searchsorted(self.ids, dst)
+        self.ids = np.unique(np.concatenate([ids, src, dst]))
+        self.own = np.isin(self.ids, ids)
+        a, b = (np.searchsorted(self.ids, x).astype(np.int32) for x in (src, dst))
+        self.start, self.target = self._rows(a, b)
+        self.hub, self.away = np.full(len(self.ids), -1, np.int32), np.full(len(self.ids), FAR, np.int32)
+        self._near: tuple = (None,)
+        back = self.back = object.__new__(_Adjacency)
+        back.ids, (back.start, back.target) = self.ids, self._rows(b, a)
+        busy = np.diff(self.start).astype(float) * np.diff(back.start)
+        for h in np.argsort(-busy, kind="stable")[:HUBS]:
+            if busy[h] and self.hub[h] < 0:  # else whatever reaches it reaches an earlier hub
+                away = back.depths(h)
+                mine = (away < FAR) & (self.hub < 0)
+                self.hub[mine], self.away[mine] = h, away[mine]
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "back"} | {"_near": (None,)}
+
+    def _rows(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         order = np.lexsort((b, a))
-        self.target = b[order]
-        self.start = np.searchsorted(a[order], np.arange(len(self.ids) + 1))
+        return np.concatenate([[0], np.cumsum(np.bincount(a, minlength=len(self.ids)))]), b[order]
 
     def expand(self, frontier: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All (from, to) links out of the frontier."""
-        count = self.start[frontier + 1] - self.start[frontier]
-        source = np.repeat(frontier, count)
-        at = np.repeat(self.start[frontier], count) + np.arange(len(source)) - np.repeat(np.cumsum(count) - count, count)
-        return source, self.target[at]
+        """Of all links out of the frontier the place of the source in it, and the target."""
+        first = self.start[frontier]
+        count = self.start[frontier + 1] - first
+        place = np.repeat(np.arange(len(frontier)), count)
+        return place, self.target[np.arange(len(place)) + np.repeat(first - np.cumsum(count) + count, count)]
+
+    def depths(self, source: int) -> np.ndarray:
+        """The distance of every node from one, FAR where there is no path."""
+        depth = np.full(len(self.ids), FAR, np.int32)
+        depth[source], frontier, d = 0, np.array([source]), 0
+        while len(frontier):
+            d += 1
+            target = self.expand(frontier)[1]
+            frontier = np.unique(target[depth[target] == FAR])
+            depth[frontier] = d
+        return depth
+
+    def path_counts(self, source: int, depth: np.ndarray) -> np.ndarray:
+        """The number of shortest paths from a node to every other one, given the distances."""
+        paths = np.zeros(len(self.ids))
+        paths[source] = 1.0
+        for layer in self._layers(depth)[:-1]:
+            place, target = self.expand(layer)
+            down = np.flatnonzero(depth[target] == depth[layer[0]] + 1)
+            np.add.at(paths, target[down], paths[layer][place[down]])
+        return paths
+
+    def carried(self, source: int, depth: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """Per node the weights of the targets behind it, by its share of the shortest paths from the source, which gets 0."""
+        paths, share = self.path_counts(source, depth), np.zeros(len(self.ids))
+        for layer in reversed(self._layers(depth)[:-1]):
+            place, target = self.expand(layer)
+            down = np.flatnonzero(depth[target] == depth[layer[0]] + 1)
+            place, target = place[down], target[down]
+            share[layer] = np.bincount(place, paths[layer][place] / paths[target] * (weight[target] + share[target]), len(layer))
+        share[source] = 0.0
+        return share
+
+    def _layers(self, depth: np.ndarray) -> list[np.ndarray]:
+        order = np.argsort(depth, kind="stable")[: (depth < FAR).sum()]
+        return np.split(order, np.flatnonzero(np.diff(depth[order])) + 1)
+
+    def count_to_hubs(self) -> None:
+        """Add the number of shortest paths of every node to its hub."""
+        self.paths_to_hub = np.zeros(len(self.ids))
+        for hub in np.unique(self.hub[self.hub >= 0]):
+            mine = self.hub == hub
+            self.paths_to_hub[mine] = self.back.path_counts(hub, self.back.depths(hub))[mine]
+
+    def near(self, hub: int) -> np.ndarray:
+        """Distances from a hub (-1: from none), those of the last one kept."""
+        if self._near[0] != hub:
+            self._near = hub, self.depths(hub) if hub >= 0 else np.full(len(self.ids), FAR, np.int32)
+        return self._near[1]
+
+    def searches(self, sources: np.ndarray, ties: bool) -> Iterator[tuple[int, np.ndarray, list[tuple]]]:
+        """Groups of sources with one hub, and their levels ``(owner, node, paths, place, link)``.
+
+        Only nodes nearer than over the hub are visited, with `ties` also those as near without passing it. Owners are
+        places in the group; `place` and `link` are the ends of the links into a level, as places in the level before and in
+        this one.
+        """
+        n = len(self.ids)
+        size = max(1, min(256, CELLS // max(n, 1)))
+        seen = np.zeros(size * n, bool)
+        for hub in np.unique(self.hub[sources]):
+            near = self.near(hub)
+            most = near.copy() if ties else near - 1
+            if hub >= 0:
+                most[hub] = -1
+            with_hub = sources[self.hub[sources] == hub]
+            todo = [with_hub[i : i + size] for i in range(0, len(with_hub), size)]
+            while todo:
+                mine = todo.pop()
+                levels = self._levels(mine, most, seen, ties)
+                if levels is None:  # too many links at once: half the sources at a time
+                    todo += [mine[: len(mine) // 2], mine[len(mine) // 2 :]]
+                else:
+                    yield int(hub), mine, levels
+
+    def _levels(self, mine: np.ndarray, most: np.ndarray, seen: np.ndarray, counted: bool) -> list[tuple] | None:
+        n, away = len(self.ids), self.away[mine]
+        owner, node, paths = np.arange(len(mine)), mine, np.ones(len(mine))
+        touched, levels = [owner * n + node], [(owner, node, paths, None, None)]
+        seen[touched[0]] = True
+        while len(node):
+            if len(mine) > 1 and (self.start[node + 1] - self.start[node]).sum() > LINKS_AT_ONCE:
+                levels = None
+                break
+            place, target = self.expand(node)
+            fits = np.flatnonzero(most[target] + away[owner[place]] >= len(levels))
+            place, key = place[fits], owner[place[fits]] * n + target[fits]
+            new = ~seen[key]
+            place, key = place[new], key[new]
+            if counted:
+                key, link = np.unique(key, return_inverse=True)
+                paths = np.bincount(link, paths[place], len(key))
+            else:
+                key, link = np.unique(key), None
+            seen[key] = True
+            touched.append(key)
+            owner, node = np.divmod(key, n)
+            if len(node):
+                levels.append((owner, node, paths, place, link))
+        for key in touched:
+            seen[key] = False
+        return levels
 
 
 def _shared(graph: PropertyGraph) -> tuple[DataFrame, DataFrame, bool]:
@@ -362,31 +489,47 @@ def _shared(graph: PropertyGraph) -> tuple[DataFrame, DataFrame, bool]:
     return ids, links, links.count() <= BROADCAST_LINKS and ids.count() <= BROADCAST_LINKS
 
 
-def _per_source(ids: DataFrame, links: DataFrame, work: Callable, ddl: str) -> DataFrame:
-    """Run `work(adjacency, sources)` over all sources, spread over the tasks; `_shared` has bounded the graph."""
-    context = ids.sparkSession.sparkContext
-    nodes, pairs = ids.toPandas()["id"].to_numpy(), links.toPandas()
-    shared = context.broadcast(_Adjacency(nodes, pairs["src"].to_numpy(), pairs["dst"].to_numpy()))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                yield work(shared.value, np.searchsorted(shared.value.ids, batch["id"].to_numpy()))
+def _adjacency(ids: DataFrame, links: DataFrame) -> _Adjacency:
+    """The graph as arrays on the driver; `_shared` has bounded it."""
+    nodes, pairs = ids.toPandas()["id"].to_numpy(np.int64), links.toPandas()
+    return _Adjacency(nodes, pairs["src"].to_numpy(np.int64), pairs["dst"].to_numpy(np.int64))
 
-    tasks = max(1, min(len(nodes) // 8, 4 * context.defaultParallelism))
-    return ids.repartition(max(1, tasks)).mapInPandas(run, ddl)
 
+def _per_source(ids: DataFrame, g: _Adjacency, work: Callable, ddl: str) -> DataFrame:
+    """Run `work(adjacency, batches of sources)` over all sources, spread over the tasks."""
+    context = ids.sparkSession.sparkContext
+    shared = context.broadcast(g)
 
-def _levels(g: _Adjacency, source: int) -> Iterator[tuple[int, np.ndarray]]:
-    seen = np.zeros(len(g.ids), bool)
-    seen[source] = True
-    frontier, depth = np.array([source]), 0
-    while len(frontier):
-        yield depth, frontier
-        _, target = g.expand(frontier)
-        frontier = np.unique(target[~seen[target]])
-        seen[frontier] = True
-        depth += 1
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from work(shared.value, (np.searchsorted(shared.value.ids, b["id"].to_numpy()) for b in batches if len(b)))
+
+    tasks = max(1, min(len(g.ids) // 8, 2 * context.defaultParallelism))
+    return ids.repartition(tasks).mapInPandas(run, ddl)
+
+
+def _distance_sums(g: _Adjacency, batches: Iterator[np.ndarray]) -> Iterator[pd.DataFrame]:
+    """``(id, harmonic, reached, total)``: what the hub reaches, as far as it is from there, corrected by what is nearer."""
+    inverse = lambda d: np.divide(1.0, d, out=np.zeros(len(d)), where=d > 0)
+    for sources in batches:
+        last, base = None, {}
+        for hub, mine, levels in g.searches(sources, ties=False):
+            near, away = g.near(hub), g.away[mine].astype(np.int64)
+            if hub != last:
+                last, base, far = hub, {}, np.bincount(near[near < FAR])
+            steps = np.arange(len(far))
+            for a in np.unique(away):
+                if a not in base:
+                    base[a] = (far @ inverse(a + steps), far.sum(), far @ (a + steps))
+            harmonic_, reached, total = (np.array(x) for x in zip(*(base[a] for a in away)))
+            for d, (owner, node, *_) in enumerate(levels):
+                over = near[node].astype(np.int64) + away[owner]
+                known = over < FAR
+                over[~known] = 0
+                sums = lambda weights: np.bincount(owner, weights, len(mine))  # noqa: B023, E731
+                harmonic_ = harmonic_ + sums((1.0 / d if d else 0.0) - inverse(over))
+                reached = reached + sums(~known).astype(np.int64)
+                total = total + sums(d - over).astype(np.int64)
+            yield pd.DataFrame({"id": g.ids[mine], "harmonic": harmonic_.astype(float), "reached": reached - 1, "total": total})
 
 
 def _blocks(ids: DataFrame) -> Iterator[DataFrame]:
@@ -432,37 +575,24 @@ def _sums(ids: DataFrame, links: DataFrame) -> DataFrame:
     return _joined(done)
 
 
-def harmonic(graph: PropertyGraph) -> DataFrame:
-    """``(id, score)``: the sum of 1/distance over the nodes that outgoing links reach."""
-
-    def work(g: _Adjacency, sources: np.ndarray) -> pd.DataFrame:
-        scores = [sum(len(f) / d for d, f in _levels(g, s) if d) for s in sources]
-        return pd.DataFrame({"id": g.ids[sources], "score": np.array(scores, float)})
-
+def _all_sums(graph: PropertyGraph) -> tuple[DataFrame, DataFrame]:
+    """The distinct nodes, and `_sums` by whichever way the size allows."""
     ids, links, small = _shared(graph)
     if not small:
-        return _sums(ids, links).select("id", F.col("harmonic").alias("score"))
-    return _per_source(ids, links, work, "id bigint, score double")
+        return ids, _sums(ids, links)
+    return ids, _per_source(ids, _adjacency(ids, links), _distance_sums, "id bigint, harmonic double, reached bigint, total bigint")
 
 
-def closeness(graph: PropertyGraph) -> DataFrame:
-    """``(id, score)``: (r / sum of distances) (r / (n - 1)) for r reached nodes, 0 if there are none."""
+def harmonic(graph: PropertyGraph) -> DataFrame:
+    """``(id, score)``: the sum of 1/distance over the nodes that outgoing links reach."""
+    return _all_sums(graph)[1].select("id", F.col("harmonic").alias("score"))
 
-    def work(g: _Adjacency, sources: np.ndarray) -> pd.DataFrame:
-        scores = []
-        for s in sources:
-            reached = total = 0
-            for d, f in _levels(g, s):
-                reached += len(f) * (d > 0)
-                total += d * len(f)
-            scores.append(reached / total * reached / (len(g.ids) - 1) if total else 0.0)
-        return pd.DataFrame({"id": g.ids[sources], "score": np.array(scores, float)})
 
-    ids, links, small = _shared(graph)
-    if not small:
-        r, t, others = F.col("reached"), F.col("total"), ids.count() - 1
-        return _sums(ids, links).select("id", F.when(t > 0, r / t * r / F.lit(others)).otherwise(0.0).alias("score"))
-    return _per_source(ids, links, work, "id bigint, score double")
+def closeness(graph: PropertyGraph) -> DataFrame:
+    """``(id, score)``: (r / sum of distances) (r / (n - 1)) for r reached nodes, 0 if there are none."""
+    ids, sums = _all_sums(graph)
+    r, t, others = F.col("reached"), F.col("total"), ids.count() - 1
+    return sums.select("id", F.when(t > 0, r / t * r / F.lit(others)).otherwise(0.0).alias("score"))
 
 
 def _shares(ids: DataFrame, links: DataFrame) -> DataFrame:
@@ -481,36 +611,76 @@ def _shares(ids: DataFrame, links: DataFrame) -> DataFrame:
     return _joined(done)
 
 
+def _dependencies(g: _Adjacency, batches: Iterator[np.ndarray]) -> Iterator[pd.DataFrame]:
+    """``(kind, hub, at, part)``: scores by paths that avoid the hub (kind 0), and by how much the paths over the hub are
+    fewer than all, per source (1) and per hub and target (2)."""
+    n = len(g.ids)
+    score, first, second = np.zeros(n), np.zeros(n), {}
+    counts: dict[int, np.ndarray] = {}
+    for sources in batches:
+        for hub, mine, levels in g.searches(sources[g.hub[sources] != sources], ties=True):
+            near, away = g.near(hub), g.away[mine]
+            if hub >= 0 and hub not in counts:
+                counts = {hub: g.path_counts(hub, near)}
+            if hub >= 0:
+                back = second.setdefault(hub, np.zeros(n))
+                to_hub = g.paths_to_hub[mine]
+            share = np.zeros(len(levels[-1][0]))
+            for d in range(len(levels) - 1, -1, -1):
+                owner, node, paths, place, link = levels[d]
+                own = np.ones(len(node))
+                if hub >= 0:
+                    over = near[node] + away[owner]
+                    tie = np.flatnonzero(over == d)
+                    own[tie] = paths[tie] / (paths[tie] + to_hub[owner[tie]] * counts[hub][node[tie]])
+                    known = near[node] < FAR
+                    first[mine] += np.bincount(owner[known], own[known], len(mine))
+                    np.add.at(back, node[known], own[known])
+                if d:
+                    np.add.at(score, node, share)
+                    before = levels[d - 1][2]
+                    share = np.bincount(place, before[place] / paths[link] * (own + share)[link], len(before))
+    for kind, hub, part in [(0, -1, score), (1, -1, first), *((2, h, x) for h, x in second.items())]:
+        at = np.flatnonzero(part)
+        yield pd.DataFrame({"kind": kind, "hub": hub, "at": at, "part": part[at]})
+
+
+def _gathered(g: _Adjacency, parts: pd.DataFrame) -> np.ndarray:
+    """The scores of all nodes from the rows of `_dependencies`."""
+
+    def of(kind: int, hub: int) -> np.ndarray:
+        mine = parts[(parts["kind"] == kind) & (parts["hub"] == hub)]
+        return np.bincount(mine["at"], mine["part"], len(g.ids)).astype(float)
+
+    score, fewer = of(0, -1), of(1, -1)
+    for hub in np.unique(g.hub[g.hub >= 0]):
+        near = g.near(hub)
+        reached, mine = near < FAR, (g.hub == hub) & g.own
+        reached[hub] = mine[hub] = False
+        pairs = np.where(mine, np.maximum(reached.sum() - fewer, 0.0), 0.0)
+        to = np.where(mine, pairs + 1.0, 0.0)  # the hub is a target too
+        score += g.back.carried(hub, g.back.depths(hub), to)
+        from_ = np.where(reached, np.maximum(mine.sum() - of(2, hub), 0.0) + g.own[hub], 0.0)  # and a source
+        score += g.carried(hub, near, from_)
+        score[hub] += pairs.sum()
+    return score
+
+
 def betweenness(graph: PropertyGraph) -> DataFrame:
-    """``(id, score)``: directed, unnormalised; parallel links count once."""
-
-    def work(g: _Adjacency, sources: np.ndarray) -> pd.DataFrame:
-        total = np.zeros(len(g.ids))
-        for s in sources:
-            paths, depth = np.zeros(len(g.ids)), np.full(len(g.ids), -1)
-            paths[s], depth[s] = 1.0, 0
-            frontier, layers = np.array([s]), []
-            while len(frontier):
-                source, target = g.expand(frontier)
-                new = depth[target] < 0
-                fresh = np.unique(target[new])
-                depth[fresh] = len(layers) + 1
-                forward = depth[target] == len(layers) + 1
-                source, target = source[forward], target[forward]
-                np.add.at(paths, target, paths[source])
-                layers.append((source, target))
-                frontier = fresh
-            share = np.zeros(len(g.ids))
-            for source, target in reversed(layers):
-                np.add.at(share, source, paths[source] / paths[target] * (1.0 + share[target]))
-            share[s] = 0.0
-            total += share
-        at = np.flatnonzero(total)
-        return pd.DataFrame({"id": g.ids[at], "part": total[at]})
+    """``(id, score)``: directed, unnormalised; parallel links count once.
 
+    A shortest path leads over the hub of its source or avoids it. Paths that avoid it are searched for source by source,
+    and only as far as they are not longer. The others consist of a path to the hub and one from it, so one search each way
+    carries the scores of all of them, weighted by the pairs of nodes they connect.
+    """
     ids, links, small = _shared(graph)
-    parts = _per_source(ids, links, work, "id bigint, part double") if small else _shares(ids, links)
-    parts = parts.groupBy("id").agg(F.sum("part").alias("part"))
+    if small:
+        g = _adjacency(ids, links)
+        g.count_to_hubs()
+        parts = _per_source(ids, g, _dependencies, "kind int, hub int, at int, part double").groupBy("kind", "hub", "at").agg(F.sum("part").alias("part")).toPandas()
+        parts = graph.spark.createDataFrame(pa.table({"id": g.ids, "part": _gathered(g, parts)}))
+    else:
+        parts = _shares(ids, links).groupBy("id").agg(F.sum("part").alias("part"))
     return graph.ids().join(parts, "id", "left").select("id", F.coalesce("part", F.lit(0.0)).alias("score"))
 
 

@@ -7,6 +7,8 @@ import math
 import random
 from collections import defaultdict, deque
 
+import numpy as np
+import pandas as pd
 import pytest
 
 from graphloom.operators import centrality as c
@@ -151,6 +153,50 @@ def test_scores_of_graphs_too_large_to_broadcast(case, monkeypatch):
         close(table(f(g)), own)
 
 
+@pytest.mark.parametrize("hubs, cells, links", [(64, 64_000_000, 4_000_000), (0, 500, 30), (3, 1, 1)])
+def test_scores_lean_on_hubs(monkeypatch, hubs, cells, links):
+    monkeypatch.setattr(c, "HUBS", hubs)
+    monkeypatch.setattr(c, "CELLS", cells)
+    monkeypatch.setattr(c, "LINKS_AT_ONCE", links)
+    rng, n = random.Random(7), 240
+    out = {i: set() for i in range(n)}
+    for part in (0, 120):  # two graphs apart, each with a hub, a source that lists everything and a chain
+        for i in range(part, part + 118):
+            out[i] |= {j for j in [part + 7, part + rng.randrange(118)] if j != i}
+            out[part + 7] |= {i} if i % 3 and i != part + 7 else set()
+            out[part + 118].add(i)
+        out[part + 117] = {part + 119}
+    depth, before = {}, {}
+    for i in range(n):
+        depth[i], before[i], todo = {i: 0}, {i: 1}, deque([i])
+        while todo:
+            u = todo.popleft()
+            for v in out[u]:
+                if v not in depth[i]:
+                    depth[i][v], before[i][v] = depth[i][u] + 1, 0
+                    todo.append(v)
+                before[i][v] += before[i][u] * (depth[i][v] == depth[i][u] + 1)
+    between = [
+        sum(
+            before[s][k] * before[k][t] / before[s][t]
+            for s in range(n) if s != k and k in depth[s]
+            for t in depth[s] if t not in (s, k) and t in depth[k] and depth[s][k] + depth[k][t] == depth[s][t]
+        )
+        for k in range(n)
+    ]
+    pairs = np.array([(a, b) for a in out for b in out[a]])
+    g = c._Adjacency(np.arange(n), pairs[:, 0], pairs[:, 1])
+    g.count_to_hubs()
+    batches = np.array_split(np.random.default_rng(1).permutation(n), 3)
+    for r in pd.concat(c._distance_sums(g, iter(batches))).itertuples():
+        far = depth[r.id].values()
+        assert (r.reached, r.total) == (len(far) - 1, sum(far)) and r.harmonic == pytest.approx(sum(1 / d for d in far if d))
+    assert c._gathered(g, pd.concat(c._dependencies(g, iter(batches)))) == pytest.approx(np.array(between), abs=1e-8)
+    if hubs:  # far fewer pairs are visited than there are
+        visited = sum(len(level[1]) for _, _, levels in g.searches(np.arange(n), ties=False) for level in levels)
+        assert visited < sum(map(len, depth.values())) / 4
+
+
 def test_triangles_clustering_and_links(spark, case):
     g, edges = case
     b = Brute(edges)
