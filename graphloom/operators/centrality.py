@@ -8,7 +8,6 @@ result. Nulls among the ends match nothing.
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -19,12 +18,14 @@ from pyspark.sql import functions as F
 
 from graphloom.operators.durable import materialize, running_total
 from graphloom.operators.graph import PropertyGraph
-from graphloom.operators.traversal import local_edges
+from graphloom.operators.traversal import local_arrays
 
 #: Up to so many distinct links (4 bytes each) travel to every executor for per-source searches; beyond, these are frontier joins.
 BROADCAST_LINKS = 20_000_000
 #: Candidates for the hubs that searches lean on; links and cells (source x node) of the searches that run together in a task.
 HUBS, LINKS_AT_ONCE, CELLS = 64, 4_000_000, 64_000_000
+#: Louvain compares whole runs of nodes once so many in a row have not moved.
+RUN = 64
 #: More than any distance.
 FAR = 1 << 29
 #: Sources whose searches by joins run together.
@@ -687,59 +688,105 @@ def betweenness(graph: PropertyGraph) -> DataFrame:
 # ---- communities -----------------------------------------------------------------
 
 
-def louvain(graph: PropertyGraph) -> DataFrame:
-    """``(id, community)``: greedy modularity moves in ascending node order, level by level; named by the smallest member.
+def _moved(start: np.ndarray, target: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, bool]:
+    """The community of each node after greedy moves in ascending order until none gains, and whether any moved.
 
-    Moves depend on each other one by one, so linked nodes are grouped on the driver, bounded by LOCAL_EDGES; nodes without
-    links stay in the cluster.
+    Gains are compared as whole numbers (times the total weight). While moves are frequent, nodes are taken one by one. When
+    they are rare, runs of nodes are compared at once: up to the first of a run that moves, nothing changes for the others.
     """
-    weight: dict[int, dict[int, float]] = defaultdict(lambda: defaultdict(float))
-    for a, b, k in local_edges(graph.links().where("src IS NOT NULL AND dst IS NOT NULL").groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("k"))):
-        weight[a][b] += k
-        if a != b:
-            weight[b][a] += k
-        else:
-            weight[a][a] += k  # a loop counts at both its ends
-    member = {n: [n] for n in weight}
-    while True:
-        total = sum(sum(w.values()) for w in weight.values())
-        if not total:
-            break
-        degree_ = {n: sum(w.values()) for n, w in weight.items()}
-        own = {n: n for n in weight}
-        mass = dict(degree_)
-        moved_any, moved = False, True
-        while moved:
-            moved = False
-            for n in sorted(weight):
-                to: dict[int, float] = defaultdict(float)
-                for b, w in weight[n].items():
-                    if b != n:
-                        to[own[b]] += w
-                here = own[n]
+    count = len(start) - 1
+    source = np.repeat(np.arange(count), np.diff(start))
+    degrees = np.bincount(source, weight, count).astype(np.int64)
+    total, degree_ = int(degrees.sum()), degrees.tolist()
+    apart = source != target
+    first = np.concatenate([[0], np.cumsum(np.bincount(source[apart], minlength=count))])
+    source, target, weight = source[apart], target[apart], weight[apart]
+    ends = first.tolist()
+    own, mass = np.arange(count), degrees.copy()
+
+    def best_of(n: int) -> int:
+        """The community that node `n` gains most by, its own among equals, then the smallest."""
+        near, w = own[target[ends[n] : ends[n + 1]]], weight[ends[n] : ends[n + 1]]
+        here, d = own[n], degree_[n]
+        if len(near) > 200:
+            near, at = np.unique(near, return_inverse=True)
+            w = np.bincount(at, w).astype(np.int64)
+        to: dict[int, int] = {}
+        for c, k in zip(near.tolist(), w.tolist()):
+            to[c] = to.get(c, 0) + k
+        here = int(here)
+        best, gain = here, to.get(here, 0) * total - (int(mass[here]) - d) * d
+        masses = mass[list(to)].tolist()
+        for (c, k), m in zip(to.items(), masses):
+            if c != here:
+                g = k * total - m * d
+                if g > gain or (g == gain and best != here and c < best):
+                    best, gain = c, g
+        return best
+
+    def first_mover(low: int, high: int) -> int:
+        """The first node of a run that gains by a move, or `high`."""
+        links = slice(ends[low], ends[high])
+        key = (source[links] - low) * count + own[target[links]]
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.array([], int)
+        to = np.add.reduceat(weight[links][order], cuts) if len(key) else np.array([], int)
+        node, c = np.divmod(key[cuts], count)
+        here, d = own[low:high], degrees[low:high]
+        stay = -(mass[here] - d) * d
+        inside = c == here[node]
+        stay[node[inside]] += to[inside] * total
+        gains = np.flatnonzero(~inside & (to * total - mass[c] * d[node] > stay[node]))
+        return low + int(node[gains[0]]) if len(gains) else high
+
+    moved, moves, run = False, count, 0
+    while moves:
+        moves, n = 0, 0
+        while n < count:
+            if run:
+                high = min(count, n + run)
+                n = first_mover(n, high)
+                run = min(2 * run, 65_536) if n == high else run // 2
+                if n == high or n == count:
+                    continue
+                run = run if run >= RUN else 0
+            best, here = best_of(n), int(own[n])
+            if best != here:
                 mass[here] -= degree_[n]
-                gain = lambda c: to.get(c, 0.0) - mass[c] * degree_[n] / total
-                best, best_gain = here, gain(here)
-                for c in sorted(to):
-                    if gain(c) > best_gain + 1e-12:
-                        best, best_gain = c, gain(c)
                 mass[best] += degree_[n]
-                if best != here:
-                    own[n], moved, moved_any = best, True, True
-        if not moved_any:
-            break
-        groups: dict[int, list[int]] = defaultdict(list)
-        for n in sorted(weight):
-            groups[own[n]].append(n)
-        name = {n: min(g) for g in groups.values() for n in g}
-        merged: dict[int, dict[int, float]] = {min(g): defaultdict(float) for g in groups.values()}
-        for a, w in weight.items():
-            for b, k in w.items():
-                merged[name[a]][name[b]] += k
-        member = {min(g): [m for n in g for m in member[n]] for g in groups.values()}
-        weight = merged
-    rows = [(m, min(ms)) for ms in member.values() for m in ms]
-    found = graph.spark.createDataFrame(rows, "id bigint, community bigint")
+                own[n], moves, moved, still = best, moves + 1, True, 0
+            else:
+                still = still + 1 if n else 0
+                if still >= RUN:
+                    run = RUN
+            n += 1
+    return own, moved
+
+
+def louvain(graph: PropertyGraph) -> DataFrame:
+    """``(id, community)``: greedy modularity moves in ascending node order, level by level; named by the smallest member.
+
+    Moves depend on each other one by one, so linked nodes are grouped on the driver, which holds their links as arrays;
+    nodes without links stay in the cluster.
+    """
+    links = graph.links().where("src IS NOT NULL AND dst IS NOT NULL").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("k"))
+    src, dst, k = local_arrays(links)
+    ids = np.unique(np.concatenate([src, dst]))
+    a, b = np.searchsorted(ids, src), np.searchsorted(ids, dst)
+    a, b, k = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([k, k])  # a loop counts at both its ends
+    group, size, moved = np.arange(len(ids)), len(ids), len(ids) > 0
+    while moved:
+        key, at = np.unique(a * size + b, return_inverse=True)
+        k = np.bincount(at, k).astype(np.int64)
+        a, b = np.divmod(key, size)
+        own, moved = _moved(np.searchsorted(a, np.arange(size + 1)), b, k)
+        _, least, at = np.unique(own, return_index=True, return_inverse=True)
+        place = np.empty(len(least), np.int64)
+        place[np.argsort(least)] = np.arange(len(least))  # communities in the order of their smallest members
+        group, a, b, size = place[at][group], place[at][a], place[at][b], len(least)
+    _, least = np.unique(group, return_index=True)
+    found = graph.spark.createDataFrame(pa.table({"id": ids, "community": ids[least[group]] if len(ids) else ids}))
     return graph.ids().distinct().join(found, "id", "left").select("id", F.coalesce("community", "id").alias("community"))
 
 

@@ -253,6 +253,45 @@ def test_communities_and_forest(case):
     assert (len(rows), sum(r.weight for r in rows)) == (count, total)
 
 
+@pytest.mark.parametrize("run", [1, 64])
+def test_louvain_moves_as_one_by_one(spark, monkeypatch, run):
+    monkeypatch.setattr(c, "RUN", run)
+    monkeypatch.setattr(t, "SLICE", 50)
+    rng, n = random.Random(3), 60
+    links = [(i, (i + rng.randrange(1, 4)) % n if rng.random() < 0.7 else rng.randrange(n)) for i in range(n) for _ in range(3)]
+    nodes = spark.createDataFrame([(i,) for i in range(n)], "id bigint")
+    edges = spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(links)], "id bigint, src bigint, dst bigint")
+    found = table(c.louvain(PropertyGraph(spark).with_nodes(nodes, "N").with_edges(edges, "T")))
+    weight, members = defaultdict(lambda: defaultdict(int)), {i: [i] for i in range(n)}
+    for a, b in links:
+        weight[a][b] += 1
+        weight[b][a] += 1
+    while True:
+        total, mass = sum(sum(w.values()) for w in weight.values()), {i: sum(weight[i].values()) for i in members}
+        degree, own, moves = dict(mass), {i: i for i in members}, None
+        while moves != 0:
+            before, moves = dict(own), 0
+            for i in sorted(members):
+                to = defaultdict(int)
+                for b, w in weight[i].items():
+                    to[own[b]] += w * (b != i)
+                mass[own[i]] -= degree[i]
+                gain = {x: to[x] * total - mass[x] * degree[i] for x in [own[i], *sorted(to)]}
+                own[i] = max(gain, key=gain.get)
+                mass[own[i]] += degree[i]
+            moves = own != before
+        if all(own[i] == i for i in own):
+            break
+        name = {x: min(i for i in own if own[i] == x) for x in own.values()}
+        merged, joint = defaultdict(lambda: defaultdict(int)), defaultdict(list)
+        for i in members:
+            joint[name[own[i]]] += members[i]
+            for b, w in weight[i].items():
+                merged[name[own[i]]][name[own[b]]] += w
+        weight, members = merged, joint
+    assert found == {i: min(m) for m in members.values() for i in m}
+
+
 def test_max_flow(spark, case):
     g, edges = case
     cap = defaultdict(int)
