@@ -492,8 +492,7 @@ def _shared(graph: PropertyGraph) -> tuple[DataFrame, DataFrame, bool]:
 
 def _adjacency(ids: DataFrame, links: DataFrame) -> _Adjacency:
     """The graph as arrays on the driver; `_shared` has bounded it."""
-    nodes, pairs = ids.toPandas()["id"].to_numpy(np.int64), links.toPandas()
-    return _Adjacency(nodes, pairs["src"].to_numpy(np.int64), pairs["dst"].to_numpy(np.int64))
+    return _Adjacency(*local_arrays(ids), *local_arrays(links))
 
 
 def _per_source(ids: DataFrame, g: _Adjacency, work: Callable, ddl: str) -> DataFrame:
@@ -678,7 +677,7 @@ def betweenness(graph: PropertyGraph) -> DataFrame:
     if small:
         g = _adjacency(ids, links)
         g.count_to_hubs()
-        parts = _per_source(ids, g, _dependencies, "kind int, hub int, at int, part double").groupBy("kind", "hub", "at").agg(F.sum("part").alias("part")).toPandas()
+        parts = _per_source(ids, g, _dependencies, "kind int, hub int, at int, part double").groupBy("kind", "hub", "at").agg(F.sum("part").alias("part")).toArrow().to_pandas()
         parts = graph.spark.createDataFrame(pa.table({"id": g.ids, "part": _gathered(g, parts)}))
     else:
         parts = _shares(ids, links).groupBy("id").agg(F.sum("part").alias("part"))
@@ -771,7 +770,7 @@ def louvain(graph: PropertyGraph) -> DataFrame:
     nodes without links stay in the cluster.
     """
     links = graph.links().where("src IS NOT NULL AND dst IS NOT NULL").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("k"))
-    src, dst, k = local_arrays(links)
+    src, dst, k = local_arrays(materialize(links))
     ids = np.unique(np.concatenate([src, dst]))
     a, b = np.searchsorted(ids, src), np.searchsorted(ids, dst)
     a, b, k = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([k, k])  # a loop counts at both its ends
